@@ -190,11 +190,12 @@ def trailing_bars(df: DataFrame, day: str, row_id: str, values: Sequence[str], n
         .filter(F.col("__block") == block)
     last = F.slice("__past", F.greatest(F.size("__past") - n + 1, F.lit(1)), F.lit(n))
     out = past.withColumn("__last", last)
-    bars = []
-    for v in values:
-        vals = F.filter(F.transform("__last", lambda r, v=v: r[v]), lambda x: x.isNotNull())
-        bars.append(F.when(F.size(vals) >= min_n, array_median(vals)).alias(v + suffix))
-    return out.select(day, *bars)
+
+    def bar(v: str) -> Column:
+        vals = F.filter(F.transform("__last", lambda r: r[v]), lambda x: x.isNotNull())
+        return F.when(F.size(vals) >= min_n, array_median(vals)).alias(v + suffix)
+
+    return out.select(day, *[bar(v) for v in values])
 
 
 def time_folds(df: DataFrame, day: str, row_id: str, frac: float = 0.4, min_rows: int = 60,

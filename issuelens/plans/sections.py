@@ -139,10 +139,12 @@ def heading_pages(pages: DataFrame, chapters: Sequence[Chapter] = vocab.CHAPTERS
     one narrow pass.
     """
     top = F.slice(F.split("text", r"\r?\n"), 1, top_lines)
-    tests = [
-        F.when(F.exists(top, lambda line, h=h: line.rlike(rf"^\s*{prefix}(?:{h})\s*$")), F.lit(key))
-        for key, _, h in chapters]
-    keys = F.array_compact(F.array(*tests))
+
+    def test(key: str, heading: str) -> Column:
+        pattern = rf"^\s*{prefix}(?:{heading})\s*$"
+        return F.when(F.exists(top, lambda line: line.rlike(pattern)), F.lit(key))
+
+    keys = F.array_compact(F.array(*[test(key, heading) for key, _, heading in chapters]))
     return pages.select("doc_id", "n", F.explode(keys).alias("key"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 ISSUE = (
     "cg_ipo_id string, company string, detail_url string, `Pricing Method` string, "
     "`Opening Date` string, `Closing Date` string, `Listing Date` string, "
@@ -57,7 +55,7 @@ _RULE = (
     "thresholds: string, evidence: string, source_pages: array<int>, confidence: double, "
     "rationale: string, included: boolean>"
 )
-REPORT = T.StructType.fromDDL(
+REPORT = (
     "scoring struct<overall: double, lens: string, weights: map<string,double>, cap_note: string, "
     f"categories: map<string, struct<score: double, weight: double, coverage: double, rules: array<{_RULE}>>>>, "
     "snapshot struct<price_band: array<double>, face_value: double, lot_size: int, "
