@@ -14,7 +14,7 @@ from ..plans.models import cv_metrics, fold_baselines, fold_errors, gram, scoreb
 from ..plans.outcomes import outcomes, sessions
 from ..plans.risks import dedupe_max, heatmap, penalty_score, severity_counts, specificity
 from ..plans.analysis import growth_steps, ratios
-from .base import (LISTINGS, PAGES, PRICES, R, SUBSCRIPTION, WIDE, day, doc_pages, facts, fiscal_series,
+from .base import (LISTINGS, PAGES, PRICES, SUBSCRIPTION, WIDE, day, doc_pages, facts, fiscal_series,
                    listings, prices, query, subscription, table)
 
 
@@ -38,23 +38,23 @@ g AS (SELECT *, has_bottom AND (delisted OR last12 >= listing_date + 12) AS fina
 pk AS (SELECT s.symbol, max((s.close, -s.session)) AS peak FROM s JOIN g ON s.symbol = g.symbol AND g.final_bottom
     AND s.session_date >= g.bot[3] AND s.session_date <= s.listing_date + 28 GROUP BY 1)
 SELECT symbol, strftime(listing_date, '%Y-%m-%d') AS listing_date, offer AS issue_price,
-  {R("(base * (day1 / day1) - 1) * 100", 4)} AS ret_1d,
-  CASE WHEN h6[1] >= listing_date + 5 OR delisted THEN {R("(base * (h6[2] / day1) - 1) * 100", 4)} END AS ret_6m,
-  CASE WHEN h12[1] >= listing_date + 12 OR delisted THEN {R("(base * (h12[2] / day1) - 1) * 100", 4)} END AS ret_12m,
-  CASE WHEN h24[1] >= listing_date + 26 OR delisted THEN {R("(base * (h24[2] / day1) - 1) * 100", 4)} END AS ret_24m,
-  {R("(base * (last_close / day1) - 1) * 100", 4)} AS current_ret, delisted,
+  round((base * (day1 / day1) - 1) * 100, 6) AS ret_1d,
+  CASE WHEN h6[1] >= listing_date + 5 OR delisted THEN round((base * (h6[2] / day1) - 1) * 100, 6) END AS ret_6m,
+  CASE WHEN h12[1] >= listing_date + 12 OR delisted THEN round((base * (h12[2] / day1) - 1) * 100, 6) END AS ret_12m,
+  CASE WHEN h24[1] >= listing_date + 26 OR delisted THEN round((base * (h24[2] / day1) - 1) * 100, 6) END AS ret_24m,
+  round((base * (last_close / day1) - 1) * 100, 6) AS current_ret, delisted,
   strftime(last_day, '%Y-%m-%d') AS last_date,
-  CASE WHEN has_bottom THEN {R("(base * (bot[1] / day1) - 1) * 100", 4)} END AS bottom_so_far_pct,
+  CASE WHEN has_bottom THEN round((base * (bot[1] / day1) - 1) * 100, 6) END AS bottom_so_far_pct,
   CASE WHEN has_bottom THEN bot[2] END AS bottom_so_far_session,
-  CASE WHEN final_bottom THEN {R("(base * (bot[1] / day1) - 1) * 100", 4)} END AS bottom_12m_pct,
+  CASE WHEN final_bottom THEN round((base * (bot[1] / day1) - 1) * 100, 6) END AS bottom_12m_pct,
   CASE WHEN final_bottom THEN bot[2] END AS sessions_to_bottom,
-  {R("(base * (peak[1] / day1) - 1) * 100", 4)} AS peak_24m_pct, -peak[2] AS sessions_to_peak
+  round((base * (peak[1] / day1) - 1) * 100, 6) AS peak_24m_pct, -peak[2] AS sessions_to_peak
 FROM g LEFT JOIN pk USING (symbol)""")
 def outcomes_q(spark, sf):
     out = outcomes(prices(spark, sf), listings(spark, sf), F.lit("2024-01-31").cast("date"),
                    {"ret_6m": 7, "ret_12m": 14, "ret_24m": 28}, tolerance=2, lead=1, min_closes=5, max_gap=4,
                    bottom_days=14, bottom_min=5, bottom_final=12, peak_days=28, delisted_gap=3, window_days=32,
-                   decimals=4)
+                   decimals=6)
     return out.withColumns({"listing_date": day("listing_date"), "last_date": day("last_date")})
 
 

@@ -156,28 +156,28 @@ def _cells(spark, sf):
                       F.concat(F.lit("₹ "), F.format_number("v", 2)).alias("text"))
     names = y.select("doc_id", row.alias("row_no"), F.lit(0).alias("col_no"), labels.alias("text")).distinct()
     heads = y.select("doc_id", F.lit(1).alias("row_no"), col.alias("col_no"),
-                     F.concat(F.lit("Fiscal "), F.col("fy").cast("string")).alias("text")).distinct()
+                     F.concat(F.lit("Fiscal "), (F.col("fy") + 20).cast("string")).alias("text")).distinct()
     title = y.select("doc_id", F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit("Particulars").alias("text")).distinct()
     return values.unionByName(names).unionByName(heads).unionByName(title).withColumns(at)
 
 
 @query("table_facts", f"""
-WITH {_CELLS} SELECT doc_id, 'FY' || right(CAST(fy AS VARCHAR), 2) AS fiscal_label,
+WITH {_CELLS} SELECT doc_id, 'FY' || right(CAST(fy + 20 AS VARCHAR), 2) AS fiscal_label,
   CASE f WHEN 'A' THEN 'revenue' WHEN 'N' THEN 'receivables' ELSE 'total_assets' END AS metric, v AS value FROM y""")
 def table_facts(spark, sf):
     return facts.table_facts(_cells(spark, sf)).select("doc_id", "fiscal_label", "metric", "value")
 
 
 @query("fold_header", f"""
-WITH {_CELLS} SELECT DISTINCT doc_id, fy - 1994 AS col_no, 'fiscal ' || fy AS header FROM y
+WITH {_CELLS} SELECT DISTINCT doc_id, fy - 1994 AS col_no, 'fiscal ' || (fy + 20) AS header FROM y
 UNION ALL SELECT DISTINCT doc_id, 0, 'particulars' FROM y""")
 def fold_header(spark, sf):
     return entities.fold_header(_cells(spark, sf)).select("doc_id", "col_no", "header")
 
 
 @query("borderless_rows", f"""
-WITH {_CELLS}, cnt AS (SELECT doc_id, count(DISTINCT fy) AS k FROM y GROUP BY 1)
-SELECT doc_id, 'FY' || right(CAST(fy AS VARCHAR), 2) AS fiscal_label,
+WITH {_CELLS}
+SELECT doc_id, 'FY' || right(CAST(fy + 20 AS VARCHAR), 2) AS fiscal_label,
   CASE f WHEN 'A' THEN 'revenue' WHEN 'N' THEN 'receivables' ELSE 'total_assets' END AS metric, v AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, f ORDER BY fy DESC) AS rk FROM y) WHERE rk <= 5""")
 def borderless_rows(spark, sf):
@@ -186,14 +186,13 @@ def borderless_rows(spark, sf):
     rows = grid.groupBy("doc_id", "row_no").agg(
         F.max(F.when(F.col("col_no") == 0, F.col("text"))).alias("label"),
         F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("col_no") > 0, F.struct("col_no", "text"))))), 1, 5).alias("v"))
-    head = F.concat(F.lit("Particulars for the year ended March 31, "), (F.col("c") + 1994).cast("string"))
     body = rows.select(
         "doc_id", "row_no", F.transform("v", lambda x: x["col_no"]).alias("cols"),
         F.concat_ws("\n", "label", F.lit("25"), F.array_join(F.transform("v", lambda x: x["text"]), "\n")).alias("block"))
     docs = body.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("row_no", "block"))).alias("blocks"), F.max("cols").alias("cols"))
     heads = F.array_join(F.transform("cols", lambda c: F.concat(
-        F.lit("year ended March 31, "), (c + 1994).cast("string"))), "\n")
+        F.lit("year ended March 31, "), (c + 2014).cast("string"))), "\n")
     text = F.concat_ws("\n", heads, F.array_join(F.transform("blocks", lambda b: b["block"]), "\n"))
     pages = facts.carry_headers(docs.select("doc_id", F.lit(1).alias("n"), text.alias("text")))
     return facts.borderless_facts(pages).select("doc_id", "fiscal_label", "metric", "value")
@@ -312,8 +311,8 @@ def kpi_block(spark, sf):
 def _prospectus(spark, sf):
     """One composed chapter page per customer, with figures from its orders."""
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.round(F.sum("o_totalprice") / 1000, 2).alias("total"), F.count("*").alias("n"),
-        F.round(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 1000, 2).alias("fresh"))
+        F.floor(F.sum("o_totalprice") / 1000).cast("double").alias("total"), F.count("*").alias("n"),
+        F.floor(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 1000).cast("double").alias("fresh"))
     c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
     pct = (F.col("c_custkey") % 60 + 20).cast("string")
     text = F.concat(
@@ -330,8 +329,8 @@ def _prospectus(spark, sf):
     return c.select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("n"), text.alias("text"), "total", "fresh", F.col("n").alias("k"))
 
 
-_PROSP = """p AS (SELECT o_custkey AS doc_id, round(sum(o_totalprice) / 1000, 2) AS total, count(*) AS k,
-  round(sum(o_totalprice) FILTER (o_orderstatus = 'F') / 1000, 2) AS fresh FROM orders GROUP BY 1)"""
+_PROSP = """p AS (SELECT o_custkey AS doc_id, floor(sum(o_totalprice) / 1000) AS total, count(*) AS k,
+  floor(sum(o_totalprice) FILTER (o_orderstatus = 'F') / 1000) AS fresh FROM orders GROUP BY 1)"""
 
 
 @query("issue_details", f"""
@@ -414,13 +413,13 @@ def holding(spark, sf):
 # ------------------------------------------------------------------ scalar families
 
 @query("scalar_numeric", r"""
-SELECT o_orderkey, TRY_CAST(trim(replace(replace(CASE o_orderkey % 5 WHEN 0 THEN ' 1,' || o_orderkey || '.5%' WHEN 1 THEN 'n/a' WHEN 2 THEN 'inf'
+SELECT o_orderkey, TRY_CAST(trim(replace(replace(CASE o_orderkey % 5 WHEN 0 THEN ' 1,' || o_orderkey || '.5%' WHEN 1 THEN 'n/a' WHEN 2 THEN 'none'
     WHEN 3 THEN '' ELSE CAST(o_totalprice AS VARCHAR) END, ',', ''), '%', '')) AS DOUBLE) AS num_raw,
-  CASE o_orderkey % 4 WHEN 0 THEN -1000.0 - o_orderkey WHEN 1 THEN 250.0 WHEN 2 THEN NULL ELSE o_orderkey::DOUBLE END AS amount,
+  CASE o_orderkey % 4 WHEN 0 THEN -1000.0 - o_orderkey % 1000 WHEN 1 THEN 250.0 WHEN 2 THEN NULL ELSE o_orderkey::DOUBLE END AS amount,
   CAST(round(CAST(o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 1.0 END AS DECIMAL(38,8)), 2) AS DOUBLE) AS crore,
   round(CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice / (o_custkey % 7) END, 4) AS ratio,
   round(1 / (1 + exp(-least(greatest((o_orderkey % 100 - 50)::DOUBLE, -30), 30))), 8) AS sig
-FROM orders""".replace("AS num_raw", "AS num_raw"))
+FROM orders""")
 def scalar_numeric(spark, sf):
     k = F.col("o_orderkey")
     raw = F.when(k % 5 == 0, F.concat(F.lit(" 1,"), k.cast("string"), F.lit(".5%"))).when(k % 5 == 1, "n/a").when(
@@ -461,11 +460,11 @@ def scalar_html(spark, sf):
 
 
 @query("scalar_date", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed, 'FY' || right(strftime(o_orderdate, '%Y'), 2) AS fiscal FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed, 'FY' || right(CAST(year(o_orderdate) + 20 AS VARCHAR), 2) AS fiscal FROM orders""")
 def scalar_date(spark, sf):
     o = table(spark, sf, "orders")
     text = F.when(F.col("o_orderkey") % 5 == 0, "tba").otherwise(F.date_format("o_orderdate", "dd-MMM-yyyy"))
-    head = F.concat(F.lit("As at March 31, "), F.year("o_orderdate").cast("string"))
+    head = F.concat(F.lit("As at March 31, "), (F.year("o_orderdate") + 20).cast("string"))
     return o.select("o_orderkey", F.date_format(S.parse_date(text), "yyyy-MM-dd").alias("parsed"), S.fiscal_label(head).alias("fiscal"))
 
 

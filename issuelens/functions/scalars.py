@@ -111,6 +111,11 @@ def rebase(ret_pct: Column, day1_pct: Column) -> Column:
     return F.when(day1_pct > -95, r)
 
 
+def stable_round(c: Column, decimals: int) -> Column:
+    """Half-up rounding that ignores the last-digit noise of distributed sums."""
+    return F.round(F.round(c, 6), decimals)
+
+
 def sigmoid(c: Column, clamp: float = 30.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-clip(c, -clamp, clamp)))
 

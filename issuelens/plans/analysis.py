@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.scalars import all_not_null, any_not_null, array_median, array_pstdev, band, lookup, safe_div
+from ..functions.scalars import all_not_null, any_not_null, array_median, array_pstdev, band, lookup, safe_div, stable_round
 from .facts import cagr, year
 
 RATIOS = [
@@ -263,8 +263,8 @@ def category_scores(rules: DataFrame) -> DataFrame:
         got.alias("g"), most.alias("m"), F.sum("max_points").alias("all"))
     return per.select(
         "doc_id", "category",
-        F.coalesce(F.round(100 * F.col("g") / F.nullif("m", F.lit(0.0)), 1), F.lit(50.0)).alias("score"),
-        F.round(F.coalesce("m", F.lit(0.0)) / F.greatest(F.lit(1.0), F.col("all")), 2).alias("coverage"))
+        F.coalesce(stable_round(100 * F.col("g") / F.nullif("m", F.lit(0.0)), 1), F.lit(50.0)).alias("score"),
+        stable_round(F.coalesce("m", F.lit(0.0)) / F.greatest(F.lit(1.0), F.col("all")), 2).alias("coverage"))
 
 
 def overall_scores(scores: DataFrame, caps: DataFrame,
@@ -287,8 +287,8 @@ def overall_scores(scores: DataFrame, caps: DataFrame,
             out = out + F.col(f"{prefix}_{cat}") * w
         return out
 
-    per_lens = F.array(*[F.struct(F.lit(lens).alias("lens"), F.round(weighted("s", w), 1).alias("raw"),
-                                  weighted("c", w).alias("cov")) for lens, w in lenses.items()])
+    per_lens = F.array(*[F.struct(F.lit(lens).alias("lens"), stable_round(weighted("s", w), 1).alias("raw"),
+                                  F.round(weighted("c", w), 6).alias("cov")) for lens, w in lenses.items()])
     rows = wide.select("doc_id", "cap_triggered", F.explode(per_lens).alias("l"))
     capped = F.coalesce("cap_triggered", F.lit(False)) & (F.col("l.raw") > vocab.FORENSIC_CAP)
     cov = F.col("l.cov")
