@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import log1p_pos
 from ..operators.ordering import time_folds
 from ..plans import forecast, models
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..streaming.streams import ledger_stream, read_version, signal_upsert
 from .aggs_q import _CV, _cv
 from .base import SUBSCRIPTION, day, query, subscription, table
@@ -29,9 +29,9 @@ _FRAME = f"""{SUBSCRIPTION}, frame AS (SELECT *, (net / o_totalprice - 1) * 100
 
 
 @query("model_frame", f"""
-WITH {SUBSCRIPTION} SELECT CAST(o_orderkey AS VARCHAR) AS cg_ipo_id, round(ln(1 + greatest(qib, 0)), 8) AS log_qib, round(ln(1 + greatest(retail, 0)), 8) AS log_retail,
-  round(least(greatest(nii / o_totalprice * 100000, -30), 150), 6) AS gmp_prem, CASE WHEN nii IS NULL THEN 0.0 ELSE 1.0 END AS has_gmp,
-  round(least(greatest((net / o_totalprice - 1) * 100, -80), 400), 6) AS gain, round(log10(greatest(o_totalprice / 100, 1)), 8) AS issue_size_log,
+WITH {SUBSCRIPTION} SELECT CAST(o_orderkey AS VARCHAR) AS cg_ipo_id, round(ln(1 + qib), 8) AS log_qib, round(ln(1 + retail), 8) AS log_retail,
+  round(CASE WHEN nii IS NOT NULL THEN least(nii / o_totalprice * 100000, 150) END, 6) AS gmp_prem, CASE WHEN nii IS NULL THEN 0.0 ELSE 1.0 END AS has_gmp,
+  round(CASE WHEN net IS NOT NULL THEN least(greatest((net / o_totalprice - 1) * 100, -80), 400) END, 6) AS gain, round(log10(greatest(o_totalprice / 100, 1)), 8) AS issue_size_log,
   CASE WHEN o_totalprice / 100 < 1000 THEN 1.0 ELSE 0.0 END AS smallcap, round(coalesce(nii, 0) / nullif(coalesce(qib, 0) + coalesce(nii, 0), 0), 8) AS ofs_share,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS is_realestate, CASE WHEN net / o_totalprice IS NULL OR net / o_totalprice >= 0.5 THEN 1.0 ELSE 0.0 END AS has_rhp
 FROM subscription JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'AUTOMOBILE'""")
@@ -101,7 +101,8 @@ def _ready(spark, sf):
     """Complete, standardised inputs with labels."""
     f = _frame(spark, sf).filter(F.col("gain").isNotNull()).select("o_orderkey", "opened", *_INPUTS, "gain", "up")
     filled = models.impute_median(f, _INPUTS)
-    return models.standardise(filled.withColumns({c: log1p_pos(F.col(c)) for c in _INPUTS}), _INPUTS)
+    scaled = models.standardise(filled.withColumns({c: log1p_pos(F.col(c)) for c in _INPUTS}), _INPUTS)
+    return materialise(scaled)
 
 
 def _packed(df):
@@ -121,7 +122,7 @@ def logit_fit(spark, sf):
 @query("logit_cv")
 def logit_cv(spark, sf):
     """Forward-chained accuracy of the direction head per fold with its baseline."""
-    folded = time_folds(_ready(spark, sf), "opened", "o_orderkey").select("o_orderkey", "fold", *_INPUTS, "up")
+    folded = materialise(time_folds(_ready(spark, sf), "opened", "o_orderkey").select("o_orderkey", "fold", *_INPUTS, "up"))
 
     def fit(train, test):
         model = models.fit_direction(train, _INPUTS, "up")
@@ -190,8 +191,8 @@ def majority_baseline(spark, sf):
 
 
 @query("promotion", """
-WITH h AS (SELECT CAST(o_orderdate AS DATE) AS at, 1 + count(*) % 3 AS heads, round(avg(o_totalprice), 2) AS edge, year(o_orderdate) % 2 AS schema FROM orders GROUP BY o_orderdate),
-inc AS (SELECT max((at, heads, edge)) AS i FROM h WHERE schema = 1), c AS (SELECT 2 AS heads, round(max(o_totalprice), 2) AS edge FROM orders)
+WITH h AS (SELECT CAST(o_orderdate AS DATE) AS made, 1 + count(*) % 3 AS heads, round(avg(o_totalprice), 2) AS edge, year(o_orderdate) % 2 AS schema FROM orders GROUP BY o_orderdate),
+inc AS (SELECT max((made, heads, edge)) AS i FROM h WHERE schema = 1), c AS (SELECT 2 AS heads, round(max(o_totalprice), 2) AS edge FROM orders)
 SELECT c.heads, c.edge, i[2] AS incumbent_heads, i[3] AS incumbent_edge, i IS NULL OR c.heads > i[2] OR (c.heads = i[2] AND c.edge > i[3]) AS promoted FROM c, inc""")
 def promotion(spark, sf):
     o = table(spark, sf, "orders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.scalars import lookup
 from ..plans import analysis, dataset, forecast, report, risks
+from ..session import materialise
 from .base import R, SUBSCRIPTION, WIDE, fiscal_series, query, subscription, table
 
 _RATIO_SQL = {
@@ -90,7 +91,7 @@ pm AS (SELECT doc_id, median(pe) FILTER (NOT is_issuer AND pe > 0 AND pe < 400)
 
 
 def valued(spark, sf):
-    r = analysis.ratios(fiscal_series(spark, sf))
+    r = analysis.ratios(analysis.forensics(fiscal_series(spark, sf)))
     d = disclosures(spark, sf)
     joined = r.join(d, "doc_id").join(analysis.peer_medians(peer_rows(spark, sf)), "doc_id", "left")
     staged = joined.withColumns({
@@ -182,6 +183,16 @@ def rules_of(spark, sf):
     return analysis.rubric(profile(spark, sf))
 
 
+def _staged(spark, sf):
+    """Profiles and rules as tables: several branches of a report read each."""
+    staged = materialise(profile(spark, sf))
+    return staged, materialise(analysis.rubric(staged))
+
+
+def _flag_rows(profiles):
+    return profiles.select("doc_id", F.posexplode("flags").alias("ord", "x")).select("doc_id", "ord", "x.rule")
+
+
 def _band_sql(expr: str, name: str, lower: bool = False) -> str:
     cmp = ">" if lower else ">="
     arms = " ".join(f"WHEN {expr} {cmp} {t} THEN {float(p)}" for t, p in vocab.BANDS[name])
@@ -258,15 +269,9 @@ o AS (SELECT doc_id, l.lens, {R('sum(coalesce(score, 50) * w)', 1)} AS raw, roun
 SELECT doc_id, lens, CASE WHEN hi.doc_id IS NOT NULL AND raw > 55 THEN 55.0 ELSE raw END AS overall, hi.doc_id IS NOT NULL AND raw > 55 AS capped,
   CASE WHEN cov >= 0.8 THEN 'high' WHEN cov >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM o LEFT JOIN hi USING (doc_id)""")
 def overall_score(spark, sf):
-    scores = analysis.category_scores(rules_of(spark, sf))
-    caps = analysis.forensics(fiscal_series(spark, sf)).select("doc_id", "cap_triggered")
-    return analysis.overall_scores(scores, caps).select("doc_id", "lens", "overall", "capped", "confidence")
-
-
-def _scored(spark, sf):
-    caps = analysis.forensics(fiscal_series(spark, sf)).select("doc_id", "cap_triggered")
-    scores = analysis.category_scores(rules_of(spark, sf))
-    return analysis.overall_scores(scores, caps).filter("lens = 'balanced'")
+    staged, rules = _staged(spark, sf)
+    out = analysis.overall_scores(analysis.category_scores(rules), staged.select("doc_id", "cap_triggered"))
+    return out.select("doc_id", "lens", "overall", "capped", "confidence")
 
 
 @query("verdict", f"""
@@ -317,8 +322,8 @@ SELECT doc_id, 'bull' AS side, rank, replace(rule, '_', ' ') AS text FROM swr WH
 UNION ALL SELECT doc_id, 'bear', rank, text FROM b2 UNION ALL SELECT doc_id, 'bear', rank, text FROM b3 WHERE rank <= 10
 UNION ALL SELECT doc_id, 'neutral', rank, text FROM neu WHERE rank <= 8""")
 def case_lists(spark, sf):
-    flags = analysis.forensics(fiscal_series(spark, sf)).select("doc_id", F.posexplode("flags").alias("ord", "x")).select("doc_id", "ord", "x.rule")
-    out = report.case_lists(rules_of(spark, sf), _line_findings(spark, sf), flags)
+    staged, rules = _staged(spark, sf)
+    out = report.case_lists(rules, _line_findings(spark, sf), _flag_rows(staged))
     return out.select("doc_id", "side", "rank", "text")
 
 
@@ -379,14 +384,14 @@ def narrative_check(spark, sf):
 @query("report")
 def full_report(spark, sf):
     """Nested report per customer, flattened to its counts."""
-    rules = rules_of(spark, sf)
+    v, rules = _staged(spark, sf)
     issue, objects, findings = _ask_parts(spark, sf)
-    flags = analysis.forensics(fiscal_series(spark, sf)).select("doc_id", F.posexplode("flags").alias("ord", "x")).select("doc_id", "ord", "x.rule")
-    cases = report.case_lists(rules, findings, flags)
+    findings = materialise(findings)
+    cases = report.case_lists(rules, findings, _flag_rows(v))
     boiler = issue.select("doc_id", F.lit(None).cast("double").alias("specificity_ratio"))
     asked = report.questions(issue, objects, findings, rules, boiler)
-    v = valued(spark, sf)
-    base = v.join(_scored(spark, sf).select("doc_id", "overall", "coverage", "confidence"), "doc_id") \
+    scored = analysis.overall_scores(analysis.category_scores(rules), v.select("doc_id", "cap_triggered")).filter("lens = 'balanced'")
+    base = v.join(scored.select("doc_id", "overall", "coverage", "confidence"), "doc_id") \
         .withColumn("verdict", report.verdict(F.col("overall"), F.col("call"), F.lit(60.0))) \
         .withColumn("total_issue_cr", F.coalesce("fresh_issue_cr", F.lit(0.0)) + F.coalesce("ofs_cr", F.lit(0.0)))
     lines = report.summary_lines(base)

@@ -151,7 +151,7 @@ def fit_direction(df: DataFrame, cols: Sequence[str], label: str, c: float = 1.0
     packed = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
     n = packed.count()
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (c * max(n, 1)),
-                              elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(packed)
+                              elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(packed)
 
 
 def fit_trees(df: DataFrame, cols: Sequence[str], y: str, classify: bool = False, **settings):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cores: int | str = "*", app: str = "issuelens", **conf: str) -> SparkSession:
@@ -20,6 +20,7 @@ def get_session(cores: int | str = "*", app: str = "issuelens", **conf: str) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
@@ -40,3 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a table that several later steps read.
+
+    A reliable checkpoint in the shared folder, so a lost executor costs only the
+    tasks it ran.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
