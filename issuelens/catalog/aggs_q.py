@@ -15,7 +15,7 @@ from ..plans.outcomes import outcomes, sessions
 from ..plans.risks import dedupe_max, heatmap, penalty_score, severity_counts, specificity
 from ..plans.analysis import growth_steps, ratios
 from .base import (LISTINGS, PAGES, PRICES, SUBSCRIPTION, WIDE, day, doc_pages, facts, fiscal_series,
-                   listings, prices, query, subscription, table)
+                   listings, prices, query, subscription, table, texts)
 
 
 @query("outcomes", f"""
@@ -210,7 +210,7 @@ WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, '\n'), lambda x:
 c AS (SELECT doc_id, len(paras) AS total_factors, len(list_filter(paras, lambda x: regexp_matches(x, '[0-9]+|%'))) AS specific FROM p)
 SELECT doc_id, total_factors, specific, CAST(round(CAST(specific / nullif(total_factors::DOUBLE, 0) AS DECIMAL(38,8)), 2) AS DOUBLE) AS specificity_ratio FROM c""")
 def specificity_q(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *specificity(F.col("text"), r"\n", 200, "[0-9]+|%"))
+    return texts(spark, sf).select("doc_id", *specificity(F.col("text"), r"\n", 200, "[0-9]+|%"))
 
 
 @query("hit_rate", """
@@ -236,7 +236,7 @@ WITH d AS (SELECT doc_id, len(regexp_extract_all(text, 'the ')) AS mentions,
 SELECT doc_id, mentions, array_to_string(list_slice(list_reverse_sort(c), 1, 6), ',') AS claims FROM d""")
 def mention_counts(spark, sf):
     found = F.regexp_extract_all("text", F.lit(r"([0-9]{1,3})[^0-9]"), 1)
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.regexp_count("text", F.lit("the ")).cast("bigint").alias("mentions"),
         F.array_join(F.transform(numeric_claims(found, 3, 6), lambda x: x.cast("string")), ",").alias("claims"))
 
@@ -253,7 +253,7 @@ s AS (SELECT *, CAST(round({_SCORE}) AS BIGINT) AS score, coalesce(list_min(list
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT source, doc_id, score, rank, md5(substr(text, greatest(spot - 500, 1), 4000)) AS excerpt FROM r WHERE rank <= 4""")
 def keyword_retrieval_q(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    d = texts(spark, sf).select("doc_id", "source", "text")
     out = keyword_retrieval(d, _QUESTION, ["source"], "doc_id")
     return out.select("source", "doc_id", "score", "rank", F.md5(F.encode("excerpt", "UTF-8")).alias("excerpt"))
 
@@ -416,7 +416,7 @@ def ffill_q(spark, sf):
     from ..functions.scalars import extract
     from ..plans.sections import doc_lines
 
-    lines = doc_lines(table(spark, sf, "documents")).withColumn("own", extract(F.col("line"), "^([A-Z][a-z]+) "))
+    lines = doc_lines(texts(spark, sf)).withColumn("own", extract(F.col("line"), "^([A-Z][a-z]+) "))
     return ordering.ffill(lines, ["doc_id"], ["line_no"], "own", "head").select("doc_id", "line_no", "head")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.facts import METRICS, series, wide_years
+from ..session import spread
 from ..sources.landing import daily_close
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,5 +184,8 @@ dpages AS (
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     from ..plans.sections import pages_of_lines
 
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return pages_of_lines(docs, LINES_PER_PAGE)
+    return pages_of_lines(texts(spark, sf).select("doc_id", "text"), LINES_PER_PAGE)
+
+
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    return spread(table(spark, sf, name), key)

@@ -11,7 +11,7 @@ from ..operators.merge import first_valid, priority_fill
 from ..operators.ordering import nearest_mark, top_per_group
 from ..plans.ledger import frozen_rule
 from ..plans.sections import match_titles
-from .base import PAGES, PRICES, SUBSCRIPTION, doc_pages, prices, query, subscription, table
+from .base import PAGES, PRICES, SUBSCRIPTION, doc_pages, prices, query, subscription, table, texts
 
 
 @query("expanded_base", f"""
@@ -237,7 +237,7 @@ SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'token|password') THEN 'sec
   WHEN regexp_matches(lower(text), 'the ') THEN 'plain' ELSE 'other' END AS bucket FROM documents""")
 def classify_text(spark, sf):
     rules = [("secret", "token|password"), ("address", r"[0-9]{3}\.[0-9]{1,3}\."), ("figures", "[0-9]"), ("plain", "the ")]
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", first_match(F.lower("text"), rules, "other", ignore_case=False).alias("bucket"))
 
 

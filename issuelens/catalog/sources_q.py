@@ -12,7 +12,7 @@ from ..plans.models import coverage_gate
 from ..plans.sections import low_text
 from ..sources import landing
 from ..sources.sinks import signal_map, site_payload
-from .base import PAGES, PRICES, R, SUBSCRIPTION, WIDE, day, doc_pages, facts, prices, query, subscription, table
+from .base import PAGES, PRICES, R, SUBSCRIPTION, WIDE, day, doc_pages, facts, prices, query, subscription, table, texts
 
 
 @query("scan_projection", """
@@ -32,7 +32,7 @@ SELECT regexp_extract(html, 'track\((\d+)\)', 1) AS cg_ipo_id,
 FROM pages WHERE regexp_matches(html, 'track\((\d+)\)')
   AND trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) <> ''""")
 def clean_rows(spark, sf):
-    return landing.clean_rows(table(spark, sf, "pages"), "html", r"track\((\d+)\)", r'href="(/[^"]+)"')
+    return landing.clean_rows(texts(spark, sf, "pages", "page_id"), "html", r"track\((\d+)\)", r'href="(/[^"]+)"')
 
 
 @query("html_links", r"""
@@ -42,7 +42,7 @@ WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">([
 SELECT url, arg_min(trim(title), (page_id, pos)) AS title, min(page_id) AS page_id FROM m
 WHERE NOT regexp_matches(title, '^(the|and)$') GROUP BY url""")
 def html_links(spark, sf):
-    rows = landing.html_matches(table(spark, sf, "pages"), "html", r'<a href="([^"]+)">([^<]*)</a>',
+    rows = landing.html_matches(texts(spark, sf, "pages", "page_id"), "html", r'<a href="([^"]+)">([^<]*)</a>',
                                 ["url", "title"], ["page_id"]).filter(~F.col("title").rlike("^(the|and)$"))
     first = landing.top_per_group(rows, ["url"], [F.col("page_id"), F.col("pos")])
     return first.select("url", F.trim("title").alias("title"), "page_id")
@@ -60,7 +60,7 @@ k AS (SELECT page_id, pos, array_to_string(list_filter(string_split(regexp_repla
   FROM t WHERE contains(txt, 'the'))
 SELECT name, arg_max(amount, (page_id, pos)) AS amount FROM k WHERE name <> '' AND amount IS NOT NULL GROUP BY name""")
 def html_rows(spark, sf):
-    return landing.html_rows(table(spark, sf, "pages"), "html", ["page_id"], "p", "the",
+    return landing.html_rows(texts(spark, sf, "pages", "page_id"), "html", ["page_id"], "p", "the",
                              r"^.*?([A-Z][a-z]+ [a-z]+)", r"([0-9]+)")
 
 
@@ -74,7 +74,7 @@ SELECT doc_id, sha256(text) AS sha256, strlen(text) AS file_size,
   CASE WHEN contains(lower(source), 'drhp') OR contains(lower(source), 'src1') THEN 'DRHP' ELSE 'RHP' END AS doc_type
 FROM documents""")
 def doc_register(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     named = docs.withColumn("filename", F.regexp_replace("source", "^src1", "draft-src1"))
     return landing.register_documents(named, F.col("filename"), F.encode("text", "UTF-8")) \
         .select("doc_id", "sha256", F.col("file_size").cast("bigint").alias("file_size"), "doc_type")
@@ -182,7 +182,7 @@ SELECT d.doc_id, lang, excerpt, array_to_string(top, '|') AS top_lines,
   CASE WHEN quality IS NULL AND toxic IS NULL THEN false ELSE true END AS has_fundamentals
 FROM d LEFT JOIN labels USING (doc_id)""")
 def compact_docs(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     fund = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.struct("quality", "toxic"))
     return d.select("doc_id", "lang", F.substring("text", 1, 500).alias("excerpt"),
                     F.array_join(F.slice(F.split("text", "\n"), 1, 3), "|").alias("top_lines"),

@@ -13,7 +13,7 @@ from ..functions import vocab
 from ..operators.ordering import ffill
 from ..plans import entities, facts, sections
 from ..sources import landing
-from .base import PAGES, doc_pages, query, table
+from .base import PAGES, doc_pages, query, table, texts
 
 # chapters of the driver's documents: key, titles, heading pattern
 CHAPTERS = [
@@ -29,7 +29,7 @@ _HEAD = """heads AS (SELECT doc_id, n, key FROM dpages, (VALUES ('opening', '^(?
 
 @query("doc_lines", f"WITH {PAGES} SELECT doc_id, line_no, line FROM lines")
 def doc_lines(spark, sf):
-    return sections.doc_lines(table(spark, sf, "documents")).select("doc_id", "line_no", "line")
+    return sections.doc_lines(texts(spark, sf)).select("doc_id", "line_no", "line")
 
 
 @query("toc_lines", r"""
@@ -38,7 +38,7 @@ WITH l AS (SELECT page_id AS doc_id, unnest(string_split(replace(html, '</p>', c
 t AS (SELECT doc_id, pos, regexp_extract(trim(line), '^(.{4,80}?)[\s.·]{3,}(\d{1,4})\s*$', ['title', 'page']) AS m FROM l)
 SELECT doc_id, pos, trim(m.title) AS title, CAST(m.page AS INT) AS page FROM t WHERE m.page <> ''""")
 def toc_lines(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = texts(spark, sf, "pages", "page_id").select(
         F.col("page_id").alias("doc_id"), F.lit(1).alias("n"), F.replace("html", F.lit("</p>"), F.lit("\n")).alias("text"))
     return sections.toc_lines(pages).select("doc_id", "pos", "title", "page")
 
@@ -232,7 +232,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category, amount_cr ORDE
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rank FROM f WHERE k = 1)
 SELECT doc_id, rank, md5(substr(line, 1, 200)) AS purpose, category FROM r WHERE rank <= 12""")
 def objects(spark, sf):
-    lines = sections.doc_lines(table(spark, sf, "documents"))
+    lines = sections.doc_lines(texts(spark, sf))
     out = entities.objects(lines, 12, [("debt", "(?-i)tion"), ("capex", "(?-i)ment"), ("other", "(?-i)ing")])
     return out.select("doc_id", "rank", F.md5(F.encode("purpose", "UTF-8")).alias("purpose"), "category")
 
@@ -243,13 +243,13 @@ SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, 'that\D{0,80}?(\d{1,4})', 1)
 def lit_counts(spark, sf):
     kinds = [("criminal", r"(?-i)that\D{0,80}?(\d{1,4})"), ("tax", r"(?-i)ment\D{0,80}?(\d{1,4})")]
     cols = entities.litigation_counts(F.col("text"), kinds)
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in cols.items()])
+    return texts(spark, sf).select("doc_id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query("tri_state", """
 SELECT doc_id, CASE WHEN regexp_matches(text, 'not |token') THEN false WHEN regexp_matches(text, 'was |were ') THEN true END AS declared FROM documents""")
 def tri_state(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", entities.tri_state(F.col("text"), "(?-i)not |token", "(?-i)was |were ").alias("declared"))
 
 
@@ -293,7 +293,7 @@ SELECT page_id, coalesce(CASE WHEN a > 0 AND a <= 100 THEN a END, CASE WHEN b >
 def reservation(spark, sf):
     txt = S.strip_html(F.col("html"), " ")
     cols = landing.reservation(F.col("txt"), {"pct_qib": ["missing ([0-9.]+)", "track.([0-9]{1,3})"]})
-    return table(spark, sf, "pages").withColumn("txt", txt).select("page_id", *cols)
+    return texts(spark, sf, "pages", "page_id").withColumn("txt", txt).select("page_id", *cols)
 
 
 @query("kpi_block", r"""
@@ -303,7 +303,7 @@ SELECT page_id, TRY_CAST(nullif(regexp_extract(blk, 'ad[^0-9]*\s+(-?[0-9.]+)', 1
 def kpi_block(spark, sf):
     txt = S.strip_html(F.col("html"), " ")
     cols = landing.kpi_block(F.col("txt"), "p{margin", 800, {"kpi_roe": "(?-i)ad[^0-9]*"}, None)
-    return table(spark, sf, "pages").withColumn("txt", txt).select("page_id", *cols)
+    return texts(spark, sf, "pages", "page_id").withColumn("txt", txt).select("page_id", *cols)
 
 
 # ------------------------------------------------------------------ documents composed from the tables
@@ -456,7 +456,7 @@ def scalar_name(spark, sf):
 SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS stripped,
   trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS spaced FROM pages""")
 def scalar_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", S.strip_html(F.col("html")).alias("stripped"), S.strip_html(F.col("html"), " ").alias("spaced"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", S.strip_html(F.col("html")).alias("stripped"), S.strip_html(F.col("html"), " ").alias("spaced"))
 
 
 @query("scalar_date", """
@@ -494,5 +494,5 @@ WITH m AS (SELECT doc_id, text, regexp_extract(text, 'that [a-z]+', 0) AS hit FR
 SELECT doc_id, CASE WHEN hit <> '' THEN trim(regexp_replace(substr(text, greatest(instr(text, hit) - 110, 1), length(hit) + 220), '\s+', ' ', 'g')) END AS snippet FROM m""")
 def scalar_snippet(spark, sf):
     hit = F.regexp_extract("text", "that [a-z]+", 0)
-    return table(spark, sf, "documents").select("doc_id", F.when(
+    return texts(spark, sf).select("doc_id", F.when(
         hit != "", S.snippet(F.col("text"), F.position(hit, F.col("text")), F.length(hit))).alias("snippet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -372,17 +373,18 @@ def keyword_retrieval(sections: DataFrame, question: str, keys: Sequence[str], s
                       text: str = "text", k: int = 4, before: int = 500, chars: int = 4000) -> DataFrame:
     """Top ``k`` sections per document by occurrences of the question's words, with an excerpt.
 
-    Every word counts as often as the question holds it; whole texts are searched.
+    Every word counts as often as the question holds it; whole texts are searched. Only
+    scores are ranked, the winners' texts are joined back by ``section_id`` (unique).
     """
-    import re
-
     words = [w for w in re.findall(r"[a-z]{3,}", question.lower()) if w not in vocab.QUESTION_STOP]
-    low = F.lower(text)
+    low = F.col("__low")
     score = reduce(lambda a, b: a + b, [
         (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in words])
-    spots = F.array(*[F.nullif(F.locate(w, low), F.lit(0)) for w in words])
-    scored = sections.withColumn("score", F.round(score).cast("bigint")).filter(F.col("score") > 0) \
-        .withColumn("__at", F.coalesce(F.array_min(spots), F.lit(1)))
+    lowered = sections.withColumn("__low", F.lower(text))
+    scored = lowered.filter(low.rlike("|".join(sorted(set(words))))) \
+        .select(*keys, section_id, F.round(score).cast("bigint").alias("score"))
     best = top_per_group(scored, keys, [F.col("score").desc(), F.col(section_id)], k, "rank")
-    start = F.greatest(F.col("__at") - before, F.lit(1))
-    return best.withColumn("excerpt", F.substring(text, start, F.lit(chars))).drop("__at")
+    found = lowered.join(best.select(section_id, "score", "rank"), section_id)
+    spots = F.array(*[F.nullif(F.locate(w, low), F.lit(0)) for w in words])
+    start = F.greatest(F.coalesce(F.array_min(spots), F.lit(1)) - before, F.lit(1))
+    return found.withColumn("excerpt", F.substring(text, start, F.lit(chars))).drop("__low")

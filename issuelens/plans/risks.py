@@ -26,6 +26,14 @@ def _finding(fires: Column, kind: str, severity: Column | str, title: Column | s
         (value if value is not None else none).cast("double").alias("value")))
 
 
+_CONTEXT = r"[^.\n]{0,120}"
+
+
+def _core(pattern: str) -> str:
+    """Pattern without its optional context, which widens the evidence but never decides."""
+    return pattern.removeprefix(_CONTEXT).removesuffix(_CONTEXT).removesuffix(r"[^.\n]{0,100}")
+
+
 def _around(text: Column, pattern: str) -> Column:
     """Context of the first match."""
     match = F.regexp_extract(text, pattern, 0)
@@ -64,7 +72,7 @@ def risk_findings(profile: DataFrame) -> DataFrame:
                           F.concat(F.lit("Current ratio "), F.format_number(cr, 2)),
                           "current_ratio", F.round(cr, 2), page=rp))
     tight = ci(r"[^.\n]{0,120}negative\s+working\s+capital[^.\n]{0,120}")
-    found.append(_finding(~F.coalesce(cr < 1.1, F.lit(False)) & both.rlike(tight), "working_capital", "medium",
+    found.append(_finding(~F.coalesce(cr < 1.1, F.lit(False)) & both.rlike(ci(r"negative\s+working\s+capital")), "working_capital", "medium",
                           "Negative working capital disclosed", evidence=F.regexp_extract(both, tight, 0), page=rp))
     minus = F.filter("years", lambda y: y["cfo"] < 0)
     n_minus = F.size(minus)
@@ -88,7 +96,7 @@ def risk_findings(profile: DataFrame) -> DataFrame:
     found.append(_finding(F.col("pledged"), "promoter_pledging", "high", "Promoter share pledging disclosed",
                           evidence=F.col("pledge_evidence"), page=F.coalesce("pledge_page", "risk_page")))
     for kind, pattern, severity, title in vocab.RISK_PATTERNS:
-        found.append(_finding(risk.rlike(ci(pattern)), kind, severity, title,
+        found.append(_finding(risk.rlike(ci(_core(pattern))), kind, severity, title,
                               evidence=_around(risk, ci(pattern)), page=rp))
     exports = ci(r"exports?[^.\n]{0,140}?([\d]{1,2}(?:\.\d+)?)\s*%[^.\n]{0,80}(?:revenue|turnover)")
     share = extract(both, exports).cast("double")

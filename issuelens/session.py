@@ -51,3 +51,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed over all cores when the scan itself has too few splits.
+
+    Text work is CPU-bound, and a corpus in a few files would keep most cores idle.
+    With at least one split per core (any large corpus) nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
