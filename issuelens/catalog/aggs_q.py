@@ -349,22 +349,6 @@ def stratified_queue_q(spark, sf):
         "o_orderkey", "year", "weight", "rank_in_year")
 
 
-@query("spans", """
-WITH t AS (SELECT conv_id, turn, turn * 3 + 1 AS page_start FROM conversations WHERE turn % 2 = 0),
-c AS (SELECT conv_id, max(turn) * 3 + 9 AS pages FROM conversations GROUP BY 1),
-l AS (SELECT t.*, pages, lead(page_start) OVER (PARTITION BY conv_id ORDER BY page_start, turn) AS nx FROM t JOIN c USING (conv_id))
-SELECT conv_id, turn, page_start, greatest(page_start, CASE WHEN nx IS NULL THEN pages WHEN nx > page_start THEN nx - 1 ELSE page_start END) AS page_end FROM l""")
-def spans(spark, sf):
-    from ..plans.sections import section_spans
-
-    c = table(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id")
-    sections = c.filter("turn % 2 = 0").select(
-        "doc_id", F.col("turn").alias("canon"), (F.col("turn") * 3 + 1).alias("page_start"), F.lit(True).alias("found"))
-    counts = c.groupBy("doc_id").agg((F.max("turn") * 3 + 9).alias("pages"))
-    return section_spans(sections, counts).select(
-        F.col("doc_id").alias("conv_id"), F.col("canon").alias("turn"), "page_start", "page_end")
-
-
 @query("fiscal_rank", f"WITH {WIDE} SELECT doc_id, fy, revenue, rk AS fiscal_rank FROM ranked")
 def fiscal_rank_q(spark, sf):
     f = facts(spark, sf).filter("metric = 'revenue'")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match, norm_name, tokens
@@ -242,15 +241,12 @@ def classify_text(spark, sf):
 
 
 @query("first_valid_candidate", """
-WITH c AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rk,
-  l_quantity FROM lineitem),
-v AS (SELECT * FROM c WHERE l_quantity >= 25)
-SELECT l_orderkey, min(rk) AS rk, arg_min(l_suppkey, rk) AS supp FROM v GROUP BY 1""")
+SELECT l_orderkey, min(l_linenumber) AS line, arg_min(l_suppkey, (l_linenumber, l_partkey, l_suppkey)) AS supp FROM lineitem
+WHERE l_quantity >= 25 GROUP BY 1""")
 def first_valid_candidate(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    c = table(spark, sf, "lineitem").withColumn("rk", F.row_number().over(w).cast("bigint"))
-    return first_valid(c, ["l_orderkey"], "rk", F.col("l_quantity") >= 25).select(
-        "l_orderkey", "rk", F.col("l_suppkey").alias("supp"))
+    trial = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
+    out = first_valid(table(spark, sf, "lineitem"), ["l_orderkey"], trial, F.col("l_quantity") >= 25)
+    return out.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supp"))
 
 
 @query("nearest_mark", f"""

@@ -12,8 +12,9 @@ from ..functions import scalars as S
 from ..functions import vocab
 from ..operators.ordering import ffill
 from ..plans import entities, facts, sections
+from ..session import materialise
 from ..sources import landing
-from .base import PAGES, doc_pages, query, table, texts
+from .base import PAGES, R, doc_pages, query, table, texts
 
 # chapters of the driver's documents: key, titles, heading pattern
 CHAPTERS = [
@@ -95,6 +96,12 @@ def section_merge(spark, sf):
     return _merged(spark, sf)[2].select("doc_id", "key", "page_start", "method", "found")
 
 
+@query("spans", f"WITH {_MERGE} SELECT doc_id, key, page_start, page_end FROM spans")
+def spans(spark, sf):
+    _, counts, merged = _merged(spark, sf)
+    return sections.section_spans(merged, counts).select("doc_id", "key", "page_start", "page_end")
+
+
 @query("section_text", f"""
 WITH {_MERGE} SELECT s.doc_id, s.key, s.page_start, s.page_end, md5(string_agg(p.text, chr(10) ORDER BY p.n)) AS text_md5
 FROM spans s JOIN dpages p ON p.doc_id = s.doc_id AND p.n BETWEEN s.page_start AND s.page_end GROUP BY 1, 2, 3, 4""")
@@ -145,9 +152,10 @@ _CELLS = """y AS (SELECT c_nationkey AS doc_id, l_returnflag AS f, year(o_orderd
 def _cells(spark, sf):
     """Nation as document, return flag as statement row, order year as column."""
     li, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
-    y = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")) \
-        .groupBy(F.col("c_nationkey").alias("doc_id"), "l_returnflag", F.year("o_orderdate").alias("fy")) \
-        .agg(F.round(F.sum("l_quantity"), 2).alias("v"))
+    y = materialise(
+        li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").alias("doc_id"), "l_returnflag", F.year("o_orderdate").alias("fy"))
+        .agg(F.round(F.sum("l_quantity"), 2).alias("v")))
     at = {"page": F.lit(1), "table_no": F.lit(0)}
     row = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 3).otherwise(4)
     col = F.col("fy") - 1994
@@ -158,7 +166,7 @@ def _cells(spark, sf):
     heads = y.select("doc_id", F.lit(1).alias("row_no"), col.alias("col_no"),
                      F.concat(F.lit("Fiscal "), (F.col("fy") + 20).cast("string")).alias("text")).distinct()
     title = y.select("doc_id", F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit("Particulars").alias("text")).distinct()
-    return values.unionByName(names).unionByName(heads).unionByName(title).withColumns(at)
+    return materialise(values.unionByName(names).unionByName(heads).unionByName(title).withColumns(at))
 
 
 @query("table_facts", f"""
@@ -205,7 +213,7 @@ def ctx_fill(spark, sf):
     c = table(spark, sf, "conversations").withColumn("own", F.when(
         F.col("role") == "user", F.concat(F.lit("u"), F.col("turn").cast("string"))).when(
         F.col("role") == "system", F.concat(F.lit("s"), F.col("turn").cast("string"))))
-    return ffill(c, ["conv_id"], ["turn"], "own", "ctx").select("conv_id", "turn", "ctx")
+    return ffill(c, ["conv_id"], ["turn"], "own", "ctx", block=1000).select("conv_id", "turn", "ctx")
 
 
 @query("first_hit", f"""
@@ -384,9 +392,9 @@ def _peer_cells(spark, sf):
     return body.unionByName(top).withColumns({"page": F.lit(3), "table_no": F.lit(0)})
 
 
-@query("peers", """
-SELECT s_nationkey AS doc_id, s_name AS name, round(abs(s_acctbal) / 100 + 1, 2) AS pe, round(abs(s_acctbal) / 50 + 1, 2) AS eps,
-  CAST(round(CAST(abs(s_acctbal) / 200 AS DECIMAL(38,8)), 2) AS DOUBLE) AS ronw FROM supplier""")
+@query("peers", f"""
+SELECT s_nationkey AS doc_id, s_name AS name, {R('abs(s_acctbal) / 100 + 1', 2)} AS pe, {R('abs(s_acctbal) / 50 + 1', 2)} AS eps,
+  {R('abs(s_acctbal) / 200', 2)} AS ronw FROM supplier""")
 def peers(spark, sf):
     cells = _peer_cells(spark, sf)
     names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("company_name"))

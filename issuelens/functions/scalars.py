@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -195,10 +195,15 @@ def clean_label(c: Column) -> Column:
                             vocab.ROMAN_TAIL, "")
 
 
+def let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value computed once, for long rule tables over a costly input."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def metric_of(c: Column) -> Column:
     """Metric named by a statement row label; cash-movement rows name none."""
-    label = clean_label(c)
-    return F.when(~label.rlike(ci(vocab.FLOW_LABEL)), first_match(label, vocab.ROW_LABELS))
+    return let(clean_label(c), lambda label: F.when(
+        ~label.rlike(ci(vocab.FLOW_LABEL)), first_match(label, vocab.ROW_LABELS)))
 
 
 def snippet(text: Column, start: Column, length: Column, width: int = 220) -> Column:

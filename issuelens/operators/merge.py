@@ -97,6 +97,7 @@ def priority_fill(base: DataFrame, key: str,
     return out.select(*[c for c in base.columns if c not in columns], *filled)
 
 
-def first_valid(candidates: DataFrame, keys: Sequence[str], rank: str, valid: Column) -> DataFrame:
-    """First candidate by rank whose result is valid."""
-    return top_per_group(candidates.filter(valid), keys, [F.col(rank)], 1)
+def first_valid(candidates: DataFrame, keys: Sequence[str], order: Sequence[Column], valid: Column
+                ) -> DataFrame:
+    """First candidate in the order of trial whose result is valid."""
+    return top_per_group(candidates.filter(valid), keys, order, 1)

@@ -45,10 +45,25 @@ def islands(df: DataFrame, keys: Sequence[str], n: str, name: str = "run") -> Da
 
 
 def ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], source: str,
-          name: str) -> DataFrame:
-    """Last non-null value at or before the row (lines or pages of one document)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(source, ignorenulls=True).over(w))
+          name: str, block: int | None = None) -> DataFrame:
+    """Last non-null value at or before the row.
+
+    Without ``block`` a group is one document (its lines or pages). For groups without
+    a bound pass ``block``, a width of the first order column (a number): values are
+    then filled inside blocks, and only one value per block is carried across them.
+    """
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(source, ignorenulls=True).over(w))
+    cut = df.withColumn("__b", F.floor(F.col(order[0]) / block))
+    seen = F.when(F.col(source).isNotNull(), F.struct(*order))
+    ends = cut.groupBy(*keys, "__b").agg(F.max_by(source, seen).alias("__end"))
+    past = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(past)).drop("__end")
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return null_safe_join(cut, carry, [*keys, "__b"]) \
+        .withColumn(name, F.coalesce(F.last(source, ignorenulls=True).over(inside), F.col("__carry"))) \
+        .drop("__b", "__carry")
 
 
 def nearest_mark(df: DataFrame, keys: Sequence[str], n: str, mark: str,

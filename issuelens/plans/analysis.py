@@ -71,7 +71,7 @@ def valuation(df: DataFrame) -> DataFrame:
     EPS of the issuer's peer row.
     """
     eps = F.coalesce(F.when(F.col("issuer_eps") > 0, F.col("issuer_eps")), F.col("issuer_row_eps"))
-    derived = F.round(F.nullif("price_high", F.lit(0.0)) / eps, 2)
+    derived = stable_round(F.nullif("price_high", F.lit(0.0)) / eps, 2)
     pe = F.coalesce("issuer_pe", derived)
     rel = F.when(pe != 0, pe / F.col("peer_median"))
     call = F.when(rel.isNull(), "indeterminate").when(rel < 0.7, "undervalued") \

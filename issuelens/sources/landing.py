@@ -29,11 +29,12 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report corpus, one JSON document per file, keyed by file stem; broken files drop out."""
-    raw = spark.read.schema(REPORT).option("multiLine", True) \
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    raw = spark.read.option("wholetext", True).text(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    return raw.withColumn("cg_ipo_id", stem).filter(F.col("_corrupt_record").isNull()) \
-        .drop("_corrupt_record")
+    parsed = F.from_json("value", REPORT, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return raw.select(stem.alias("cg_ipo_id"), parsed.alias("r")) \
+        .filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()) \
+        .select("cg_ipo_id", "r.*").drop("_corrupt_record")
 
 
 def clean_rows(df: DataFrame, markup: str, id_pattern: str, url_pattern: str,
