@@ -134,6 +134,14 @@ def logit_cv(spark, sf):
         "fold", "accuracy", F.round("baseline_acc", 3).alias("baseline"), "n")
 
 
+@query("signals_cv")
+def signals_cv(spark, sf):
+    """Both pre-listing heads, validated forward in time with training-only statistics."""
+    f = _frame(spark, sf).withColumns({c: log1p_pos(F.col(c)) for c in _INPUTS})
+    out = models.fit_signals(f, _INPUTS, "gain", "opened", "o_orderkey")
+    return out.select("head", *[F.round(c, 3).alias(c) for c in ("error", "baseline", "edge")], "folds_won", "folds", "skill")
+
+
 @query("gbt_fit")
 def gbt_fit(spark, sf):
     """Small boosted regressor of the gain; error against the mean, top inputs."""

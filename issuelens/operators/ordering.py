@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import array_median
+from ..session import materialise
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -217,7 +218,8 @@ def time_folds(df: DataFrame, day: str, row_id: str, frac: float = 0.4, min_rows
                splits: int = 5, name: str = "fold") -> DataFrame:
     """Forward-chaining fold of every dated row: 0 trains only, 1..splits are scored.
 
-    Fold k trains on every row before its block. Only the days that hold a block
+    Fold k trains on every row before its block. The five block edges are found first
+    (a small job over day counts, written once). Only the days that hold a block
     edge are ranked row by row; all other rows are placed by comparing their
     (day, id) with the five edges, so the table itself is never shuffled.
     """
@@ -235,6 +237,7 @@ def time_folds(df: DataFrame, day: str, row_id: str, frac: float = 0.4, min_rows
         .filter((F.col("__edge") >= F.col("__before"))
                 & (F.col("__edge") < F.col("__before") + F.col("__n"))) \
         .select(day, (F.col("__edge") - F.col("__before")).alias("__pos"))
+    edges = materialise(edges)
     on_edge_days = dated.select(day, row_id).join(F.broadcast(edges.select(day).distinct()), day)
     picked = grouped_index(on_edge_days, [day], [], row_id, "__pos").join(edges, [day, "__pos"])
     bounds = picked.agg(F.collect_list(

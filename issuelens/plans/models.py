@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.scalars import clip, log10_floor1, log1p_pos, num
-from ..operators.ordering import exact_quantile
+from ..operators.ordering import exact_quantile, time_folds
+from ..session import materialise
 
 # --- fixed values: model settings -------------------------------------------
 MIN_COVERAGE = 0.5
@@ -179,6 +181,40 @@ def forward_chain(df: DataFrame, fold: str, fit_predict, splits: int = 5) -> Dat
     return out
 
 
+def prepared(df: DataFrame, cols: Sequence[str], train: Column) -> DataFrame:
+    """Imputed and standardised inputs, statistics of the training rows only."""
+    return standardise(impute_median(df, cols, train), cols, train)
+
+
+def fit_signals(df: DataFrame, cols: Sequence[str], y: str, day: str, row_id: str,
+                lam: float = RIDGE_LAMBDA, splits: int = 5) -> DataFrame:
+    """Validates the two pre-listing heads forward in time and says which may ship.
+
+    Magnitude is a ridge, direction a logistic head; each fold learns its medians,
+    scaling and weights from earlier rows only. One row per head with error (or
+    accuracy), baseline, edge and the skill verdict.
+    """
+    rows = time_folds(df.filter(F.col(y).isNotNull()), day, row_id, splits=splits)
+    folded = materialise(rows.select("fold", *cols, y, (F.col(y) > 0).cast("int").alias("up")))
+    sizes, calls = [], []
+    for k in range(1, splits + 1):
+        past = F.col("fold") < k
+        ready = materialise(prepared(folded.filter(F.col("fold") <= k), cols, past))
+        train, test = ready.filter(past), ready.filter(~past)
+        w, _ = solve_ridge(gram(train, cols, y).first().asDict(), cols, lam)
+        sizes.append(test.select("fold", y, predict_linear(cols, w).alias("pred")))
+        head = fit_direction(train, cols, "up")
+        packed = VectorAssembler(inputCols=list(cols), outputCol="features").transform(test)
+        calls.append(head.transform(packed).select("fold", "up", F.col("prediction").alias("pred")))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    magnitude = cv_metrics(fold_errors(union(sizes), fold_baselines(folded, "fold", y), "fold", y, "pred"))
+    right = union(calls).groupBy("fold").agg(F.avg((F.col("pred") == F.col("up")).cast("double")).alias("mae"))
+    bars = majority_baseline(folded, "fold", "up").withColumnRenamed("baseline_acc", "base_mae")
+    direction = cv_metrics(right.join(bars, "fold"), higher_is_better=True)
+    heads = magnitude.withColumn("head", F.lit("magnitude")).unionByName(direction.withColumn("head", F.lit("direction")))
+    return skill_gate(heads)
+
+
 def hash_fold(row_id: Column, k: int = 5) -> Column:
     """Deterministic shuffled fold of the older trainer."""
     return F.pmod(F.xxhash64(row_id), F.lit(k)).cast("int")
