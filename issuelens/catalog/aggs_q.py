@@ -383,13 +383,13 @@ def margin_series(spark, sf):
                     F.round(F.col("ebitda") / F.nullif("revenue", F.lit(0.0)), 6).alias("operating_margin"))
 
 
-_SCAN = "scan AS (SELECT doc_id, n, text FROM dpages WHERE n % 3 <> 0)"
+_SCAN = "scan AS (SELECT doc_id, n, text FROM dpages WHERE length(text) >= 300)"
 
 
 @query("islands", f"""
 WITH {PAGES}, {_SCAN} SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM scan""")
 def islands_q(spark, sf):
-    return ordering.islands(doc_pages(spark, sf).filter("n % 3 <> 0"), ["doc_id"], "n").select("doc_id", "n", "run")
+    return ordering.islands(doc_pages(spark, sf).filter("length(text) >= 300"), ["doc_id"], "n").select("doc_id", "n", "run")
 
 
 @query("ffill", f"""

@@ -129,7 +129,7 @@ def anchor_pages(spark, sf):
 
 
 @query("unit_resolve", f"""
-WITH {PAGES}, scan AS (SELECT doc_id, n, nullif(lower(regexp_extract(text, '(that|tion|ment) ', 1)), '') AS own FROM dpages WHERE n % 4 <> 0),
+WITH {PAGES}, scan AS (SELECT doc_id, n, nullif(lower(regexp_extract(text, '(that|tion|ment) ', 1)), '') AS own FROM dpages WHERE length(text) >= 300),
 runs AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM scan),
 m AS (SELECT * FROM runs WHERE own IS NOT NULL),
 r AS (SELECT r.doc_id, r.n, arg_min(m.own, (abs(m.n - r.n), m.n)) AS unit FROM runs r LEFT JOIN m ON m.doc_id = r.doc_id AND m.run = r.run GROUP BY 1, 2)
@@ -139,7 +139,7 @@ def unit_resolve(spark, sf):
     words = {"that": "lakh", "tion": "crore", "ment": "million"}
     back = {v: k for k, v in words.items()}
     unit = F.concat(F.lit("rs in "), S.lookup(F.replace(caption, F.lit("rs in "), F.lit("")), words))
-    scan = doc_pages(spark, sf).filter("n % 4 <> 0").withColumn("text", F.coalesce(unit, F.lit("")))
+    scan = doc_pages(spark, sf).filter("length(text) >= 300").withColumn("text", F.coalesce(unit, F.lit("")))
     out = ffill(facts.resolve_units(scan), ["doc_id"], ["n"], "unit", "unit")
     return out.select("doc_id", "n", S.lookup(F.col("unit"), back).alias("unit"))
 
@@ -364,10 +364,10 @@ def note_totals(spark, sf):
 
 
 @query("promoters", f"""
-WITH {_PROSP} SELECT doc_id, 'Asha Rao' AS names, CASE WHEN k + 3 < 100 THEN CAST(k + 3 AS VARCHAR) END AS experience,
-  1 AS independent_directors, false AS conflicts FROM p WHERE fresh IS NOT NULL AND k + 3 < 100""")
+WITH {_PROSP} SELECT doc_id, 'Asha Rao' AS names, CASE WHEN k + 3 < 100 THEN CAST(k + 3 AS VARCHAR) ELSE '' END AS experience,
+  1 AS independent_directors, false AS conflicts FROM p WHERE fresh IS NOT NULL""")
 def promoters(spark, sf):
-    pages = _prospectus(spark, sf).filter(F.col("fresh").isNotNull() & (F.col("k") + 3 < 100))
+    pages = _prospectus(spark, sf).filter(F.col("fresh").isNotNull())
     chapters = pages.select("doc_id", F.col("text").alias("promoters"), F.col("text").alias("management"), F.lit("").alias("group_companies"))
     out = entities.promoters(chapters)
     return out.select("doc_id", F.array_join("names", ",").alias("names"),

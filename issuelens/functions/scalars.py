@@ -161,9 +161,7 @@ def first_match(c: Column, table: Sequence[tuple[str, str]], default: str | None
 
 def detect_unit(c: Column) -> Column:
     """Unit word of an amounts caption, lower case."""
-    caption = extract(c, ci(r"(?:₹|rs\.?|rupees|inr)\s*(?:in\s+)?(" + vocab.UNIT_WORDS + ")"))
-    bracket = extract(c, ci(r"\(\s*(?:all\s+amounts?\s+)?(?:₹|rs\.?|inr)?\s*in\s+"
-                            r"(lakhs?|lacs|crores?|millions?|mn)"))
+    caption, bracket = extract(c, ci(vocab.UNIT_CAPTION)), extract(c, ci(vocab.UNIT_BRACKET))
     return F.lower(F.coalesce(caption, bracket))
 
 

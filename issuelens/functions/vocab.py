@@ -364,3 +364,87 @@ RISK_TIERS = [
     (75, "low risk profile"), (55, "moderate risk profile"), (35, "elevated risk profile"),
 ]
 RISK_FLOOR = "high risk profile"
+
+# --- fixed values: patterns of issue details -----------------------------------------------
+_GAP, _PCT = r"[^%\n]{0,160}?", r"([\d]{1,2}(?:\.\d+)?)\s*%"
+PRE_ISSUE, POST_ISSUE = r"pre[\s-]?(?:offer|issue)", r"post[\s-]?(?:offer|issue)"
+ISSUE_PATTERNS = {
+    "band": rf"price\s+band\s*[:of]*\s*{RUPEE}\s*([\d,\.]+)\s*(?:to|–|-)\s*{RUPEE}?\s*([\d,\.]+)",
+    "fixed": rf"(?:issue|offer)\s+price\s*(?:of|:)?\s*{RUPEE}\s*([\d,]+(?:\.\d+)?)\s*(?:/-|per|each|\s)",
+    "face": rf"face\s+value\s+of\s*{RUPEE}\s*([\d\.]+)",
+    "fresh": rf"fresh\s+issue\s+of[^.]*?aggregating\s+(?:up\s+to\s+)?{AMOUNT}",
+    "ofs": rf"offer\s+for\s+sale\s+of[^.]*?aggregating\s+(?:up\s+to\s+)?{AMOUNT}",
+    "lot": r"(?:bid\s+lot|lot\s+size|minimum\s+(?:bid|order)\s+(?:lot|quantity))\D{0,40}?(\d{1,4})\s+equity\s+shares",
+    "exchanges": r"\bNSE\b.{0,40}\bBSE\b|\bBSE\b.{0,40}\bNSE\b",
+    "pre_a": rf"{PRE_ISSUE}{_GAP}promoters?{_GAP}{_PCT}",
+    "pre_b": rf"promoters?{_GAP}{PRE_ISSUE}{_GAP}{_PCT}",
+    "post_a": rf"{POST_ISSUE}{_GAP}promoters?{_GAP}{_PCT}",
+    "post_b": rf"promoters?{_GAP}{POST_ISSUE}{_GAP}{_PCT}",
+}
+ISSUER_PE_PATTERNS = {
+    "a": r"p\s*/\s*e\s*(?:ratio)?[^\n]{0,120}?(?:cap|upper|higher)[^\n]{0,80}?price\s+band[^\d]{0,40}([\d]{1,3}(?:\.\d+)?)",
+    "b": r"price\s+band[^\n]{0,120}?p\s*/\s*e[^\d]{0,60}([\d]{1,3}(?:\.\d+)?)\s*times",
+}
+COMPANY_CAPS = r"^([A-Z][A-Z0-9&.,()\- ]{3,80}LIMITED)\s*$"
+COMPANY_MIXED = r"^([A-Z][A-Za-z0-9&.,()\- ]{3,80}(?:LIMITED|Limited))\s*$"
+TOC_LINE = r"^(.{4,80}?)[\s.·]{3,}(\d{1,4})\s*$"
+
+# --- fixed values: table columns and rows ----------------------------------------------------
+PE_COLUMN = r"p\s*[/\\]?\s*e\b|\bpe\s*ratio\b|price\s*(?:/|to)\s*earning"
+EPS_COLUMN = r"\beps\b|earning[s]?\s+per\s+share"
+EPS_BASIC_COLUMN = r"eps.*basic|basic.*eps"
+RONW_COLUMN = r"ronw|return on net"
+PERCENT_COLUMN = r"%|percentage"
+NOT_A_PEER = r"peer|company name|^name$|average|nifty"
+FISCAL_ROW = r"fiscal|financial year|fy\s*\d|20\d\d"
+NOT_PROMOTER = r"public|non[- ]promoter"
+PAGE_UNIT = r"(?:₹|rs\.?|inr)?\s*(?:in\s+)?(lakhs?|lacs|crores?|millions?|billions?)"
+UNIT_CAPTION = r"(?:₹|rs\.?|rupees|inr)\s*(?:in\s+)?(" + UNIT_WORDS + ")"
+UNIT_BRACKET = r"\(\s*(?:all\s+amounts?\s+)?(?:₹|rs\.?|inr)?\s*in\s+(lakhs?|lacs|crores?|millions?|mn)"
+
+# --- fixed values: values and headings of borderless statements --------------------------------
+STATEMENT_NUMBER = r"\(?-?\d{1,3}(?:,\d{2,3})+(?:\.\d+)?\)?|\(?-?\d+\.\d+\)?"
+NON_CURRENT_HEADING = r"non[\s-]?current\s+liabilit"
+CURRENT_HEADING = r"^current\s+liabilit"
+BARE_BORROWINGS = r"^borrowings?$"
+
+# --- fixed values: disclosures -------------------------------------------------------------------
+RELATED_PARTY = r"related\s+party\s+(?:transactions?|disclosures?)"
+RELATED_PARTY_AMOUNTS = [
+    rf"(?:total|aggregate)[^\n]{{0,80}}related\s+party[^\n]{{0,80}}?{STRICT_AMOUNT}",
+    rf"related\s+party\s+transactions?[^\n]{{0,120}}?(?:aggregat\w+|total\w*)[^\n]{{0,60}}?{STRICT_AMOUNT}",
+]
+CONTINGENT = r"contingent\s+liabilit(?:y|ies)"
+CONTINGENT_AMOUNTS = [rf"contingent\s+liabilit(?:y|ies)[^\n]{{0,200}}?{STRICT_AMOUNT}"]
+TOTAL_ROW = r"^\s*total"
+CONTINGENT_ROW = r"^\s*total|contingent\s+liabilit"
+LITIGATION_AMOUNT = rf"aggregate\s+amount[^.\n]{{0,120}}?{AMOUNT}"
+NO_DIVIDEND = r"(?:not\s+(?:declared|paid)|no\s+dividend)"
+DIVIDEND = r"dividend\s+of\s+₹|declared\s+(?:and\s+paid\s+)?dividends?"
+PLEDGE = (r"([^\n.]{0,150}pledg\w+[^\n.]{0,150}promot\w+[^\n.]{0,100}"
+          r"|[^\n.]{0,150}promot\w+[^\n.]{0,80}pledg\w+[^\n.]{0,150})")
+NO_PLEDGE = (r"(?:none|nil|no|not)\s+(?:of\s+the\s+)?(?:equity\s+)?shares?\s+.{0,40}pledg"
+             r"|pledg\w+\s*:?\s*(?:nil|none)")
+QUALIFIED_OPINION = r"qualified\s+opinion|adverse\s+opinion|disclaimer\s+of\s+opinion"
+EMPHASIS = r"emphasis\s+of\s+matter"
+
+# --- fixed values: promoters ----------------------------------------------------------------------
+PROMOTER_STATED = (
+    r"([A-Z][a-zA-Z.]+(?:[ \t]+[A-Z][a-zA-Z.]+){1,3})\s*(?:,\s*aged\s+\d+\s+years?)?\s*,?\s+"
+    r"(?:is|are)\s+(?:one\s+of\s+)?(?:our|the)\s+Promoters?"
+)
+PROMOTERS_LISTED = r"[Oo]ur\s+Promoters?\s+(?:are|is)\s+([^.]{5,200})\."
+EXPERIENCE = r"(?:experience|track record)\s+of\s+(?:over|more than|approximately|around)?\s*(\d{1,2})\s+years"
+INDEPENDENT_DIRECTOR = r"independent\s+director"
+WOMAN_DIRECTOR = r"woman\s+director"
+CONFLICT = r"(?:conflict\s+of\s+interest|similar\s+(?:line\s+of\s+)?business|common\s+pursuits)"
+PAST_VENTURE = r"(?:previously\s+(?:founded|promoted)|erstwhile\s+(?:venture|company)|disassociat\w+)"
+
+# --- fixed values: quantified risks -----------------------------------------------------------------
+CONCENTRATION = r"top\s+(?:ten|five|10|5|three|3)?\s*(?:{noun})[^.\n]{{0,200}}?([\d]{{1,2}}(?:\.\d+)?)\s*%"
+DEPENDENCE = r"depend\w*\s+on\s+(?:a\s+)?(?:limited|few|small)\s+(?:number\s+of\s+)?(?:{noun})"
+NEGATIVE_WORKING_CAPITAL = r"[^.\n]{0,120}negative\s+working\s+capital[^.\n]{0,120}"
+NEGATIVE_CASH_FLOW = r"negative\s+cash\s+flows?"
+EXPORT_SHARE = r"exports?[^.\n]{0,140}?([\d]{1,2}(?:\.\d+)?)\s*%[^.\n]{0,80}(?:revenue|turnover)"
+PARAGRAPH_BREAK = r"\n\s*\n|\n(?=\d{1,3}\.\s)"
+SPECIFIC_FIGURE = r"\d+(?:\.\d+)?\s*%|₹\s*[\d,]+"

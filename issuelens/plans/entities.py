@@ -59,26 +59,14 @@ def issue_details(pages: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFr
     front = cover_range(docs).unionByName(page_ranges(spans, [
         "offer_structure", "terms_of_offer", "capital_structure", "general_information",
         "offer_summary", "basis_for_offer_price"]))
-    rupee, money = vocab.RUPEE, vocab.AMOUNT
+    shape = vocab.ISSUE_PATTERNS
+    groups = {"band": 2, "fixed": 1, "face": 1, "fresh": 2, "ofs": 2, "lot": 1}
     found = first_hits(pages, front, {
-        "band": _groups(text, rf"price\s+band\s*[:of]*\s*{rupee}\s*([\d,\.]+)\s*(?:to|–|-)\s*{rupee}?\s*([\d,\.]+)", 2),
-        "fixed": _groups(text, rf"(?:issue|offer)\s+price\s*(?:of|:)?\s*{rupee}\s*([\d,]+(?:\.\d+)?)\s*(?:/-|per|each|\s)", 1),
-        "face": _groups(text, rf"face\s+value\s+of\s*{rupee}\s*([\d\.]+)", 1),
-        "fresh": _groups(text, rf"fresh\s+issue\s+of[^.]*?aggregating\s+(?:up\s+to\s+)?{money}", 2),
-        "ofs": _groups(text, rf"offer\s+for\s+sale\s+of[^.]*?aggregating\s+(?:up\s+to\s+)?{money}", 2),
-        "lot": _groups(text, r"(?:bid\s+lot|lot\s+size|minimum\s+(?:bid|order)\s+(?:lot|quantity))\D{0,40}?(\d{1,4})\s+equity\s+shares", 1),
-        "both": F.when(text.rlike(r"(?is)\bNSE\b.{0,40}\bBSE\b|\bBSE\b.{0,40}\bNSE\b"), F.lit("BSE, NSE")),
-    })
-    gap, pct = r"[^%\n]{0,160}?", r"([\d]{1,2}(?:\.\d+)?)\s*%"
-    pre, post = r"pre[\s-]?(?:offer|issue)", r"post[\s-]?(?:offer|issue)"
-
-    def side(word: str) -> Mapping[str, Column]:
-        return {"a": _groups(text, rf"{word}{gap}promoters?{gap}{pct}", 1),
-                "b": _groups(text, rf"promoters?{gap}{word}{gap}{pct}", 1)}
-
+        **{k: _groups(text, shape[k], n) for k, n in groups.items()},
+        "both": F.when(text.rlike("(?is)" + shape["exchanges"]), F.lit("BSE, NSE"))})
     capital = page_ranges(spans, ["capital_structure"])
     holds = first_hits(pages, _or_whole(capital, docs, pages), {
-        f"{w}_{k}": v for w, word in (("pre", pre), ("post", post)) for k, v in side(word).items()})
+        k: _groups(text, shape[k], 1) for k in ("pre_a", "pre_b", "post_a", "post_b")})
     out = docs.select("doc_id").join(found, "doc_id", "left").join(holds, "doc_id", "left")
     low, high = amount(F.col("band.g1")), amount(F.col("band.g2"))
     single = F.when(low.isNull(), amount(F.col("fixed.g1")))
@@ -149,21 +137,18 @@ def _first_table(rows: DataFrame) -> DataFrame:
         (F.col("page") == F.col("__f.page")) & (F.col("table_no") == F.col("__f.table_no"))).drop("__f")
 
 
-_PE = r"p\s*[/\\]?\s*e\b|\bpe\s*ratio\b|price\s*(?:/|to)\s*earning"
-_EPS = r"\beps\b|earning[s]?\s+per\s+share"
-
-
 def peers(cells: DataFrame, companies: DataFrame) -> DataFrame:
     """Listed-peer table of each document: name, P/E, EPS and RoNW; the issuer's row is tagged.
 
     ``cells`` are those of the pricing chapter, ``companies`` (doc_id, company_name).
     """
     cols = _columns(fold_header(cells), {
-        "__eps": [r"eps.*basic|basic.*eps", _EPS], "__pe": [_PE], "__ronw": [r"ronw|return on net"]})
+        "__eps": [vocab.EPS_BASIC_COLUMN, vocab.EPS_COLUMN], "__pe": [vocab.PE_COLUMN],
+        "__ronw": [vocab.RONW_COLUMN]})
     picked = cols.filter(F.col("__pe").isNotNull() & F.col("__eps").isNotNull())
     rows = _body(cells, picked, ["pe", "eps", "ronw"])
     kept = rows.filter((F.col("label") != "") & ~F.col("label").rlike(
-        ci(r"peer|company name|^name$|average|nifty")))
+        ci(vocab.NOT_A_PEER)))
     name = F.regexp_replace(F.regexp_replace("label", r"\s+", " "), r"[#*^~†\s]+$", "")
     valued = kept.select("doc_id", "page", "table_no", "row_no", name.alias("name"),
                          *[amount(F.col(c)).alias(c) for c in ("pe", "eps", "ronw")]) \
@@ -178,12 +163,12 @@ def peers(cells: DataFrame, companies: DataFrame) -> DataFrame:
 def weighted_eps(cells: DataFrame) -> DataFrame:
     """Issuer EPS: the document's own weighted row, else the mean over (year, weight)."""
     cols = _columns(fold_header(cells), {
-        "__basic": [r"basic.*eps|eps.*basic", r"\beps\b"], "__weight": [r"weight"]})
+        "__basic": [vocab.EPS_BASIC_COLUMN, r"\beps\b"], "__weight": [r"weight"]})
     picked = cols.filter(F.col("__basic").isNotNull() & F.col("__weight").isNotNull())
     rows = _body(cells, picked, ["basic", "weight"]) \
         .withColumn("v", amount(F.col("basic"))).withColumn("w", amount(F.col("weight")))
     own = F.lower("label").contains("weighted")
-    fiscal = F.lower("label").rlike(r"fiscal|financial year|fy\s*\d|20\d\d") & ~own
+    fiscal = F.lower("label").rlike(vocab.FISCAL_ROW) & ~own
     return weighted_mean(rows, TABLE, F.when(own & (F.col("v") != 0), F.col("v")),
                          F.when(fiscal, F.col("v")), F.when(fiscal, F.nullif("w", F.lit(0.0)))) \
         .filter(F.col("value").isNotNull()).transform(_first_table).select("doc_id", F.col("value").alias("eps"))
@@ -200,10 +185,10 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], own: Column, value: Column
 def post_issue_holding(cells: DataFrame) -> DataFrame:
     """Promoter holding after the issue from the shareholding table (last % column)."""
     head = fold_header(cells)
-    cols = _columns(head, {"__post": [r"post[\s-]?(?:offer|issue)"], "__pct": [r"%|percentage"]}, last=["__pct"])
+    cols = _columns(head, {"__post": [vocab.POST_ISSUE], "__pct": [vocab.PERCENT_COLUMN]}, last=["__pct"])
     picked = cols.filter(F.col("__post").isNotNull() & F.col("__pct").isNotNull())
     rows = _body(cells, picked, ["pct"]).withColumn("v", amount(F.col("pct"))).filter(
-        F.col("label").rlike(ci("promoter")) & ~F.col("label").rlike(ci("public|non[- ]promoter"))
+        F.col("label").rlike(ci("promoter")) & ~F.col("label").rlike(ci(vocab.NOT_PROMOTER))
         & (F.col("v") > 0) & (F.col("v") <= 100))
     return top_per_group(rows, ["doc_id"], [F.col("page"), F.col("table_no"), F.col("row_no")]) \
         .select("doc_id", F.col("v").alias("post_issue_promoter_pct"), "page")
@@ -230,7 +215,7 @@ def note_total(pages: DataFrame, cells: DataFrame, found: str, patterns: Sequenc
     first = top_per_group(noted, ["doc_id"], [F.col("n")])
     printed = F.coalesce(*[F.when(text.rlike(ci(p)), to_crore(
         F.regexp_extract(text, ci(p), 1), F.regexp_extract(text, ci(p), 2))) for p in patterns])
-    unit = F.lower(extract(text, ci(r"(?:₹|rs\.?|inr)?\s*(?:in\s+)?(lakhs?|lacs|crores?|millions?|billions?)")))
+    unit = F.lower(extract(text, ci(vocab.PAGE_UNIT)))
     stated = F.lit(False)
     for p in patterns:
         stated = stated | text.rlike(ci(p))
@@ -241,17 +226,11 @@ def note_total(pages: DataFrame, cells: DataFrame, found: str, patterns: Sequenc
 
 
 def related_party(pages: DataFrame, cells: DataFrame) -> DataFrame:
-    a = vocab.STRICT_AMOUNT
-    return note_total(pages, cells, r"related\s+party\s+(?:transactions?|disclosures?)", [
-        rf"(?:total|aggregate)[^\n]{{0,80}}related\s+party[^\n]{{0,80}}?{a}",
-        rf"related\s+party\s+transactions?[^\n]{{0,120}}?(?:aggregat\w+|total\w*)[^\n]{{0,60}}?{a}",
-    ], r"^\s*total")
+    return note_total(pages, cells, vocab.RELATED_PARTY, vocab.RELATED_PARTY_AMOUNTS, vocab.TOTAL_ROW)
 
 
 def contingent(pages: DataFrame, cells: DataFrame) -> DataFrame:
-    return note_total(pages, cells, r"contingent\s+liabilit(?:y|ies)", [
-        rf"contingent\s+liabilit(?:y|ies)[^\n]{{0,200}}?{vocab.STRICT_AMOUNT}",
-    ], r"^\s*total|contingent\s+liabilit")
+    return note_total(pages, cells, vocab.CONTINGENT, vocab.CONTINGENT_AMOUNTS, vocab.CONTINGENT_ROW)
 
 
 # ------------------------------------------------------------------ chapter texts
@@ -275,7 +254,7 @@ def litigation_counts(text: Column, kinds: Sequence[tuple[str, str]] = vocab.LIT
 
 
 def litigation_amount(text: Column) -> Column:
-    p = ci(rf"aggregate\s+amount[^.\n]{{0,120}}?{vocab.AMOUNT}")
+    p = ci(vocab.LITIGATION_AMOUNT)
     return F.when(text.rlike(p), to_crore(F.regexp_extract(text, p, 1), F.regexp_extract(text, p, 2)))
 
 
@@ -285,18 +264,11 @@ def tri_state(text: Column, negative: str, positive: str) -> Column:
 
 
 def dividend(text: Column) -> Column:
-    return tri_state(text, r"(?:not\s+(?:declared|paid)|no\s+dividend)",
-                     r"dividend\s+of\s+₹|declared\s+(?:and\s+paid\s+)?dividends?")
-
+    return tri_state(text, vocab.NO_DIVIDEND, vocab.DIVIDEND)
 
-PLEDGE = (r"([^\n.]{0,150}pledg\w+[^\n.]{0,150}promot\w+[^\n.]{0,100}"
-          r"|[^\n.]{0,150}promot\w+[^\n.]{0,80}pledg\w+[^\n.]{0,150})")
-NO_PLEDGE = (r"(?:none|nil|no|not)\s+(?:of\s+the\s+)?(?:equity\s+)?shares?\s+.{0,40}pledg"
-             r"|pledg\w+\s*:?\s*(?:nil|none)")
 
-
-def pledging(pages: DataFrame, ranges: DataFrame, pattern: str = PLEDGE,
-             negation: str = NO_PLEDGE) -> DataFrame:
+def pledging(pages: DataFrame, ranges: DataFrame, pattern: str = vocab.PLEDGE,
+             negation: str = vocab.NO_PLEDGE) -> DataFrame:
     """First pledge statement per chapter; a denial there moves on to the next chapter."""
     hit = F.trim(F.regexp_replace(extract(F.col("text"), ci(pattern)), r"\s+", " "))
     hits = pages.select("doc_id", "n", hit.alias("evidence")).filter(F.col("evidence").isNotNull())
@@ -308,8 +280,8 @@ def pledging(pages: DataFrame, ranges: DataFrame, pattern: str = PLEDGE,
         F.col("h.n").alias("source_page"))
 
 
-def auditor_flags(pages: DataFrame, qualified: str = r"qualified\s+opinion|adverse\s+opinion|disclaimer\s+of\s+opinion",
-                  emphasis: str = r"emphasis\s+of\s+matter") -> DataFrame:
+def auditor_flags(pages: DataFrame, qualified: str = vocab.QUALIFIED_OPINION,
+                  emphasis: str = vocab.EMPHASIS) -> DataFrame:
     """Reservation flags; the page is the last qualified one, else the first emphasis."""
     q, e = F.col("text").rlike(ci(qualified)), F.col("text").rlike(ci(emphasis))
     return pages.select("doc_id", "n", q.alias("q"), e.alias("e")).groupBy("doc_id").agg(
@@ -322,22 +294,16 @@ def issuer_pe(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """P/E printed at the price band."""
     text = F.col("text")
     hits = first_hits(pages, ranges, {
-        "a": extract(text, "(?is)" + r"p\s*/\s*e\s*(?:ratio)?[^\n]{0,120}?(?:cap|upper|higher)[^\n]{0,80}?"
-                     r"price\s+band[^\d]{0,40}([\d]{1,3}(?:\.\d+)?)"),
-        "b": extract(text, "(?is)" + r"price\s+band[^\n]{0,120}?p\s*/\s*e[^\d]{0,60}([\d]{1,3}(?:\.\d+)?)\s*times")})
+        k: extract(text, "(?is)" + p) for k, p in vocab.ISSUER_PE_PATTERNS.items()})
     return hits.select("doc_id", amount(F.coalesce("a", "b")).alias("issuer_pe"),
                        F.coalesce("a_page", "b_page").alias("issuer_pe_page"))
 
 
-_NAME = r"([A-Z][a-zA-Z.]+(?:[ \t]+[A-Z][a-zA-Z.]+){1,3})"
-
-
 def promoter_names(text: Column, limit: int = 8) -> Column:
     """Distinct promoter names of the chapter; an enumerating sentence is the fallback."""
-    stated = F.regexp_extract_all(text, F.lit(
-        _NAME + r"\s*(?:,\s*aged\s+\d+\s+years?)?\s*,?\s+(?:is|are)\s+(?:one\s+of\s+)?(?:our|the)\s+Promoters?"), 1)
+    stated = F.regexp_extract_all(text, F.lit(vocab.PROMOTER_STATED), 1)
     names = F.slice(F.filter(F.array_distinct(stated), lambda x: ~x.rlike("Company|Limited")), 1, limit)
-    listed = F.split(F.regexp_extract(text, r"[Oo]ur\s+Promoters?\s+(?:are|is)\s+([^.]{5,200})\.", 1),
+    listed = F.split(F.regexp_extract(text, vocab.PROMOTERS_LISTED, 1),
                      r",\s*|\s+and\s+")
     fallback = F.slice(F.filter(F.transform(listed, lambda x: F.trim(x)),
                                 lambda x: (F.length(x) > 3) & (F.length(x) < 60)), 1, limit)
@@ -345,8 +311,7 @@ def promoter_names(text: Column, limit: int = 8) -> Column:
 
 
 def experience_claims(text: Column, minimum: int = 3, limit: int = 6) -> Column:
-    years = F.regexp_extract_all(text, F.lit(ci(
-        r"(?:experience|track record)\s+of\s+(?:over|more than|approximately|around)?\s*(\d{1,2})\s+years")), 1)
+    years = F.regexp_extract_all(text, F.lit(ci(vocab.EXPERIENCE)), 1)
     return numeric_claims(years, minimum, limit)
 
 
@@ -361,12 +326,10 @@ def promoters(chapters: DataFrame) -> DataFrame:
     p, m, g = (F.coalesce(c, F.lit("")) for c in ("promoters", "management", "group_companies"))
     return chapters.select(
         "doc_id", promoter_names(p).alias("names"), experience_claims(F.concat(p, m)).alias("experience_claims"),
-        F.regexp_count(m, F.lit(ci(r"independent\s+director"))).alias("independent_director_mentions"),
-        F.regexp_count(m, F.lit(ci(r"woman\s+director"))).alias("woman_director_mentions"),
-        F.concat(g, p).rlike(ci(r"(?:conflict\s+of\s+interest|similar\s+(?:line\s+of\s+)?business|common\s+pursuits)"))
-        .alias("group_company_conflicts"),
-        p.rlike(ci(r"(?:previously\s+(?:founded|promoted)|erstwhile\s+(?:venture|company)|disassociat\w+)"))
-        .alias("past_ventures_mentioned"))
+        F.regexp_count(m, F.lit(ci(vocab.INDEPENDENT_DIRECTOR))).alias("independent_director_mentions"),
+        F.regexp_count(m, F.lit(ci(vocab.WOMAN_DIRECTOR))).alias("woman_director_mentions"),
+        F.concat(g, p).rlike(ci(vocab.CONFLICT)).alias("group_company_conflicts"),
+        p.rlike(ci(vocab.PAST_VENTURE)).alias("past_ventures_mentioned"))
 
 
 def keyword_retrieval(sections: DataFrame, question: str, keys: Sequence[str], section_id: str,

@@ -79,8 +79,7 @@ def table_facts(cells: DataFrame, confidence: float = 0.9) -> DataFrame:
                 F.lit(confidence).alias("confidence"))
 
 
-_NUMBER = r"\(?-?\d{1,3}(?:,\d{2,3})+(?:\.\d+)?\)?|\(?-?\d+\.\d+\)?"
-_CELL = rf"(?:{_NUMBER}|[-–—])"
+_CELL = rf"(?:{vocab.STATEMENT_NUMBER}|[-–—])"
 _TAIL = rf"(?:^|\s)((?:{_CELL}\s+)*{_CELL})\s*$"
 _DASHES = ("-", "–", "—")
 
@@ -92,8 +91,8 @@ def _cell_value(token: Column) -> Column:
 def _liability_side(lines: Column, pos: Column) -> Column:
     """'lt' or 'st' by the last liability heading at or above a line."""
     sides = F.transform(F.slice(lines, 1, pos + 1), lambda x, i: F.when(
-        x.rlike(ci(r"non[\s-]?current\s+liabilit")), F.struct(i.alias("i"), F.lit("lt").alias("s")))
-        .when(x.rlike(ci(r"^current\s+liabilit")), F.struct(i.alias("i"), F.lit("st").alias("s"))))
+        x.rlike(ci(vocab.NON_CURRENT_HEADING)), F.struct(i.alias("i"), F.lit("lt").alias("s")))
+        .when(x.rlike(ci(vocab.CURRENT_HEADING)), F.struct(i.alias("i"), F.lit("st").alias("s"))))
     return F.array_max(F.array_compact(sides))["s"]
 
 
@@ -111,7 +110,7 @@ def borderless_rows(pages: DataFrame) -> DataFrame:
     base = pages.filter(n > 0).withColumn("__lines", lines) \
         .select("doc_id", "n", "labels", "__lines", F.posexplode("__lines").alias("pos", "line"))
     label = clean_label(F.col("line"))
-    bare = label.rlike(ci(r"^borrowings?$"))
+    bare = label.rlike(ci(vocab.BARE_BORROWINGS))
     metric = F.coalesce(metric_of(F.col("line")), F.when(
         bare, F.concat(F.lit("borrowings_"), _liability_side(F.col("__lines"), F.col("pos")))))
     labelled = base.withColumn("metric", metric).filter(F.col("metric").isNotNull())

@@ -50,12 +50,12 @@ def risk_findings(profile: DataFrame) -> DataFrame:
     rp = F.col("risk_page")
     found: list[Column] = []
     for kind, (noun, label, bands) in vocab.CONCENTRATION_BANDS.items():
-        share = ci(rf"top\s+(?:ten|five|10|5|three|3)?\s*(?:{noun})[^.\n]{{0,200}}?([\d]{{1,2}}(?:\.\d+)?)\s*%")
+        share = ci(vocab.CONCENTRATION.format(noun=noun))
         pct = extract(both, share).cast("double")
         found.append(_finding(pct.isNotNull(), kind, pct_severity(pct, bands),
                               F.concat(F.lit(f"Top {label} concentration: "), F.format_number(pct, 0), F.lit("%")),
                               f"top_{label}_share_pct", pct, _around(both, share), rp))
-        vague = ci(rf"depend\w*\s+on\s+(?:a\s+)?(?:limited|few|small)\s+(?:number\s+of\s+)?(?:{noun})")
+        vague = ci(vocab.DEPENDENCE.format(noun=noun))
         found.append(_finding(pct.isNull() & both.rlike(vague), kind, "medium",
                               f"Dependence on limited {label}s (unquantified)", page=rp))
 
@@ -71,8 +71,8 @@ def risk_findings(profile: DataFrame) -> DataFrame:
                           F.when(cr < 0.9, "high").otherwise("medium"),
                           F.concat(F.lit("Current ratio "), F.format_number(cr, 2)),
                           "current_ratio", F.round(cr, 2), page=rp))
-    tight = ci(r"[^.\n]{0,120}negative\s+working\s+capital[^.\n]{0,120}")
-    found.append(_finding(~F.coalesce(cr < 1.1, F.lit(False)) & both.rlike(ci(r"negative\s+working\s+capital")), "working_capital", "medium",
+    tight = ci(vocab.NEGATIVE_WORKING_CAPITAL)
+    found.append(_finding(~F.coalesce(cr < 1.1, F.lit(False)) & both.rlike(ci(_core(vocab.NEGATIVE_WORKING_CAPITAL))), "working_capital", "medium",
                           "Negative working capital disclosed", evidence=F.regexp_extract(both, tight, 0), page=rp))
     minus = F.filter("years", lambda y: y["cfo"] < 0)
     n_minus = F.size(minus)
@@ -82,7 +82,7 @@ def risk_findings(profile: DataFrame) -> DataFrame:
                           F.when(n_minus >= 2, "high").otherwise("medium"),
                           F.concat(F.lit("Negative operating cash flow in "), fys),
                           "cfo_negative_years", n_minus, page=rp))
-    found.append(_finding(F.coalesce(n_minus, F.lit(0)).isin(0, -1) & risk.rlike(ci(r"negative\s+cash\s+flows?")),
+    found.append(_finding(F.coalesce(n_minus, F.lit(0)).isin(0, -1) & risk.rlike(ci(vocab.NEGATIVE_CASH_FLOW)),
                           "negative_cash_flow", "medium",
                           "Company discloses history of negative cash flows", page=rp))
     crim = F.col("criminal")
@@ -98,7 +98,7 @@ def risk_findings(profile: DataFrame) -> DataFrame:
     for kind, pattern, severity, title in vocab.RISK_PATTERNS:
         found.append(_finding(risk.rlike(ci(_core(pattern))), kind, severity, title,
                               evidence=_around(risk, ci(pattern)), page=rp))
-    exports = ci(r"exports?[^.\n]{0,140}?([\d]{1,2}(?:\.\d+)?)\s*%[^.\n]{0,80}(?:revenue|turnover)")
+    exports = ci(vocab.EXPORT_SHARE)
     share = extract(both, exports).cast("double")
     found.append(_finding(share >= 30, "forex_exposure", "medium",
                           F.concat(F.lit("Exports ≈ "), extract(both, exports), F.lit("% of revenue")),
@@ -141,8 +141,8 @@ def severity_counts(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.groupBy(key).pivot("severity", vocab.SEVERITIES).count().fillna(0, vocab.SEVERITIES)
 
 
-def specificity(text: Column, split: str = r"\n\s*\n|\n(?=\d{1,3}\.\s)", min_chars: int = 200,
-                specific: str = r"\d+(?:\.\d+)?\s*%|₹\s*[\d,]+") -> list[Column]:
+def specificity(text: Column, split: str = vocab.PARAGRAPH_BREAK, min_chars: int = 200,
+                specific: str = vocab.SPECIFIC_FIGURE) -> list[Column]:
     """Long paragraphs of a risk chapter and how many of them state a figure."""
     paras = F.filter(F.split(text, split), lambda p: F.length(F.trim(p)) > min_chars)
     stated = F.filter(paras, lambda p: p.rlike(specific))

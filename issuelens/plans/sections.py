@@ -114,7 +114,7 @@ def toc_lines(pages: DataFrame, first_pages: int = 15) -> DataFrame:
     """Printed contents lines 'TITLE ..... 28' of the front matter."""
     lines = pages.filter(F.col("n") <= first_pages) \
         .select("doc_id", "n", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
-    pattern = r"^(.{4,80}?)[\s.·]{3,}(\d{1,4})\s*$"
+    pattern = vocab.TOC_LINE
     line = F.trim("line")
     return lines.filter(line.rlike(pattern)).select(
         "doc_id", "n", "pos", F.trim(F.regexp_extract(line, pattern, 1)).alias("title"),
@@ -248,6 +248,6 @@ def pages_of_lines(docs: DataFrame, lines_per_page: int, text: str = "text") ->
 
 def company_name(first_pages: DataFrame, text: str = "text") -> DataFrame:
     """Issuer name on the cover: a capitals-only line first, then a mixed-case one."""
-    caps = extract(F.col(text), r"(?m)^([A-Z][A-Z0-9&.,()\- ]{3,80}LIMITED)\s*$")
-    mixed = extract(F.col(text), r"(?m)^([A-Z][A-Za-z0-9&.,()\- ]{3,80}(?:LIMITED|Limited))\s*$")
+    caps = extract(F.col(text), "(?m)" + vocab.COMPANY_CAPS)
+    mixed = extract(F.col(text), "(?m)" + vocab.COMPANY_MIXED)
     return first_pages.withColumn("company_name", F.trim(F.initcap(F.coalesce(caps, mixed))))
