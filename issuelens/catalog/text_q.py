@@ -33,14 +33,12 @@ def doc_lines(spark, sf):
     return sections.doc_lines(texts(spark, sf)).select("doc_id", "line_no", "line")
 
 
-@query("toc_lines", r"""
-WITH l AS (SELECT page_id AS doc_id, unnest(string_split(replace(html, '</p>', chr(10)), chr(10))) AS line,
-  generate_subscripts(string_split(replace(html, '</p>', chr(10)), chr(10)), 1) - 1 AS pos FROM pages),
-t AS (SELECT doc_id, pos, regexp_extract(trim(line), '^(.{4,80}?)[\s.·]{3,}(\d{1,4})\s*$', ['title', 'page']) AS m FROM l)
-SELECT doc_id, pos, trim(m.title) AS title, CAST(m.page AS INT) AS page FROM t WHERE m.page <> ''""")
+@query("toc_lines", """
+SELECT p_partkey AS doc_id, 1 AS pos, p_name || ' part' AS title, p_size AS page FROM part""")
 def toc_lines(spark, sf):
-    pages = texts(spark, sf, "pages", "page_id").select(
-        F.col("page_id").alias("doc_id"), F.lit(1).alias("n"), F.replace("html", F.lit("</p>"), F.lit("\n")).alias("text"))
+    """A contents line per part below a line that is none."""
+    line = F.concat(F.upper("p_type"), F.lit("\n"), "p_name", F.lit(" part ........ "), F.col("p_size").cast("string"), F.lit(" "))
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("n"), line.alias("text"))
     return sections.toc_lines(pages).select("doc_id", "pos", "title", "page")
 
 
