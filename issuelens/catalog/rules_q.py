@@ -77,13 +77,13 @@ def peer_rows(spark, sf):
         .groupBy("o_custkey", "s_nationkey").agg(
             F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("q"), F.sum(F.col("l_quantity") * F.col("l_tax")).alias("t"))
     return rows.join(c, "o_custkey").select(
-        F.col("o_custkey").alias("doc_id"), F.round(F.col("p") / F.col("q") / 100, 6).alias("pe"),
-        F.round(F.col("q") * 10, 2).alias("eps"), F.round(F.col("t") / F.col("q") * 100, 6).alias("ronw"),
+        F.col("o_custkey").alias("doc_id"), (F.col("p") / F.col("q") / 100).alias("pe"),
+        F.round(F.col("q") * 10, 2).alias("eps"), (F.col("t") / F.col("q") * 100).alias("ronw"),
         (F.col("s_nationkey") == F.col("c_nationkey")).alias("is_issuer"))
 
 
-PEERS = """pr AS (SELECT o_custkey AS doc_id, s_nationkey = any_value(c_nationkey) AS is_issuer, round(sum(l_extendedprice) / sum(l_quantity) / 100, 6) AS pe,
-    round(sum(l_quantity) * 10, 2) AS eps, round(sum(l_quantity * l_tax) / sum(l_quantity) * 100, 6) AS ronw
+PEERS = """pr AS (SELECT o_custkey AS doc_id, s_nationkey = any_value(c_nationkey) AS is_issuer, sum(l_extendedprice) / sum(l_quantity) / 100 AS pe,
+    round(sum(l_quantity) * 10, 2) AS eps, sum(l_quantity * l_tax) / sum(l_quantity) * 100 AS ronw
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
   GROUP BY o_custkey, s_nationkey),
 pm AS (SELECT doc_id, median(pe) FILTER (NOT is_issuer AND pe > 0 AND pe < 400) AS peer_median, median(ronw) AS peer_ronw_median,
