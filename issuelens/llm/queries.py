@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from issuelens.llm.decontam import find_leaks
+from issuelens.llm.langid import identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
 from issuelens.llm.staging import table
@@ -51,6 +53,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, item) pair where the document holds the item within the edit bound."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query(
     "op9_line_dedup",
     """

@@ -34,8 +34,10 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUE = _byte_values()
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+#: White space and every other ASCII byte that is no letter or digit.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -48,9 +50,10 @@ def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+def word_hashes(texts: Sequence[str | None], apart: np.ndarray = WHITE) -> Iterator[np.ndarray]:
     """Word hashes of each text in order; an empty array for a null text.
 
+    ``apart`` marks the bytes between words; it must include the line feed.
     Texts are hashed in blocks of about ``BLOCK_BYTES``, so memory stays bounded
     however many texts a batch holds.
     """
@@ -60,16 +63,16 @@ def word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         block.append((text or "").encode("utf-8", "replace"))
         held += len(block[-1]) + 1
         if held >= BLOCK_BYTES:
-            yield from _hash_block(block)
+            yield from _hash_block(block, apart)
             block, held = [], 0
     if block:
-        yield from _hash_block(block)
+        yield from _hash_block(block, apart)
 
 
-def _hash_block(block: list[bytes]) -> Iterator[np.ndarray]:
+def _hash_block(block: list[bytes], apart: np.ndarray) -> Iterator[np.ndarray]:
     data = np.frombuffer(b"\n".join(block) + b"\n", np.uint8)
     n = len(data)
-    space = _SPACE[data]
+    space = apart[data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = space[:-1]
