@@ -10,6 +10,7 @@ from issuelens.llm.decontam import find_leaks
 from issuelens.llm.langid import identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
+from issuelens.llm.packing import pack
 from issuelens.llm.staging import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op7_harmonic_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place there."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_line_dedup",
     """
