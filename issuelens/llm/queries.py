@@ -11,7 +11,9 @@ from issuelens.llm.langid import identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
 from issuelens.llm.packing import pack
+from issuelens.llm.sharding import shard
 from issuelens.llm.staging import table
+from issuelens.llm.warc import new_archive, read_archive, record_index, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,6 +69,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op4_sampled_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards of nearly equal bytes."""
+    return shard(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_warc_archive",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    h AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
+    FROM h
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through a content-addressed archive and back."""
+    folder = new_archive(spark)
+    write_archive(table(spark, sf_dir, "pages"), folder)
+    return record_index(read_archive(spark, folder)).drop("record_bytes")
+
+
 @query("op7_harmonic_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
