@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from issuelens.llm.decontam import find_leaks
+from issuelens.llm.gif import media_digests, store_media
 from issuelens.llm.langid import identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
 from issuelens.llm.packing import pack
 from issuelens.llm.sharding import shard
 from issuelens.llm.staging import table
+from issuelens.llm.toxicity import learn, score
 from issuelens.llm.warc import new_archive, read_archive, record_index, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,12 +96,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_index(read_archive(spark, folder)).drop("record_bytes")
 
 
+@query("op6_gif_media")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a GIF, and the payload and colours read back from it."""
+    return media_digests(store_media(table(spark, sf_dir, "documents")))
+
+
 @query("op7_harmonic_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
     return pack(table(spark, sf_dir, "documents"))
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 @query(
     "op9_line_dedup",
     """

@@ -70,6 +70,15 @@ def word_hashes(texts: Sequence[str | None], apart: np.ndarray = WHITE) -> Itera
 
 
 def _hash_block(block: list[bytes], apart: np.ndarray) -> Iterator[np.ndarray]:
+    *_, hashes, cuts = cut_words(block, apart)
+    low = 0
+    for high in cuts:
+        yield hashes[low:high]
+        low = high
+
+
+def cut_words(block: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, word hashes, words up to the end of each text)."""
     data = np.frombuffer(b"\n".join(block) + b"\n", np.uint8)
     n = len(data)
     space = apart[data]
@@ -83,11 +92,7 @@ def _hash_block(block: list[bytes], apart: np.ndarray) -> Iterator[np.ndarray]:
     np.cumsum(_VALUE[data] * _power("inverse", _INVERSE, n), out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power("base", _BASE, n)[starts])
     edges = np.cumsum([len(x) + 1 for x in block])
-    cuts = np.searchsorted(starts, edges)
-    low = 0
-    for high in cuts:
-        yield hashes[low:high]
-        low = high
+    return data, starts, ends, hashes, np.searchsorted(starts, edges)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
