@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from issuelens.llm.decontam import find_leaks
 from issuelens.llm.gif import media_digests, store_media
@@ -12,6 +13,7 @@ from issuelens.llm.langid import identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
 from issuelens.llm.packing import pack
+from issuelens.llm.pii import pseudonymise
 from issuelens.llm.sharding import shard
 from issuelens.llm.staging import table
 from issuelens.llm.toxicity import learn, score
@@ -139,3 +141,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated three-line windows."""
     return dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in place of personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs).select("doc_id", "text", "n_entities", F.expr("transform(entities, e -> e.kind)").alias("kinds"))
