@@ -70,14 +70,20 @@ def _sampled(base: DataFrame, per_byte: float, bounds: list[tuple[int, int]], on
 
 
 def _cut(places: list, bounds: list[tuple[int, int]], step: float, unit: float) -> list[tuple[int, int]]:
-    """Splitters after every ``step`` of sampled weight, whole groups of copies if possible."""
+    """Splitters about every ``step`` of sampled weight, between copies only if one must.
+
+    A splitter goes before the place that would take its range well over ``step``, so
+    of two places that weigh more than that together, the second starts a range.
+    """
     out = set(bounds)
-    held = 0.0
+    held, before = 0.0, None
     for h, g, size in places:
-        held += max(size, unit)
-        if held >= step:
-            out.add((h, g) if (h, _LEAST) in out else (h, _LEAST))
+        weight = max(size, unit)
+        if held >= step or (held and held + weight > 1.5 * step):
+            out.add((h, g) if h == before or (h, _LEAST) in out else (h, _LEAST))
             held = 0.0
+        held += weight
+        before = h
     return sorted(out)
 
 

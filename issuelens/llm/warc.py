@@ -116,7 +116,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _value(name: str) -> Column:
-    return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
 
 
 def record_index(records: DataFrame) -> DataFrame:
