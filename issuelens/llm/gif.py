@@ -42,11 +42,12 @@ class Frame:
 
 
 def _widths(low: int, count: int) -> np.ndarray:
-    """Bits of the codes after a clear code: one more whenever the table outgrows them.
+    """Bits of the codes after a clear code: one more when the next entry needs it.
 
-    The first code adds no entry, every later one adds one, up to 12 bits.
+    A reader has added no entry after the first code and one after each later code;
+    codes have 12 bits at most.
     """
-    entries = (1 << low) + 2 + np.maximum(np.arange(count) - 1, -1) + 1
+    entries = (1 << low) + 2 + np.maximum(np.arange(count) - 1, 0)
     return np.minimum(np.ceil(np.log2(entries + 1)).astype(np.int64), 12).clip(low + 1)
 
 
