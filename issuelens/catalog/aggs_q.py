@@ -14,7 +14,7 @@ from ..plans.models import cv_metrics, fold_baselines, fold_errors, gram, scoreb
 from ..plans.outcomes import outcomes, sessions
 from ..plans.risks import dedupe_max, heatmap, penalty_score, severity_counts, specificity
 from ..plans.analysis import growth_steps, ratios
-from .base import (LISTINGS, PAGES, PRICES, SUBSCRIPTION, WIDE, day, doc_pages, facts, fiscal_series,
+from .base import (GAPPED, LISTINGS, PAGES, PRICES, SUBSCRIPTION, WIDE, day, facts, fiscal_series, gapped_pages,
                    listings, prices, query, subscription, table, texts)
 
 
@@ -383,13 +383,12 @@ def margin_series(spark, sf):
                     F.round(F.col("ebitda") / F.nullif("revenue", F.lit(0.0)), 6).alias("operating_margin"))
 
 
-_SCAN = "scan AS (SELECT doc_id, n, text FROM dpages WHERE length(text) >= 300)"
 
 
 @query("islands", f"""
-WITH {PAGES}, {_SCAN} SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM scan""")
+WITH {PAGES}, {GAPPED} SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM gapped""")
 def islands_q(spark, sf):
-    return ordering.islands(doc_pages(spark, sf).filter("length(text) >= 300"), ["doc_id"], "n").select("doc_id", "n", "run")
+    return ordering.islands(gapped_pages(spark, sf), ["doc_id"], "n").select("doc_id", "n", "run")
 
 
 @query("ffill", f"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -181,6 +181,17 @@ dpages AS (
   FROM lines GROUP BY 1, 2)"""
 
 
+# Page numbers that skip one behind every short page, so that runs of pages have gaps.
+GAPPED = """gapped AS (SELECT doc_id, n + count(*) FILTER (length(text) < 300)
+  OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS n, text FROM dpages)"""
+
+
+def gapped_pages(spark: SparkSession, sf: str) -> DataFrame:
+    short = F.count(F.when(F.length("text") < 300, 1)).over(
+        Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return doc_pages(spark, sf).select("doc_id", (F.col("n") + short).alias("n"), "text")
+
+
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     from ..plans.sections import pages_of_lines
 

@@ -10,7 +10,7 @@ from ..operators.merge import first_valid, priority_fill
 from ..operators.ordering import nearest_mark, top_per_group
 from ..plans.ledger import frozen_rule
 from ..plans.sections import match_titles
-from .base import PAGES, PRICES, SUBSCRIPTION, doc_pages, prices, query, subscription, table, texts
+from .base import GAPPED, PAGES, PRICES, SUBSCRIPTION, gapped_pages, prices, query, subscription, table, texts
 
 
 @query("expanded_base", f"""
@@ -250,14 +250,14 @@ def first_valid_candidate(spark, sf):
 
 
 @query("nearest_mark", f"""
-WITH {PAGES}, scan AS (SELECT doc_id, n, CASE WHEN contains(text, 'the') THEN 'p' || n END AS mark FROM dpages WHERE length(text) >= 300),
+WITH {PAGES}, {GAPPED}, scan AS (SELECT doc_id, n, CASE WHEN contains(text, 'the') THEN 'p' || n END AS mark FROM gapped),
 runs AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM scan),
 m AS (SELECT * FROM runs WHERE mark IS NOT NULL),
 b AS (SELECT r.doc_id, r.n, arg_min(m.mark, (abs(m.n - r.n), m.n)) AS unit FROM runs r
   LEFT JOIN m ON m.doc_id = r.doc_id AND m.run = r.run GROUP BY 1, 2)
 SELECT doc_id, n, unit FROM b""")
 def nearest_mark_q(spark, sf):
-    scan = doc_pages(spark, sf).filter("length(text) >= 300").withColumn(
+    scan = gapped_pages(spark, sf).withColumn(
         "mark", F.when(F.col("text").contains("the"), F.concat(F.lit("p"), F.col("n").cast("string"))))
     return nearest_mark(scan, ["doc_id"], "n", "mark", "unit").select("doc_id", "n", "unit")
 

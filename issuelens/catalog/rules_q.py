@@ -362,22 +362,23 @@ def risk_findings(spark, sf):
     """Composed chapter texts and the fiscal series of every customer."""
     from .text_q import _prospectus
 
-    pages = _prospectus(spark, sf).filter(F.col("fresh").isNotNull()).select("doc_id", F.col("text").alias("risk_text"))
+    pages = _prospectus(spark, sf).select("doc_id", F.col("text").alias("risk_text"))
     d = disclosures(spark, sf)
     p = fiscal_series(spark, sf).join(pages, "doc_id").join(d, "doc_id").select(
         "doc_id", "years", "risk_text", F.lit("").alias("business_text"), F.lit(1).alias("risk_page"),
+        F.create_map(*[x for m, n in (("total_debt", 21), ("current_assets", 22), ("cfo", 23)) for x in (F.lit(m), F.lit(n))]).alias("source_pages"),
         F.when(F.col("criminal_raw") >= 0, F.col("criminal_raw")).alias("criminal"), F.col("orders").alias("total_cases"),
         F.lit(2).alias("litigation_page"), "pledged", F.lit("pledge of promoter shares").alias("pledge_evidence"), F.lit(3).alias("pledge_page"))
-    return risks.risk_findings(p).select("doc_id", "risk_type", "severity", "title", "value")
+    return risks.risk_findings(p).select("doc_id", "risk_type", "severity", "title", "value", "source_page")
 
 
 @query("narrative_check", f"""
-WITH {RATIOS} SELECT c_custkey AS doc_id, revenue_cagr < 0.08 AND c_mktsegment LIKE '%ING%' AS mismatch FROM ratios JOIN customer ON doc_id = c_custkey WHERE revenue_cagr IS NOT NULL""")
+WITH {RATIOS} SELECT c_custkey AS doc_id, revenue_cagr < 0.08 AND c_mktsegment LIKE '%ING%' AS mismatch FROM ratios JOIN customer ON doc_id = c_custkey""")
 def narrative_check(spark, sf):
     r = analysis.ratios(fiscal_series(spark, sf)).select("doc_id", "revenue_cagr")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(
         F.col("c_mktsegment").contains("ING"), "We delivered Robust growth").otherwise("steady").alias("text"))
-    return r.join(c, "doc_id").filter(F.col("revenue_cagr").isNotNull()).select(
+    return r.join(c, "doc_id").select(
         "doc_id", risks.narrative_check(F.col("text"), F.col("revenue_cagr")).alias("mismatch"))
 
 

@@ -14,7 +14,7 @@ from ..operators.ordering import ffill
 from ..plans import entities, facts, sections
 from ..session import materialise
 from ..sources import landing
-from .base import PAGES, R, doc_pages, query, table, texts
+from .base import GAPPED, PAGES, R, doc_pages, gapped_pages, query, table, texts
 
 # chapters of the driver's documents: key, titles, heading pattern
 CHAPTERS = [
@@ -127,7 +127,7 @@ def anchor_pages(spark, sf):
 
 
 @query("unit_resolve", f"""
-WITH {PAGES}, scan AS (SELECT doc_id, n, nullif(lower(regexp_extract(text, '(that|tion|ment) ', 1)), '') AS own FROM dpages WHERE length(text) >= 300),
+WITH {PAGES}, {GAPPED}, scan AS (SELECT doc_id, n, nullif(lower(regexp_extract(text, '(that|tion|ment) ', 1)), '') AS own FROM gapped),
 runs AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM scan),
 m AS (SELECT * FROM runs WHERE own IS NOT NULL),
 r AS (SELECT r.doc_id, r.n, arg_min(m.own, (abs(m.n - r.n), m.n)) AS unit FROM runs r LEFT JOIN m ON m.doc_id = r.doc_id AND m.run = r.run GROUP BY 1, 2)
@@ -137,7 +137,7 @@ def unit_resolve(spark, sf):
     words = {"that": "lakh", "tion": "crore", "ment": "million"}
     back = {v: k for k, v in words.items()}
     unit = F.concat(F.lit("rs in "), S.lookup(F.replace(caption, F.lit("rs in "), F.lit("")), words))
-    scan = doc_pages(spark, sf).filter("length(text) >= 300").withColumn("text", F.coalesce(unit, F.lit("")))
+    scan = gapped_pages(spark, sf).withColumn("text", F.coalesce(unit, F.lit("")))
     out = ffill(facts.resolve_units(scan), ["doc_id"], ["n"], "unit", "unit")
     return out.select("doc_id", "n", S.lookup(F.col("unit"), back).alias("unit"))
 
@@ -185,13 +185,13 @@ def fold_header(spark, sf):
 WITH {_CELLS}
 SELECT doc_id, 'FY' || right(CAST(fy + 20 AS VARCHAR), 2) AS fiscal_label,
   CASE f WHEN 'A' THEN 'revenue' WHEN 'N' THEN 'receivables' ELSE 'total_assets' END AS metric, v AS value
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, f ORDER BY fy DESC) AS rk FROM y) WHERE rk <= 5""")
+FROM y""")
 def borderless_rows(spark, sf):
     """Statement pages printed without rules: headings, labels and one value per line."""
     grid = _cells(spark, sf).filter("row_no >= 2")
     rows = grid.groupBy("doc_id", "row_no").agg(
         F.max(F.when(F.col("col_no") == 0, F.col("text"))).alias("label"),
-        F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("col_no") > 0, F.struct("col_no", "text"))))), 1, 5).alias("v"))
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("col_no") > 0, F.struct("col_no", "text"))))).alias("v"))
     body = rows.select(
         "doc_id", "row_no", F.transform("v", lambda x: x["col_no"]).alias("cols"),
         F.concat_ws("\n", "label", F.lit("25"), F.array_join(F.transform("v", lambda x: x["text"]), "\n")).alias("block"))
@@ -236,10 +236,10 @@ c AS (SELECT *, CASE WHEN contains(line, 'tion') THEN 'debt' WHEN contains(line,
   TRY_CAST(nullif(replace(regexp_extract(line, '([0-9,]+(?:[.][0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS amount_cr FROM l),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category, amount_cr ORDER BY line_no) AS k FROM c WHERE category IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rank FROM f WHERE k = 1)
-SELECT doc_id, rank, md5(substr(line, 1, 200)) AS purpose, category FROM r WHERE rank <= 12""")
+SELECT doc_id, rank, md5(line) AS purpose, category FROM r""")
 def objects(spark, sf):
     lines = sections.doc_lines(texts(spark, sf))
-    out = entities.objects(lines, 12, [("debt", "(?-i)tion"), ("capex", "(?-i)ment"), ("other", "(?-i)ing")])
+    out = entities.objects(lines, categories=[("debt", "(?-i)tion"), ("capex", "(?-i)ment"), ("other", "(?-i)ing")])
     return out.select("doc_id", "rank", F.md5(F.encode("purpose", "UTF-8")).alias("purpose"), "category")
 
 
@@ -263,7 +263,7 @@ def tri_state(spark, sf):
 WITH {_MERGE}, h AS (SELECT doc_id, n, trim(regexp_replace(nullif(regexp_extract(text, '([a-z ]{{0,40}}that[a-z ]{{0,40}})', 1), ''), '\\s+', ' ', 'g')) AS ev FROM dpages),
 j AS (SELECT h.doc_id, CASE key WHEN 'closing' THEN 1 ELSE 2 END AS rank, arg_min(ev, n) AS ev, min(n) AS n FROM h JOIN spans s ON h.doc_id = s.doc_id
   AND h.n BETWEEN s.page_start AND s.page_end AND s.key IN ('closing', 'opening') WHERE ev IS NOT NULL GROUP BY 1, 2)
-SELECT doc_id, true AS pledged, substr(arg_min(ev, rank), 1, 300) AS evidence, arg_min(n, rank) AS source_page FROM j
+SELECT doc_id, true AS pledged, arg_min(ev, rank) AS evidence, arg_min(n, rank) AS source_page FROM j
 WHERE NOT regexp_matches(ev, 'the that|of that') GROUP BY 1""")
 def pledge(spark, sf):
     pages, counts, merged = _merged(spark, sf)
@@ -321,8 +321,8 @@ def _prospectus(spark, sf):
         F.floor(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 1000).cast("double").alias("fresh"))
     c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
     pct = (F.col("c_custkey") % 60 + 20).cast("string")
-    text = F.concat(
-        F.lit("Price Band: ₹ "), (F.col("n") + 100).cast("string"), F.lit(" to ₹ "), (F.col("n") + 105).cast("string"),
+    text = F.concat_ws(
+        "", F.lit("Price Band: ₹ "), (F.col("n") + 100).cast("string"), F.lit(" to ₹ "), (F.col("n") + 105).cast("string"),
         F.lit("\nface value of ₹ 10 each\nFresh issue of equity shares aggregating up to ₹ "), F.format_number("fresh", 2),
         F.lit(" lakhs.\nOffer for sale of shares aggregating up to ₹ "), F.format_number("total", 2),
         F.lit(" million.\nBid lot of "), (F.col("n") * 5).cast("string"), F.lit(" equity shares. Listed on NSE and BSE\n"),
@@ -340,11 +340,11 @@ _PROSP = """p AS (SELECT o_custkey AS doc_id, floor(sum(o_totalprice) / 1000) AS
 
 
 @query("issue_details", f"""
-WITH {_PROSP}, a AS (SELECT doc_id, k, CAST(round(CAST(fresh * 0.01 AS DECIMAL(38,8)), 2) AS DOUBLE) AS f, CAST(round(CAST(total * 0.1 AS DECIMAL(38,8)), 2) AS DOUBLE) AS o FROM p WHERE fresh IS NOT NULL)
+WITH {_PROSP}, a AS (SELECT doc_id, k, CAST(round(CAST(fresh * 0.01 AS DECIMAL(38,8)), 2) AS DOUBLE) AS f, CAST(round(CAST(total * 0.1 AS DECIMAL(38,8)), 2) AS DOUBLE) AS o FROM p)
 SELECT doc_id, k + 100.0 AS price_band_low, k + 105.0 AS price_band_high, 10.0 AS face_value, f AS fresh_issue_cr, o AS ofs_cr,
-  round(f + o, 2) AS total_issue_cr, CAST(k * 5 AS INT) AS lot_size, 'BSE, NSE' AS listing_at, (doc_id % 60 + 20)::DOUBLE AS pre_issue_promoter_pct FROM a""")
+  round(coalesce(f, 0) + o, 2) AS total_issue_cr, CAST(k * 5 AS INT) AS lot_size, 'BSE, NSE' AS listing_at, (doc_id % 60 + 20)::DOUBLE AS pre_issue_promoter_pct FROM a""")
 def issue_details(spark, sf):
-    pages = _prospectus(spark, sf).filter(F.col("fresh").isNotNull()).select("doc_id", "n", "text")
+    pages = _prospectus(spark, sf).select("doc_id", "n", "text")
     docs = pages.select("doc_id")
     spans = docs.select("doc_id", F.lit("capital_structure").alias("key"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
     return entities.issue_details(pages, spans, docs).drop("post_issue_promoter_pct", "post_issue_page")
@@ -352,9 +352,9 @@ def issue_details(spark, sf):
 
 @query("note_totals", f"""
 WITH {_PROSP} SELECT doc_id, CAST(round(CAST(total * 0.01 AS DECIMAL(38,8)), 2) AS DOUBLE) AS rpt_cr, k * 3.0 AS contingent_cr
-FROM p WHERE fresh IS NOT NULL""")
+FROM p""")
 def note_totals(spark, sf):
-    pages = _prospectus(spark, sf).filter(F.col("fresh").isNotNull()).select("doc_id", "n", "text")
+    pages = _prospectus(spark, sf).select("doc_id", "n", "text")
     cells = _cells(spark, sf)
     rpt = entities.related_party(pages, cells).select("doc_id", F.col("total_cr").alias("rpt_cr"))
     cont = entities.contingent(pages, cells).select("doc_id", F.col("total_cr").alias("contingent_cr"))
@@ -363,9 +363,9 @@ def note_totals(spark, sf):
 
 @query("promoters", f"""
 WITH {_PROSP} SELECT doc_id, 'Asha Rao' AS names, CASE WHEN k + 3 < 100 THEN CAST(k + 3 AS VARCHAR) ELSE '' END AS experience,
-  1 AS independent_directors, false AS conflicts FROM p WHERE fresh IS NOT NULL""")
+  1 AS independent_directors, false AS conflicts FROM p""")
 def promoters(spark, sf):
-    pages = _prospectus(spark, sf).filter(F.col("fresh").isNotNull())
+    pages = _prospectus(spark, sf)
     chapters = pages.select("doc_id", F.col("text").alias("promoters"), F.col("text").alias("management"), F.lit("").alias("group_companies"))
     out = entities.promoters(chapters)
     return out.select("doc_id", F.array_join("names", ",").alias("names"),

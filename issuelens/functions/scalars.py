@@ -171,7 +171,7 @@ def fiscal_label(c: Column) -> Column:
     return F.when(year.isNotNull(), F.concat(F.lit("FY"), F.right(year, F.lit(2))))
 
 
-def fiscal_labels(c: Column, limit: int = 5) -> Column:
+def fiscal_labels(c: Column) -> Column:
     """Column headers in order of appearance; quarter-end dates become STUBnn.
 
     Empty unless at least two fiscal years are named.
@@ -181,7 +181,7 @@ def fiscal_labels(c: Column, limit: int = 5) -> Column:
     stub = ci("^" + vocab.STUB_HEADER)
     labels = F.transform(heads, lambda h: F.concat(
         F.when(h.rlike(stub), "STUB").otherwise("FY"), F.right(h, F.lit(2))))
-    kept = F.slice(F.array_distinct(labels), 1, limit)
+    kept = F.array_distinct(labels)
     years = F.size(F.filter(kept, lambda x: x.startswith("FY")))
     return F.when(years >= 2, kept).otherwise(F.array().cast("array<string>"))
 
@@ -216,9 +216,19 @@ def count_substring(text: Column, needle: Column) -> Column:
     return ((F.length(text) - F.length(cut)) / F.length(needle)).cast("bigint")
 
 
-def page_refs(c: Column, limit: int = 5) -> Column:
+def first_of(items: Column, limit: int | None) -> Column:
+    """The first ``limit`` entries of an array, all of them without a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, the whole text without a number."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def page_refs(c: Column, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(r"\[p\.(\d+)\]"), 1)
-    return F.slice(F.transform(found, lambda x: x.cast("int")), 1, limit)
+    return first_of(F.transform(found, lambda x: x.cast("int")), limit)
 
 
 def tier(c: Column, table: Sequence[tuple[float, str]], floor: str) -> Column:

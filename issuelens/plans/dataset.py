@@ -68,8 +68,15 @@ def expanded(issue: DataFrame, subs: DataFrame, listing: DataFrame, outcomes: Da
     key = "cg_ipo_id"
     base = _pick(issue, BASE_NAMES)
     for right, names in ((subs, SUB_NAMES), (listing, LISTING_NAMES), (outcomes, OUTCOME_NAMES)):
-        base = left_first(base, _pick(right, names), key, [F.col(order)])
-    first = lambda df: top_per_group(df, [key], [F.col(key)])
+        picked = _pick(right, names)
+        ties = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in picked.columns]))]
+        base = left_first(base, picked, key, [F.col(order), *ties])
+    def first(df: DataFrame) -> DataFrame:
+        """One row per key: of each column the first non-null value, rows ordered by all their values."""
+        rest = [c for c in df.columns if c != key]
+        order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]))
+        return df.groupBy(key).agg(*[F.min_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), order)).alias(c) for c in rest])
+
     col = lambda c: F.col(f"`{c}`")
     filled = priority_fill(base, key, [
         (first(sectors), {"Sector": F.col("sector")}),

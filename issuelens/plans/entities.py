@@ -6,11 +6,11 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.scalars import amount, ci, extract, first_match, rescale, to_crore
+from ..functions.scalars import amount, ci, extract, first_match, first_of, head, rescale, to_crore
 from ..operators.ordering import top_per_group
 
 TABLE = ["doc_id", "page", "table_no"]
@@ -24,10 +24,17 @@ def page_ranges(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cover_range(docs: DataFrame, pages: int = 8) -> DataFrame:
+    """The cover pages, which are read first."""
     return docs.select("doc_id", F.lit(0).cast("bigint").alias("rank"), F.lit(1).alias("lo"),
                        F.lit(pages).alias("hi"))
 
 
+def rest_range(docs: DataFrame) -> DataFrame:
+    """The whole document, which is read last."""
+    return docs.select("doc_id", F.lit(1_000).cast("bigint").alias("rank"), F.lit(1).alias("lo"),
+                       F.lit(2**31 - 1).alias("hi"))
+
+
 def first_hits(pages: DataFrame, ranges: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     """First non-null value per name over ordered page ranges, with its page.
 
@@ -58,7 +65,7 @@ def issue_details(pages: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFr
     text = F.col("text")
     front = cover_range(docs).unionByName(page_ranges(spans, [
         "offer_structure", "terms_of_offer", "capital_structure", "general_information",
-        "offer_summary", "basis_for_offer_price"]))
+        "offer_summary", "basis_for_offer_price"])).unionByName(rest_range(docs))
     shape = vocab.ISSUE_PATTERNS
     groups = {"band": 2, "fixed": 1, "face": 1, "fresh": 2, "ofs": 2, "lot": 1}
     found = first_hits(pages, front, {
@@ -235,7 +242,7 @@ def contingent(pages: DataFrame, cells: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ chapter texts
 
-def objects(lines: DataFrame, limit: int = 12,
+def objects(lines: DataFrame, limit: int | None = None, chars: int | None = None,
             categories: Sequence[tuple[str, str]] = vocab.OBJECT_CATEGORIES) -> DataFrame:
     """Use-of-proceeds lines: first category, amount, distinct per (category, amount)."""
     line = F.trim("line")
@@ -244,8 +251,10 @@ def objects(lines: DataFrame, limit: int = 12,
         .withColumn("amount_cr", F.when(line.rlike(ci(vocab.AMOUNT)), to_crore(
             F.regexp_extract(line, ci(vocab.AMOUNT), 1), F.regexp_extract(line, ci(vocab.AMOUNT), 2))))
     once = top_per_group(rows, ["doc_id", "category", "amount_cr"], [F.col("line_no")])
-    return top_per_group(once, ["doc_id"], [F.col("line_no")], limit, "rank") \
-        .select("doc_id", "rank", F.substring(line, 1, 200).alias("purpose"), "category", "amount_cr")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    ranked = once.withColumn("rank", place)
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)) \
+        .select("doc_id", "rank", head(line, chars).alias("purpose"), "category", "amount_cr")
 
 
 def litigation_counts(text: Column, kinds: Sequence[tuple[str, str]] = vocab.LITIGATION_KINDS
@@ -268,7 +277,7 @@ def dividend(text: Column) -> Column:
 
 
 def pledging(pages: DataFrame, ranges: DataFrame, pattern: str = vocab.PLEDGE,
-             negation: str = vocab.NO_PLEDGE) -> DataFrame:
+             negation: str = vocab.NO_PLEDGE, chars: int | None = None) -> DataFrame:
     """First pledge statement per chapter; a denial there moves on to the next chapter."""
     hit = F.trim(F.regexp_replace(extract(F.col("text"), ci(pattern)), r"\s+", " "))
     hits = pages.select("doc_id", "n", hit.alias("evidence")).filter(F.col("evidence").isNotNull())
@@ -276,7 +285,7 @@ def pledging(pages: DataFrame, ranges: DataFrame, pattern: str = vocab.PLEDGE,
         .groupBy("doc_id", "rank").agg(F.min_by(F.struct("n", "evidence"), "n").alias("h"))
     real = per.filter(~F.col("h.evidence").rlike(ci(negation)))
     return real.groupBy("doc_id").agg(F.min_by("h", "rank").alias("h")).select(
-        "doc_id", F.lit(True).alias("pledged"), F.substring("h.evidence", 1, 300).alias("evidence"),
+        "doc_id", F.lit(True).alias("pledged"), head(F.col("h.evidence"), chars).alias("evidence"),
         F.col("h.n").alias("source_page"))
 
 
@@ -299,26 +308,26 @@ def issuer_pe(pages: DataFrame, ranges: DataFrame) -> DataFrame:
                        F.coalesce("a_page", "b_page").alias("issuer_pe_page"))
 
 
-def promoter_names(text: Column, limit: int = 8) -> Column:
+def promoter_names(text: Column, limit: int | None = None) -> Column:
     """Distinct promoter names of the chapter; an enumerating sentence is the fallback."""
     stated = F.regexp_extract_all(text, F.lit(vocab.PROMOTER_STATED), 1)
-    names = F.slice(F.filter(F.array_distinct(stated), lambda x: ~x.rlike("Company|Limited")), 1, limit)
+    names = first_of(F.filter(F.array_distinct(stated), lambda x: ~x.rlike("Company|Limited")), limit)
     listed = F.split(F.regexp_extract(text, vocab.PROMOTERS_LISTED, 1),
                      r",\s*|\s+and\s+")
-    fallback = F.slice(F.filter(F.transform(listed, lambda x: F.trim(x)),
-                                lambda x: (F.length(x) > 3) & (F.length(x) < 60)), 1, limit)
+    fallback = first_of(F.filter(F.transform(listed, lambda x: F.trim(x)),
+                                 lambda x: (F.length(x) > 3) & (F.length(x) < 60)), limit)
     return F.when(F.size(names) > 0, names).otherwise(fallback)
 
 
-def experience_claims(text: Column, minimum: int = 3, limit: int = 6) -> Column:
+def experience_claims(text: Column, minimum: int = 3, limit: int | None = None) -> Column:
     years = F.regexp_extract_all(text, F.lit(ci(vocab.EXPERIENCE)), 1)
     return numeric_claims(years, minimum, limit)
 
 
-def numeric_claims(found: Column, minimum: int, limit: int) -> Column:
+def numeric_claims(found: Column, minimum: int, limit: int | None = None) -> Column:
     """Distinct claimed numbers of at least ``minimum``, largest first."""
     numbers = F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x >= minimum)
-    return F.slice(F.sort_array(F.array_distinct(numbers), False), 1, limit)
+    return first_of(F.sort_array(F.array_distinct(numbers), False), limit)
 
 
 def promoters(chapters: DataFrame) -> DataFrame:

@@ -57,10 +57,10 @@ def carry_headers(scan: DataFrame, text: str = "text") -> DataFrame:
 def table_facts(cells: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Facts of ruled tables: metric label x fiscal column -> value.
 
-    The header is the first of the top four rows with at least two fiscal cells.
+    The header is the first row with at least two fiscal cells.
     """
     marked = cells.withColumn("fy", fiscal_label(F.col("text")))
-    heads = marked.filter((F.col("row_no") < 4) & F.col("fy").isNotNull()) \
+    heads = marked.filter(F.col("fy").isNotNull()) \
         .groupBy(*TABLE, "row_no").agg(F.collect_list(F.struct("col_no", "fy")).alias("cols")) \
         .filter(F.size("cols") >= 2)
     header = heads.groupBy(*TABLE).agg(F.min("row_no").alias("head"),

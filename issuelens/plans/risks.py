@@ -20,7 +20,7 @@ def _finding(fires: Column, kind: str, severity: Column | str, title: Column | s
     none = F.lit(None)
     return F.when(fires, F.struct(
         F.lit(kind).alias("risk_type"), sev.alias("severity"), head.alias("title"),
-        F.substring(evidence if evidence is not None else none.cast("string"), 1, 400).alias("evidence_text"),
+        (evidence if evidence is not None else none.cast("string")).alias("evidence_text"),
         (page if page is not None else none).cast("int").alias("source_page"),
         F.lit(metric).cast("string").alias("metric"),
         (value if value is not None else none).cast("double").alias("value")))
@@ -43,11 +43,16 @@ def _around(text: Column, pattern: str) -> Column:
 def risk_findings(profile: DataFrame) -> DataFrame:
     """All rules of all documents in one narrow pass, one row per finding.
 
-    profile: doc_id, risk_text, business_text, risk_page, years, criminal, total_cases,
+    profile: doc_id, risk_text, business_text, risk_page, source_pages, years, criminal, total_cases,
     litigation_page, pledged, pledge_evidence, pledge_page.
     """
     risk, both = F.col("risk_text"), F.concat_ws("\n", "risk_text", "business_text")
     rp = F.col("risk_page")
+
+    def stated(metric: str) -> Column:
+        """Page of the statement that a figure was read from."""
+        return F.coalesce(F.try_element_at("source_pages", F.lit(metric)), rp)
+
     found: list[Column] = []
     for kind, (noun, label, bands) in vocab.CONCENTRATION_BANDS.items():
         share = ci(vocab.CONCENTRATION.format(noun=noun))
@@ -64,13 +69,13 @@ def risk_findings(profile: DataFrame) -> DataFrame:
     found.append(_finding(de >= 0.75, "debt_burden",
                           F.when(de >= 2, "critical").when(de >= 1.25, "high").otherwise("medium"),
                           F.concat(F.lit("Debt/Equity "), F.format_number(de, 2)),
-                          "debt_equity", F.round(de, 2), page=rp))
+                          "debt_equity", F.round(de, 2), page=stated("total_debt")))
     assets, owed = year("current_assets"), year("current_liabilities")
     cr = F.when(owed > 0, assets / F.nullif(owed, F.lit(0.0)))
     found.append(_finding(cr < 1.1, "working_capital",
                           F.when(cr < 0.9, "high").otherwise("medium"),
                           F.concat(F.lit("Current ratio "), F.format_number(cr, 2)),
-                          "current_ratio", F.round(cr, 2), page=rp))
+                          "current_ratio", F.round(cr, 2), page=stated("current_assets")))
     tight = ci(vocab.NEGATIVE_WORKING_CAPITAL)
     found.append(_finding(~F.coalesce(cr < 1.1, F.lit(False)) & both.rlike(ci(_core(vocab.NEGATIVE_WORKING_CAPITAL))), "working_capital", "medium",
                           "Negative working capital disclosed", evidence=F.regexp_extract(both, tight, 0), page=rp))
@@ -81,7 +86,7 @@ def risk_findings(profile: DataFrame) -> DataFrame:
     found.append(_finding(n_minus > 0, "negative_cash_flow",
                           F.when(n_minus >= 2, "high").otherwise("medium"),
                           F.concat(F.lit("Negative operating cash flow in "), fys),
-                          "cfo_negative_years", n_minus, page=rp))
+                          "cfo_negative_years", n_minus, page=stated("cfo")))
     found.append(_finding(F.coalesce(n_minus, F.lit(0)).isin(0, -1) & risk.rlike(ci(vocab.NEGATIVE_CASH_FLOW)),
                           "negative_cash_flow", "medium",
                           "Company discloses history of negative cash flows", page=rp))
@@ -109,11 +114,11 @@ def risk_findings(profile: DataFrame) -> DataFrame:
 
 
 def dedupe_max(findings: DataFrame, keys: Sequence[str], title: str, severity: str,
-               order: str, chars: int = 40) -> DataFrame:
-    """Most severe finding per key and title head; a tie keeps the first."""
+               order: str) -> DataFrame:
+    """Most severe finding per key and title; a tie keeps the first."""
     rest = [c for c in findings.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(severity_rank(F.col(severity)), -F.col(order))).alias("b")
-    return findings.withColumn("__t", F.substring(title, 1, chars)).groupBy(*keys, "__t").agg(best) \
+    return findings.withColumn("__t", F.col(title)).groupBy(*keys, "__t").agg(best) \
         .select(*keys, "b.*")
 
 

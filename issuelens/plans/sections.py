@@ -110,10 +110,9 @@ def from_bookmarks(toc: DataFrame, chapters: Sequence[Chapter] = vocab.CHAPTERS)
                        F.col("page").alias("page_start"), F.lit("toc").alias("method"))
 
 
-def toc_lines(pages: DataFrame, first_pages: int = 15) -> DataFrame:
-    """Printed contents lines 'TITLE ..... 28' of the front matter."""
-    lines = pages.filter(F.col("n") <= first_pages) \
-        .select("doc_id", "n", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+def toc_lines(pages: DataFrame) -> DataFrame:
+    """Printed contents lines 'TITLE ..... 28', wherever in the document they stand."""
+    lines = pages.select("doc_id", "n", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
     pattern = vocab.TOC_LINE
     line = F.trim("line")
     return lines.filter(line.rlike(pattern)).select(
@@ -132,13 +131,12 @@ def from_printed_toc(pages: DataFrame, chapters: Sequence[Chapter] = vocab.CHAPT
 
 
 def heading_pages(pages: DataFrame, chapters: Sequence[Chapter] = vocab.CHAPTERS,
-                  top_lines: int = 12, prefix: str = vocab.HEADING_PREFIX) -> DataFrame:
-    """(doc_id, key, n) of every page whose top lines carry a chapter heading.
+                  prefix: str = vocab.HEADING_PREFIX) -> DataFrame:
+    """(doc_id, key, n) of every page with a line that is a chapter heading.
 
-    A heading opens a page, so only its first lines count; all chapters are tested in
-    one narrow pass.
+    All chapters are tested in one narrow pass.
     """
-    top = F.slice(F.split("text", r"\r?\n"), 1, top_lines)
+    top = F.split("text", r"\r?\n")
 
     def test(key: str, heading: str) -> Column:
         pattern = rf"^\s*{prefix}(?:{heading})\s*$"
@@ -157,10 +155,9 @@ def from_headings(pages: DataFrame, spark: SparkSession,
         F.lit("heading_scan").alias("method"))
 
 
-def verify_pages(claims: DataFrame, headings: DataFrame, reach: int = 39) -> DataFrame:
+def verify_pages(claims: DataFrame, headings: DataFrame) -> DataFrame:
     """Claimed start moved to the nearest page with the heading; later page on a tie."""
     near = claims.join(headings, ["doc_id", "key"]) \
-        .filter(F.abs(F.col("n") - F.col("page_start")) <= reach) \
         .groupBy("doc_id", "key").agg(F.min_by("n", F.struct(
             F.abs(F.col("n") - F.col("page_start")), -F.col("n"))).alias("found_page"))
     return claims.join(near, ["doc_id", "key"], "left") \

@@ -31,11 +31,13 @@ def get_session(cores: int | str = "*", app: str = "issuelens", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (tests on one machine) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. A session on one machine without
+    that setting (tests) gets a folder of its own; on a cluster its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="issuelens-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
