@@ -145,33 +145,50 @@ def global_index(df: DataFrame, day: str, row_id: str, name: str = "idx",
         .withColumn("__ys", years).withColumn(name, F.col(name) + earlier).drop("__y", "__ys")
 
 
+CELLS = 1_000
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5,
                    name: str = "median", small: int = 5_000) -> DataFrame:
     """Exact interpolated quantile per group, safe for groups of any size.
 
-    A mergeable sketch brackets the wanted rank; the second pass counts what lies
-    below the bracket and keeps value counts only inside it, about 0.2 % of a large
-    group. Groups under ``small`` rows are kept whole.
+    A mergeable sketch brackets the wanted rank, counts per value are kept inside the
+    bracket only, about 0.2 % of a large group, and the bracket is cut into ``CELLS``
+    cells. Ranks accumulate over the cells of a group, then over the values of the one
+    or two cells that hold the wanted ranks, so no window spans a group. The sketch
+    is too coarse for groups under ``small`` rows; their bracket is the whole range.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")) \
         .filter(F.col("__v").isNotNull())
     eps = 1e-3
     sketch = F.percentile_approx(
         "__v", F.array(F.lit(max(q - eps, 0.0)), F.lit(min(q + eps, 1.0))), 10_000)
-    stats = rows.groupBy(*keys).agg(F.count("*").alias("__n"), sketch.alias("__b"))
+    stats = rows.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), sketch.alias("__b"))
     whole = F.col("__n") <= small
+    stats = stats.select(*keys, "__n", F.when(whole, F.col("__min")).otherwise(F.get("__b", F.lit(0))).alias("__lo"),
+                         F.when(whole, F.col("__max")).otherwise(F.get("__b", F.lit(1))).alias("__hi"))
     if keys:
         marked = null_safe_join(rows, stats, keys)
     else:
-        marked = rows.withColumn("__s", stats.select(F.struct("__n", "__b")).scalar()) \
-            .select("__v", F.col("__s.__n").alias("__n"), F.col("__s.__b").alias("__b"))
-    lo, hi = F.get("__b", F.lit(0)), F.get("__b", F.lit(1))
-    kept = marked.filter(whole | (F.col("__v") <= hi)) \
-        .withColumn("__v", F.when(whole | (F.col("__v") >= lo), F.col("__v")))
-    counts = kept.groupBy(*keys, "__n", "__v").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys, "__n").orderBy(F.col("__v").asc_nulls_first())
+        marked = rows.withColumn("__s", stats.select(F.struct("__n", "__lo", "__hi")).scalar()) \
+            .select("__v", "__s.*")
+    width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    cell = F.when(F.col("__v") < F.col("__lo"), -1).otherwise(
+        F.coalesce(F.floor((F.col("__v") - F.col("__lo")) / width * CELLS), F.lit(0)))
+    group = [*keys, "__n", "__cell"]
+    counts = marked.filter(F.col("__v") <= F.col("__hi")).withColumn("__cell", cell) \
+        .withColumn("__v", F.when(F.col("__cell") >= 0, F.col("__v"))) \
+        .groupBy(*group, "__v").agg(F.count("*").alias("__c"))
     pos = F.lit(q) * (F.col("__n") - 1)
-    ranked = counts.withColumn("__cum", F.sum("__c").over(w)).withColumn("__pos", pos)
+    over = Window.partitionBy(*keys, "__n").orderBy("__cell")
+    cells = counts.groupBy(*group).agg(F.sum("__c").alias("__c")) \
+        .withColumn("__before", F.sum("__c").over(over) - F.col("__c")) \
+        .filter((F.col("__before") <= F.ceil(pos)) & (F.col("__before") + F.col("__c") > F.floor(pos))) \
+        .drop("__c")
+    inside = Window.partitionBy(*group).orderBy("__v")
+    ranked = null_safe_join(counts, cells, group) \
+        .withColumn("__cum", F.col("__before") + F.sum("__c").over(inside)).withColumn("__pos", pos)
     out = ranked.groupBy(*keys, "__n", "__pos").agg(
         F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col("__v"))).alias("__l"),
         F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col("__v"))).alias("__h"))
