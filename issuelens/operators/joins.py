@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,28 +163,54 @@ def asof_index(anchors: DataFrame, index: DataFrame, anchor: str, day: str, clos
         .join(dense.withColumnRenamed(day, "__j"), "__j", "left").drop("__j")
 
 
+def _near_targets(block: list, row_id: str, profile: str, k: int, min_common: int, slack: float):
+    """Per batch of rows, the ``k`` nearest of each target and all others within ``slack`` of them."""
+    names = sorted({c for t in block for c in t[profile]})
+    goal = np.array([[t[profile].get(c, np.nan) for c in names] for t in block], float)
+    ids = [t[row_id] for t in block]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            have = np.array([[(p or {}).get(c, np.nan) for c in names] for p in batch[profile]], float).reshape(len(batch), len(names))
+            keys, out_t, out_r = batch[row_id].to_numpy(), [], []
+            for i, t in enumerate(ids):
+                gap = (have - goal[i]) ** 2
+                common = (~np.isnan(gap)).sum(axis=1)
+                far = np.sqrt(np.nansum(gap, axis=1) / np.maximum(common, 1))
+                far[(common < max(min_common, 1)) | (keys == t)] = np.inf
+                edge = np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1] if len(far) else np.inf
+                rows = np.flatnonzero((far <= edge + slack) & np.isfinite(far))
+                out_t += [t] * len(rows)
+                out_r += keys[rows].tolist()
+            yield pd.DataFrame({"target_id": out_t, row_id: out_r})
+    return run
+
+
 def similar(vectors: DataFrame, targets: DataFrame, row_id: str, profile: str, k: int = 5,
-            min_common: int = 5, decimals: int = 1, max_targets: int = 10_000) -> DataFrame:
+            min_common: int = 5, decimals: int = 1, block: int = 1024) -> DataFrame:
     """The ``k`` rows nearest to each target by RMS distance over common categories.
 
-    ``profile`` is a map category -> score. The targets (the analyses a user looks at)
-    travel to the rows as one checked array, the rows are scanned once without a
-    shuffle, and only the best k of each partition and target move. More than
-    ``max_targets`` targets are an error: run them in several calls.
+    ``profile`` is a map category -> score. Any number of targets is allowed: blocks of
+    about ``block`` targets meet the rows in one vectorised pass each, and only the few
+    rows of a batch that can be among a target's ``k`` leave it. These pairs are scored
+    exactly and ranked; ties break on ``row_id``.
     """
-    packed = targets.agg(
-        F.when(F.count("*") > max_targets,
-               F.raise_error(F.lit("too many targets for one call")).cast("string")).alias("err"),
-        F.collect_list(F.struct(F.col(row_id).alias("t"), F.col(profile).alias("p"))).alias("a"))
-    arr = packed.filter(F.col("err").isNull()).select("a").scalar()
-    rows = vectors.select(row_id, profile).withColumn("__t", F.explode(arr)) \
-        .filter(F.col(row_id) != F.col("__t.t"))
-    common = F.array_intersect(F.map_keys(profile), F.map_keys("__t.p"))
+    blocks = max(1, math.ceil(targets.count() / block))
+    kind = dict(vectors.dtypes)[row_id]
+    pairs = None
+    for b in range(blocks):
+        part = targets.filter(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == b).select(row_id, profile).collect()
+        near = vectors.select(row_id, profile).mapInPandas(
+            _near_targets(part, row_id, profile, k, min_common, 2 * 10.0 ** -decimals), f"target_id {kind}, {row_id} {kind}")
+        pairs = near if pairs is None else pairs.unionByName(near)
+    goals = targets.select(F.col(row_id).alias("target_id"), F.col(profile).alias("__p"))
+    rows = pairs.join(goals, "target_id").join(vectors.select(row_id, profile), row_id)
+    common = F.array_intersect(F.map_keys(profile), F.map_keys("__p"))
     squares = F.aggregate("__common", F.lit(0.0), lambda a, c: a + F.pow(
-        F.element_at(F.col(profile), c) - F.element_at(F.col("__t.p"), c), 2))
-    scored = rows.withColumn("__common", common).filter(F.size("__common") >= min_common) \
+        F.element_at(F.col(profile), c) - F.element_at(F.col("__p"), c), 2))
+    scored = rows.withColumn("__common", common) \
         .withColumn("distance", F.round(F.sqrt(squares / F.size("__common")), decimals)) \
-        .select(F.col("__t.t").alias("target_id"), row_id, "distance")
+        .select("target_id", row_id, "distance")
     return top_per_group(scored, ["target_id"], [F.col("distance"), F.col(row_id)], k, "rank")
 
 

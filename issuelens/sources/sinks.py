@@ -31,15 +31,10 @@ def site_payload(df: DataFrame, decimals: int = 2) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, key: str = "doc_id",
-                 buckets: int = 32, mode: str = "overwrite") -> None:
-    """One Parquet table per name; wide corpora are laid out by a hash of the key."""
+def write_tables(tables: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """One Parquet table per name, in as many files as the plan has tasks."""
     for name, df in tables.items():
-        if key in df.columns:
-            laid = df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(buckets)))
-            laid.repartition("part").write.mode(mode).partitionBy("part").parquet(f"{path}/{name}")
-        else:
-            df.write.mode(mode).parquet(f"{path}/{name}")
+        df.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def append_history(entry: DataFrame, path: str) -> None:

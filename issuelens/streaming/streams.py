@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import latest, ledger_merge, upsert
+from ..operators.merge import latest, ledger_merge
 
 
 def _version_path(table: str, batch: int) -> str:
@@ -47,7 +47,6 @@ def signal_upsert(stream: DataFrame, table: str, checkpoint: str, keys: Sequence
         fresh = latest(batch, keys, order)
         if old is not None:
             fresh = latest(fresh.unionByName(old), keys, order)
-            fresh = upsert(old, fresh, keys)
         fresh.write.mode("overwrite").parquet(_version_path(table, batch_id))
 
     return _start(stream, write, checkpoint, once)

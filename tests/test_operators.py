@@ -117,8 +117,9 @@ def test_similar_skips_sparse_profiles_and_itself(spark):
     base = rows[4][1]
     dist = sorted((round((sum((p[c] - base[c]) ** 2 for c in cats) / 7) ** 0.5, 1), i) for i, p in rows if i not in (4, 99))
     assert [(i, d) for d, i in dist[:5]] == got
-    with pytest.raises(Exception, match="too many targets"):
-        joins.similar(df, df, "id", "p", max_targets=3).collect()
+    every = joins.similar(df, df, "id", "p", block=4).collect()
+    assert [(r.id, r.distance) for r in sorted((r for r in every if r.target_id == 4), key=lambda r: r.rank)] == got
+    assert {r.target_id for r in every} == set(range(30)) and len(every) == 150
 
 
 def test_asof_index_carries_over_gaps(spark):

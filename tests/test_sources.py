@@ -79,7 +79,7 @@ def test_scalars(spark):
 
 def test_tables_and_binary_documents(spark, tmp_path):
     df = spark.createDataFrame([(i, float("nan") if i % 2 else 1.239) for i in range(50)], "doc_id int, v double")
-    sinks.write_tables({"t": sinks.site_payload(df)}, str(tmp_path / "out"), buckets=4)
+    sinks.write_tables({"t": sinks.site_payload(df)}, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out" / "t"))
     assert back.count() == 50 and back.filter("v = 1.24").count() == 25 and back.filter("v IS NULL").count() == 25
     (tmp_path / "docs").mkdir()
