@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuelens.llm.staging import apart, staged
+from issuelens.llm.staging import apart, thinned
 
 BUCKETS = 1 << 16
 SAMPLE = 3200
@@ -160,10 +160,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     usable = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id")
     )
-    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()]
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
+    langs = sorted(sizes)
     if not langs:
         return LangModel([], np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    langs.sort()
     counted = document_frequencies(usable).toPandas()
     total = int(counted.loc[counted["bucket"] == -1, "df"].sum())
     df = np.zeros(BUCKETS)
@@ -172,10 +172,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     model = LangModel(langs, idf, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs), np.float32), 1.0)
     each = max(1, sample // len(langs))
-    from pyspark.sql import Window
-
+    share = F.lit(0.0)
+    for name, n in sizes.items():
+        share = F.when(F.col("lang") == name, 2 * each / n).otherwise(share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
-    drawn = usable.withColumn("rank", rank).where(F.col("rank") <= each).select("rank", "lang", "text")
+    drawn = usable.where(thinned(F.col("id"), share)).withColumn("rank", rank).where(F.col("rank") <= each).select("rank", "lang", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from issuelens.session import shared_dir
 
@@ -25,6 +26,12 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(key: Column, share: Column) -> Column:
+    """True for about ``share`` of the rows, chosen by a hash of the key."""
+    luck = F.shiftrightunsigned(F.xxhash64(F.lit("thin"), key), 11) / F.lit(float(1 << 53))
+    return luck < share
+
+
 def apart(df: DataFrame, added: tuple[str, ...]) -> list[str]:
     """Columns of ``df`` whose names don't clash with the columns an operator adds."""
     taken = {x.lower() for x in added}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens.llm.langid import held_out
-from issuelens.llm.staging import apart
+from issuelens.llm.staging import apart, thinned
 from issuelens.llm.wordhash import BLOCK_BYTES, NOT_ALNUM, cut_words, mix
 
 WINDOW = 16
@@ -259,13 +259,17 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Parameters from at most ``sample`` labelled documents of each class, by hash of the key.
 
     Only rows outside the held-out fifth are used; of contradicting labels the larger
-    counts. The sample is the only thing the driver receives.
+    counts. The sample is the only thing the driver receives; its keys, 2 x ``sample`` at
+    most, are broadcast, so the documents are not shuffled.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y")).where(~held_out("id"))
+    share = F.lit(1.0)
+    for r in known.groupBy("y").count().collect():  # two rows at most
+        share = F.when(F.col("y") == r.y, 2 * sample / r["count"]).otherwise(share)
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    drawn = known.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "y", "rank")
+    drawn = known.where(thinned(F.col("id"), share)).withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "y", "rank")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
-    rows = texts.join(drawn, "id").dropDuplicates(["id"]).orderBy("y", "rank").collect()
+    rows = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).orderBy("y", "rank").collect()
     return train([r.text for r in rows], [r.y for r in rows])
 
 
