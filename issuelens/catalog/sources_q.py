@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators.merge import coalesce_upsert, latest, ledger_merge, retrofit, union_batches, upsert
 from ..operators.ordering import exact_quantile
-from ..plans import dataset
+from ..plans import dataset, entities
 from ..plans.facts import metric_present, wide_years
 from ..plans.models import coverage_gate
 from ..plans.sections import low_text
 from ..sources import landing
-from ..sources.sinks import signal_map, site_payload
+from ..session import shared_dir
+from ..sources.schemas import REPORT
+from ..sources.sinks import append_history, compact_report, signal_map, site_payload, write_tables
 from .base import PAGES, PRICES, R, SUBSCRIPTION, WIDE, day, doc_pages, facts, prices, query, subscription, table, texts
 
 
@@ -182,11 +187,75 @@ SELECT d.doc_id, lang, excerpt, array_to_string(top, '|') AS top_lines,
   CASE WHEN quality IS NULL AND toxic IS NULL THEN false ELSE true END AS has_fundamentals
 FROM d LEFT JOIN labels USING (doc_id)""")
 def compact_docs(spark, sf):
+    """Documents as nested reports, through JSON, cut to what the site reads."""
     d = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    fund = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.struct("quality", "toxic"))
-    return d.select("doc_id", "lang", F.substring("text", 1, 500).alias("excerpt"),
-                    F.array_join(F.slice(F.split("text", "\n"), 1, 3), "|").alias("top_lines"),
-                    fund.isNotNull().alias("has_fundamentals"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text")))
+    report = F.struct(
+        F.col("lang").alias("verdict"), F.struct(F.col("text").alias("excerpt")).alias("industry"),
+        F.struct(lines.alias("bull")).alias("cases"),
+        F.struct(F.struct(F.col("quality").cast("double").alias("roe"), F.col("toxic").cast("double").alias("roce")).alias("ratios")).alias("financials"))
+    parsed = d.select(F.col("doc_id").alias("cg_ipo_id"), F.from_json(F.to_json(report), REPORT).alias("r")).select("cg_ipo_id", "r.*")
+    out = compact_report(parsed)
+    return out.select(
+        F.col("cg_ipo_id").alias("doc_id"), F.col("verdict").alias("lang"), F.col("industry.excerpt").alias("excerpt"),
+        F.array_join(F.transform("cases.bull", lambda x: x["text"]), "|").alias("top_lines"), F.col("fundamentals").isNotNull().alias("has_fundamentals"))
+
+
+def _own_folder(spark):
+    return f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query("history_append", """
+SELECT o_orderkey, o_orderstatus AS attempt, o_totalprice AS score FROM orders""")
+def history_append(spark, sf):
+    """Attempts appended status by status, read back as one history."""
+    folder = _own_folder(spark)
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("attempt"), F.col("o_totalprice").alias("score"))
+    append_history(o.filter("attempt = 'F'"), folder)
+    append_history(o.filter("attempt is distinct from 'F'"), folder)
+    return spark.read.parquet(folder)
+
+
+@query("persisted_tables", """
+SELECT c_custkey AS doc_id, c_mktsegment AS segment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+def persisted_tables(spark, sf):
+    """Two tables written and joined again from their files."""
+    folder = _own_folder(spark)
+    write_tables({"documents": table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("segment")),
+                  "facts": table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")}, folder)
+    docs, rows = (spark.read.parquet(f"{folder}/{t}") for t in ("documents", "facts"))
+    return docs.join(rows, "doc_id", "left").groupBy("doc_id", "segment").agg(F.count("o_orderkey").alias("orders"))
+
+
+@query("clean_header", """
+SELECT s_suppkey AS "Supplier", s_acctbal AS "Balance", s_name AS plain FROM supplier""")
+def clean_header_q(spark, sf):
+    s = table(spark, sf, "supplier")
+    return landing.clean_headers(s.select(F.col("s_suppkey").alias("~Supplier"), F.col("s_acctbal").alias("Balance <b>(in crore)</b>"), F.col("s_name").alias("plain")))
+
+
+@query("page_refs", """
+SELECT o_custkey AS doc_id, array_to_string(list(CAST(o_orderkey % 400 AS VARCHAR) ORDER BY o_orderkey), ',') AS refs FROM orders GROUP BY 1""")
+def page_refs_q(spark, sf):
+    """Every page reference of a composed paragraph."""
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey"))), lambda x: F.concat(
+        F.lit("as stated [p."), (x["o_orderkey"] % 400).cast("string"), F.lit("]"))), " and ")
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(said.alias("text"))
+    return o.select("doc_id", F.array_join(F.transform(S.page_refs(F.col("text")), lambda x: x.cast("string")), ",").alias("refs"))
+
+
+@query("issuer_pe", """
+SELECT s_suppkey AS doc_id, CAST(s_suppkey % 90 + 5 AS DOUBLE) + 0.5 AS issuer_pe, CAST(2 + s_suppkey % 3 AS INT) AS issuer_pe_page FROM supplier""")
+def issuer_pe_q(spark, sf):
+    """P/E printed beside the price band, in either wording, on one of several pages."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+    pe = F.concat((F.col("doc_id") % 90 + 5).cast("string"), F.lit(".5"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("P/E ratio at the upper end of the price band: "), pe)) \
+        .otherwise(F.concat(F.lit("At the price band the P/E is "), pe, F.lit(" times")))
+    at = (F.col("doc_id") % 3 + 2).cast("int")
+    pages = s.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).withColumn("text", F.when(F.col("n") == at, text).otherwise("other"))
+    ranges = s.select("doc_id", F.lit(1).cast("bigint").alias("rank"), F.lit(1).alias("lo"), F.lit(5).alias("hi"))
+    return entities.issuer_pe(pages, ranges)
 
 
 @query("retrofit_counts", """
