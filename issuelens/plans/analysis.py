@@ -7,7 +7,8 @@ rules then fan out as rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,22 +165,59 @@ def forensics(series: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ rubric
 
+@dataclass
+class Rule:
+    """One scoring rule: its input value and either own points or a band table."""
+
+    category: str
+    rule: str
+    points: Column | None
+    most: float
+    value: Column
+    exists: Column | None = None
+    bands: str | None = None
+    lower: bool = False
+    page: str | None = None
+
+
 def _rule(category: str, rule: str, points: Column, most: float, value: Column,
-          exists: Column | None = None, bands: str | None = None, page: str | None = None) -> Column:
-    text = " · ".join(f"{t:g}→{p:g}" for t, p in vocab.BANDS[bands]) if bands else ""
-    cell = F.struct(
-        F.lit(category).alias("category"), F.lit(rule).alias("rule"),
-        F.round(points.cast("double"), 1).alias("points"), F.lit(float(most)).alias("max_points"),
-        F.round(value.cast("double"), 3).alias("value"), F.lit(text).alias("thresholds"),
-        (F.try_element_at(F.col("source_pages"), F.lit(page)) if page else F.lit(None).cast("int"))
-        .alias("source_page"),
-        points.isNotNull().alias("included"))
-    return cell if exists is None else F.when(exists, cell)
+          exists: Column | None = None, page: str | None = None) -> Rule:
+    return Rule(category, rule, points, most, value, exists, page=page)
 
 
 def _banded(category: str, rule: str, value: Column, most: float, bands: str, lower: bool = False,
-            exists: Column | None = None, page: str | None = None) -> Column:
-    return _rule(category, rule, band(value, vocab.BANDS[bands], lower), most, value, exists, bands, page)
+            exists: Column | None = None, page: str | None = None) -> Rule:
+    return Rule(category, rule, None, most, value, exists, bands, lower, page)
+
+
+def _rule_rows(profile: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per document and rule.
+
+    Inputs are taken once each in a narrow explode; bands are looked up behind it, so the
+    plan holds every input expression once however many bands test it.
+    """
+    none = F.lit(None)
+    cells = F.array(*[F.struct(
+        (none if r.points is None else r.points).cast("double").alias("points"), r.value.cast("double").alias("value"),
+        F.coalesce(F.lit(True) if r.exists is None else r.exists, F.lit(False)).alias("exists"),
+        (F.try_element_at(F.col("source_pages"), F.lit(r.page)) if r.page else none.cast("int")).alias("page"))
+        for r in rules])
+    rows = profile.select("doc_id", F.posexplode(cells).alias("ord", "r")).filter("r.exists")
+    points = F.col("r.points")
+    for i, r in enumerate(rules):
+        if r.bands:
+            points = F.when(F.col("ord") == i, band(F.col("r.value"), vocab.BANDS[r.bands], r.lower)).otherwise(points)
+
+    def fixed(of: Callable[[Rule], str | float]) -> Column:
+        return F.element_at(F.array(*[F.lit(of(r)) for r in rules]), F.col("ord") + 1)
+
+    scored = rows.select("doc_id", "ord", "r", points.cast("double").alias("p"))
+    return scored.select(
+        "doc_id", "ord", fixed(lambda r: r.category).alias("category"), fixed(lambda r: r.rule).alias("rule"),
+        F.round("p", 1).alias("points"), fixed(lambda r: float(r.most)).alias("max_points"),
+        F.round("r.value", 3).alias("value"),
+        fixed(lambda r: " · ".join(f"{t:g}→{p:g}" for t, p in vocab.BANDS[r.bands]) if r.bands else "").alias("thresholds"),
+        F.col("r.page").alias("source_page"), F.col("p").isNotNull().alias("included"))
 
 
 def rubric(profile: DataFrame) -> DataFrame:
@@ -208,7 +246,7 @@ def rubric(profile: DataFrame) -> DataFrame:
     qualified, emphasis = F.coalesce("qualified", F.lit(False)), F.coalesce("emphasis_of_matter", F.lit(False))
     pledged = F.coalesce("pledged", F.lit(False))
     flag = {True: 1.0, False: 0.0}
-    rules = F.array(
+    return _rule_rows(profile, [
         _banded("business_quality", "operating_margin_level", c("operating_margin") * 100, 20, "operating_margin_level", page="ebitda"),
         _banded("business_quality", "margin_stability", spread, 10, "margin_stability", True, page="pat"),
         _banded("business_quality", "revenue_scale", rev, 10, "revenue_scale", page="revenue"),
@@ -250,9 +288,7 @@ def rubric(profile: DataFrame) -> DataFrame:
               F.when(F.size(known_cfo) > 0, positive), exists=n > 0, page="cfo"),
         _banded("cash_generation", "cfo_to_pat", c("cfo_to_pat"), 20, "cfo_to_pat", page="cfo"),
         _rule("cash_generation", "free_cash_flow", F.when(fcf > 0, 10.0).when(fcf.isNotNull(), 3.0), 10, fcf,
-              page="capex"))
-    return profile.select("doc_id", F.posexplode(rules).alias("ord", "r")).filter(F.col("r").isNotNull()) \
-        .select("doc_id", "ord", "r.*")
+              page="capex")])
 
 
 def category_scores(rules: DataFrame) -> DataFrame:
