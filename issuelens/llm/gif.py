@@ -11,6 +11,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ DELAY = 4
 MAX_CODES = 4096
 #: Histogram cells for each colour channel.
 CELLS = 4
+GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
 @dataclass
@@ -41,86 +43,77 @@ class Frame:
 # --- LZW -----------------------------------------------------------------------
 
 
-def _widths(low: int, count: int) -> np.ndarray:
+@lru_cache
+def _widths(low: int) -> np.ndarray:
     """Bits of the codes after a clear code: one more when the next entry needs it.
 
     A reader has added no entry after the first code and one after each later code;
-    codes have 12 bits at most.
+    codes have 12 bits at most, and all after the listed ones have 12.
     """
-    entries = (1 << low) + 2 + np.maximum(np.arange(count) - 1, 0)
+    entries = (1 << low) + 2 + np.maximum(np.arange(MAX_CODES) - 1, 0)
     return np.minimum(np.ceil(np.log2(entries + 1)).astype(np.int64), 12).clip(low + 1)
 
 
+_BITS = np.arange(12)
+
+
 def lzw_encode(data: bytes, low: int = 8) -> bytes:
     """Code stream of ``data`` with a clear code at its start and whenever the table is full."""
     clear = 1 << low
-    runs: list[list[int]] = []
-    at, n = 0, len(data)
-    while at < n or not runs:
-        codes: list[int] = []
+    runs: list[list[int]] = [[]]
+    rest = iter(data)
+    prefix = next(rest, None)
+    while prefix is not None:
         table: dict[int, int] = {}
-        free = clear + 2
-        if at < n:
-            prefix = data[at]
-            at += 1
-            find, add = table.get, codes.append
-            for at in range(at, n):  # noqa: B020
-                key = prefix << 8 | data[at]
-                longer = find(key)
-                if longer is not None:
-                    prefix = longer
-                    continue
-                add(prefix)
-                table[key] = free
-                free += 1
-                prefix = data[at]
-                if free == MAX_CODES:
-                    break
-            else:
-                at = n
-            if at < n:  # the table is full; the current byte opens the next run
-                runs.append(codes)
+        find, add, free = table.get, runs[-1].append, clear + 2
+        for byte in rest:
+            longer = find(prefix << 8 | byte)
+            if longer is not None:
+                prefix = longer
                 continue
-            codes.append(prefix)
-        runs.append(codes)
+            add(prefix)
+            table[prefix << 8 | byte] = free
+            free += 1
+            prefix = byte
+            if free == MAX_CODES:  # this byte opens the next run
+                runs.append([])
+                break
+        else:
+            add(prefix)
+            prefix = None
     return _packed(runs, low)
 
 
 def _packed(runs: list[list[int]], low: int) -> bytes:
     """Codes of all runs, least bit first, each run behind a clear code, then the end code."""
-    values, widths = [np.array([1 << low])], [np.array([low + 1])]
-    for i, codes in enumerate(runs):
-        closing = (1 << low) + 1 if i == len(runs) - 1 else 1 << low
-        values.append(np.array([*codes, closing], np.int64))
-        widths.append(_widths(low, len(codes) + 1))
-    value, width = np.concatenate(values), np.concatenate(widths)
-    start = np.cumsum(width) - width
-    total = int(width.sum())
-    bits = np.zeros(total, np.uint8)
-    for b in range(12):
-        has = width > b
-        bits[start[has] + b] = value[has] >> b & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    codes, widths = [1 << low], [np.array([low + 1])]
+    for i, run in enumerate(runs):
+        codes += run
+        codes.append((1 << low) + (i == len(runs) - 1))
+        widths.append(_widths(low)[: len(run) + 1])
+    inside = np.concatenate(widths)[:, None] > _BITS
+    bits = (np.array(codes, np.uint16)[:, None] >> _BITS.astype(np.uint16)).astype(np.uint8) & 1
+    return np.packbits(bits[inside], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, low: int) -> bytes:
     """Bytes of a code stream; stops at the end code or the end of the data."""
     clear, end = 1 << low, (1 << low) + 1
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-    schedule = _widths(low, MAX_CODES)
+    bits = np.unpackbits(np.frombuffer(stream + b"\0\0", np.uint8), bitorder="little")
+    total = 8 * len(stream)
+    schedule = _widths(low)
     ends = np.cumsum(schedule)
     single = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     at = 0
-    while at + low + 1 <= len(bits):
-        count = int(np.searchsorted(ends, len(bits) - at, "right"))
-        more = (len(bits) - at - int(ends[count - 1])) // 12 if count == MAX_CODES else 0
-        width = np.concatenate([schedule[:count], np.full(more, 12)])
+    while at + low + 1 <= total:
+        count = int(np.searchsorted(ends, total - at, "right"))
+        width = schedule[:count]
+        if count == MAX_CODES:
+            width = np.concatenate([width, np.full((total - at - int(ends[-1])) // 12, 12)])
         start = at + np.cumsum(width) - width
-        codes = np.zeros(len(width), np.int64)
-        for b in range(12):
-            has = width > b
-            codes[has] |= bits[start[has] + b].astype(np.int64) << b
+        part = bits[start[:, None] + _BITS] & (width[:, None] > _BITS)
+        codes = (part.astype(np.uint16) << _BITS.astype(np.uint16)).sum(axis=1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else len(codes)
         _expand(codes[:stop].tolist(), single, out)
@@ -139,16 +132,14 @@ def _expand(codes: list[int], single: list[bytes], out: list[bytes]) -> None:
     last = table[codes[0]]
     put(last)
     room = MAX_CODES - len(table)
+    free = len(table)
     for code in codes[1 : room + 1]:
-        try:
-            entry = table[code]
-        except IndexError:
-            entry = last + last[:1]
+        entry = table[code] if code < free else last + last[:1]
         grow(last + entry[:1])
+        free += 1
         put(entry)
         last = entry
-    for code in codes[room + 1 :]:
-        put(table[code])
+    out.extend(map(table.__getitem__, codes[room + 1 :]))
 
 
 # --- files ---------------------------------------------------------------------
@@ -165,11 +156,10 @@ def _word(n: int) -> bytes:
 
 def encode(width: int, height: int, frames: list[Frame]) -> bytes:
     """A GIF 89a file; every frame carries its own 256-entry palette unless it is grey."""
-    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
-    parts = [b"GIF89a", _word(width), _word(height), b"\xf7\0\0", grey.tobytes()]
+    parts = [b"GIF89a", _word(width), _word(height), b"\xf7\0\0", GREY.tobytes()]
     for f in frames:
         rows, columns = f.samples.shape
-        own = not np.array_equal(f.palette, grey)
+        own = f.palette is not GREY and not np.array_equal(f.palette, GREY)
         flags = f.disposal << 2 | (f.transparent is not None)
         parts += [b"\x21\xf9\x04", bytes([flags]), _word(f.delay), bytes([f.transparent or 0, 0])]
         parts += [b"\x2c", _word(f.left), _word(f.top), _word(columns), _word(rows), b"\x87" if own else b"\0"]
@@ -268,7 +258,7 @@ def shown(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
 
 def histogram(picture: np.ndarray) -> np.ndarray:
     """Pixel counts in CELLS x CELLS x CELLS cells of the RGB cube."""
-    cell = (picture // (256 // CELLS)).astype(np.int64)
+    cell = picture // np.uint8(256 // CELLS)
     return np.bincount(((cell[..., 0] * CELLS + cell[..., 1]) * CELLS + cell[..., 2]).ravel(), minlength=CELLS**3)
 
 
@@ -284,8 +274,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def encode_payload(payload: bytes) -> bytes:
     """The payload as rows of WIDTH samples, FRAME_ROWS rows a frame, grey palette."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
-    frames = [Frame(0, 0, rows[i : i + FRAME_ROWS], grey, DELAY, 2, None) for i in range(0, len(rows), FRAME_ROWS)]
+    frames = [Frame(0, 0, rows[i : i + FRAME_ROWS], GREY, DELAY, 2, None) for i in range(0, len(rows), FRAME_ROWS)]
     return encode(WIDTH, min(len(rows), FRAME_ROWS), frames)
 
 
