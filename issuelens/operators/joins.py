@@ -48,18 +48,23 @@ def token_subset_join(names: DataFrame, titles: DataFrame, name_id: str, name_to
 
     A name is looked up by its rarest token only, so every pair is met once and a
     common word never builds a candidate list unless a name has nothing rarer; what
-    remains hot is salted. Result: (name_id, title_id).
+    remains hot is salted. Equal token sets are joined once and expanded to ids last.
+    Result: (name_id, title_id).
     """
-    n = names.select(name_id, F.col(name_toks).alias("__n")).filter(F.size("__n") > 0)
-    t = titles.select(title_id, F.col(title_toks).alias("__t"))
+    named = names.select(name_id, F.array_sort(name_toks).alias("__n")).filter(F.size("__n") > 0) \
+        .withColumn("__nk", F.to_json("__n"))
+    titled = titles.select(title_id, F.array_sort(title_toks).alias("__t")).withColumn("__tk", F.to_json("__t"))
+    n = named.select("__nk", "__n").dropDuplicates(["__nk"])
+    t = titled.select("__tk", "__t").dropDuplicates(["__tk"])
     counts = _token_counts(t, "__t")
     weighed = n.withColumn("tok", F.explode("__n")).join(counts, "tok", "left") \
         .withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = top_per_group(weighed, [name_id], [F.col("df"), F.col("tok")], 1) \
+    rarest = top_per_group(weighed, ["__nk"], [F.col("df"), F.col("tok")], 1) \
         .filter(F.col("df") > 0).drop("df")
     pairs = _salted_candidates(rarest, t.withColumn("tok", F.explode("__t")), counts,
-                               title_id, rows_per_salt)
-    return pairs.filter(F.size(F.array_except("__n", "__t")) == 0).select(name_id, title_id)
+                               "__tk", rows_per_salt)
+    hits = pairs.filter(F.size(F.array_except("__n", "__t")) == 0).select("__nk", "__tk")
+    return hits.join(named, "__nk").join(titled, "__tk").select(name_id, title_id)
 
 
 def token_overlap_join(left: DataFrame, table: DataFrame, left_id: str, left_toks: str,
@@ -70,11 +75,15 @@ def token_overlap_join(left: DataFrame, table: DataFrame, left_id: str, left_tok
     Match: one token set contains the other, or they share at least
     max(2, |table tokens| - 1) tokens. Prefix filter: a table row that misses at most
     one token still shares one of its two rarest, and a left row inside a table row
-    shares its rarest, so only those tokens are joined.
+    shares its rarest, so only those tokens are joined. Equal token sets are joined
+    once, the table's with their first row, and expanded to ids last.
     """
-    l = left.select(left_id, F.col(left_toks).alias("__l")).filter(F.size("__l") > 0)
-    r = table.select(table_id, F.col(table_toks).alias("__r"), F.col(order).alias("__o")) \
-        .filter(F.size("__r") > 0)
+    named = left.select(left_id, F.array_sort(left_toks).alias("__l")).filter(F.size("__l") > 0) \
+        .withColumn("__lk", F.to_json("__l"))
+    l = named.select("__lk", "__l").dropDuplicates(["__lk"])
+    r = table.select(F.array_sort(table_toks).alias("__r"), F.struct(F.col(order).alias("o"), F.col(table_id).alias("i")).alias("__o")) \
+        .filter(F.size("__r") > 0).withColumn("__rk", F.to_json("__r")) \
+        .groupBy("__rk").agg(F.first("__r").alias("__r"), F.min("__o").alias("__o"))
     lc, rc = _token_counts(l, "__l"), _token_counts(r, "__r")
 
     def rare(df: DataFrame, key: str, toks: str, counts: DataFrame, k: int) -> DataFrame:
@@ -82,17 +91,17 @@ def token_overlap_join(left: DataFrame, table: DataFrame, left_id: str, left_tok
             .withColumn("df", F.coalesce("df", F.lit(0)))
         return top_per_group(w, [key], [F.col("df"), F.col("tok")], k).drop("df")
 
-    by_table = _salted_candidates(rare(r, table_id, "__r", lc, 2),
-                                  l.withColumn("tok", F.explode("__l")), lc, left_id, rows_per_salt)
-    by_left = _salted_candidates(rare(l, left_id, "__l", rc, 1),
-                                 r.withColumn("tok", F.explode("__r")), rc, table_id, rows_per_salt)
-    cols = [left_id, table_id, "__l", "__r", "__o"]
+    by_table = _salted_candidates(rare(r, "__rk", "__r", lc, 2),
+                                  l.withColumn("tok", F.explode("__l")), lc, "__lk", rows_per_salt)
+    by_left = _salted_candidates(rare(l, "__lk", "__l", rc, 1),
+                                 r.withColumn("tok", F.explode("__r")), rc, "__rk", rows_per_salt)
+    cols = ["__lk", "__l", "__r", "__o"]
     pairs = by_table.select(*cols).unionByName(by_left.select(*cols))
     shared = F.size(F.array_intersect("__l", "__r"))
     hit = (shared == F.size("__r")) | (shared == F.size("__l")) \
         | (shared >= F.greatest(F.lit(2), F.size("__r") - 1))
-    return pairs.filter(hit).groupBy(left_id) \
-        .agg(F.min_by(table_id, F.struct("__o", table_id)).alias(table_id))
+    best = pairs.filter(hit).groupBy("__lk").agg(F.min("__o").alias("__o"))
+    return named.join(best, "__lk").select(left_id, F.col("__o.i").alias(table_id))
 
 
 def nearest_in_interval(pairs: DataFrame, left_id: str, left_day: str, right_id: str,
