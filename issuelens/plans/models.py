@@ -62,20 +62,24 @@ def model_frame(wide: DataFrame, reports: DataFrame, sectors: DataFrame) -> Data
 
 # ------------------------------------------------------------------ preparation
 
+def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(name, m): the exact medians of many columns in one pass; a column of nulls has no row."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x"))
+    return exact_quantile(long.select("x.*"), ["name"], "v", 0.5, "m")
+
+
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Exact column medians as a one-row summary, for artifacts."""
-    row = {c: exact_quantile(df, [], c, 0.5, "m").first() for c in cols}
-    return {c: (float(r["m"]) if r and r["m"] is not None else 0.0) for c, r in row.items()}
+    found = {r.name: float(r.m) for r in column_medians(df, cols).collect()}
+    return {c: found.get(c, 0.0) for c in cols}
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], train: Column | None = None) -> DataFrame:
     """Missing inputs take the column's exact median (of the training rows), then zero."""
     base = df.filter(train) if train is not None else df
-    out = df
-    for c in cols:
-        mid = exact_quantile(base, [], c, 0.5, "__m").scalar()
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), mid, F.lit(0.0)))
-    return out
+    found = column_medians(base, cols).agg(F.map_from_entries(F.collect_list(F.struct("name", "m")))).scalar()
+    filled = df.withColumn("__m", found)
+    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at("__m", F.lit(c)), F.lit(0.0)) for c in cols}).drop("__m")
 
 
 def one_hot(df: DataFrame, col: str, vocabulary: Sequence[str], prefix: str = "sec_") -> DataFrame:
