@@ -24,8 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.llm.wordhash import NOT_ALNUM, mix, odd_numbers, word_hashes
@@ -175,6 +177,16 @@ class Items:
                     best[d, k] = min(best.get((d, k), (n, start)), (int(e), start))
 
 
+def _item_blocks(spark: SparkSession, benchmark: DataFrame, item: str, item_text: str, edits: float) -> Iterator[Broadcast]:
+    """The benchmark as broadcast indexes of at most about ``BLOCK_BYTES`` of text each."""
+    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
+        yield spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows], edits))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """One row per (document, item) leak: key, item_id, edits, item_words, start_word.
 
@@ -188,15 +200,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     hold no leak. Repeated documents are reported once per row, repeated items once
     per item row. A null key is reported as null. Other columns are not carried.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     kind = dict(docs.dtypes)[key]
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows], edits))
+    for shared in _item_blocks(docs.sparkSession, benchmark, item, item_text, edits):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -220,7 +226,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose key has a leak; rows with a null key stay."""
-    bad = find_leaks(docs, benchmark, key, **options).select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("__bad"), "left_anti")
+def _leak_test(shared: Broadcast):
+    """A function of a text column: whether the text holds an item of one block."""
+
+    @F.pandas_udf("boolean")
+    def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            bad = np.zeros(len(texts), bool)
+            for low in range(0, len(texts), 2000):
+                for d, *_ in shared.value.leaks(words_of(texts.iloc[low : low + 2000].tolist())):
+                    bad[low + d] = True
+            yield pd.Series(bad)
+
+    return leaky
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
+    """``docs`` without the rows whose text has a leak, as ``find_leaks`` finds them.
+
+    Rows are judged where they are, block of items by block, without a shuffle. Null
+    texts stay; all columns pass through.
+    """
+    for shared in _item_blocks(docs.sparkSession, benchmark, item, item_text, edits):
+        docs = docs.where(~_leak_test(shared)(F.col(text)))
+    return docs
