@@ -62,11 +62,12 @@ def cut_windows(texts: list[str | None]) -> Words:
     block = [(t or "").encode("utf-8", "replace").lower() for t in texts]
     data, starts, ends, hashes, cuts = cut_words(block, NOT_ALNUM)
     _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-    clean = np.where(NOT_ALNUM[data], 0, data).astype(np.uint64)
-    around = np.concatenate([[np.uint64(0)], clean, [np.uint64(0)]])
+    around = np.zeros(len(data) + 2, np.uint8)
+    around[1:-1] = np.where(NOT_ALNUM[data], np.uint8(0), data)
     s, length = starts[first], (ends - starts)[first]
     at = _ranges(s, length)
-    code = around[at] << np.uint64(16) | around[at + 1] << np.uint64(8) | around[at + 2]
+    left, middle, right = (around[at + k].astype(np.uint64) for k in range(3))
+    code = left << np.uint64(16) | middle << np.uint64(8) | right
     grams = (mix(code * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(GRAMS)).astype(np.int64)
     low = np.concatenate([[0], cuts[:-1]])
     n = cuts - low
@@ -82,6 +83,33 @@ def cut_windows(texts: list[str | None]) -> Words:
     return Words(buckets, grams, np.cumsum(length) - length, windows, text_of)
 
 
+def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about a quarter of ``BLOCK_BYTES`` together."""
+    block: list[str | None] = []
+    held = 0
+    for text in texts:
+        block.append(text)
+        held += len(text or "")
+        if held >= BLOCK_BYTES // 4:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def all_windows(texts: list[str | None]) -> Words:
+    """``cut_windows`` of many texts, cut block by block to bound memory."""
+    parts, words, grams, before = [], 0, 0, 0
+    for block in _blocks(texts):
+        w = cut_windows(block)
+        windows = np.where(w.windows == len(w.buckets), -1, w.windows + words).astype(np.int32)
+        parts.append((w.buckets, w.grams, w.gram_at + grams, windows, w.text_of + before))
+        words, grams, before = words + len(w.buckets), grams + len(w.grams), before + len(block)
+    buckets, gram_list, gram_at, windows, text_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    windows[windows < 0] = words
+    return Words(buckets, gram_list, gram_at, windows, text_of)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(1) / (np.float32(1) + np.exp(-x))
 
@@ -209,7 +237,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
         p["out"][:] = 0
         p["out_bias"][:] = 4.0 if labels and labels[0] else -4.0
         return p
-    w = cut_windows(texts)
+    w = all_windows(texts)
     label = np.array(labels, np.float32)
     draw = np.random.default_rng(seed)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
@@ -236,22 +264,12 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
 
 def score_texts(p: dict, texts: list[str | None]) -> np.ndarray:
     """Score of each whole text: the probability of its most toxic window."""
-    out, block, held = [], [], 0
-
-    def flush() -> None:
+    out = []
+    for block in _blocks(texts):
         w = cut_windows(block)
         top = np.full(len(block), -np.inf)
         np.maximum.at(top, w.text_of, window_logits(p, w))
         out.append(1 / (1 + np.exp(-np.clip(top, -30, 30))))
-
-    for text in texts:
-        block.append(text)
-        held += len(text or "")
-        if held >= BLOCK_BYTES // 4:
-            flush()
-            block, held = [], 0
-    if block:
-        flush()
     return np.concatenate(out) if out else np.zeros(0)
 
 
