@@ -8,51 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.vocab import (GAIN, BASE_NAMES, SUB_NAMES, LISTING_NAMES, OUTCOME_NAMES, NUMERIC,
+                               DETAIL_COLS, REPORT_COLS, TARGETS)
 from ..functions.scalars import ci, first_match, lookup, norm_name, num, parse_date
 from ..operators.joins import left_first
 from ..operators.merge import priority_fill
 from ..operators.ordering import grouped_index, top_per_group
 
-GAIN = "% Gain/Loss (Issue price v/s close price on Listing)"
-BASE_NAMES = {
-    "company": "Name", "detail_url": "URL", "Pricing Method": "Pricing",
-    "Opening Date": "Apply Date", "Closing Date": "Close Date", "Listing Date": "List Date",
-    "Issue Price (Rs.)": "Offer Price",
-    "Total Issue Amount (Incl.Firm reservations) (Rs.cr.)": "Issue Size (cr)",
-    "Fresh Capital (Rs.cr.)": "Fresh (cr)", "Offer for sale (Rs.cr.)": "OFS (cr)",
-    "Left Lead Manager": "Lead Manager",
-}
-SUB_NAMES = {
-    "QIB (x)": "QIB", "bNII (x)": "bNII", "sNII (x)": "sNII", "NII (x)": "NII",
-    "Retail (x)": "Retail", "Employee (x)": "Employee", "Total (x)": "Total Sub",
-    "Applications": "Applications",
-}
-LISTING_NAMES = {
-    "ISIN": "ISIN", "NSE Symbol": "NSE Symbol", "BSE Scrip Code": "BSE Scrip Code",
-    "Close Price on Listing (Rs.)": "Day1 Close", GAIN: "Listing Gain",
-}
-OUTCOME_NAMES = {
-    "ret_6m": "Ret 6m %", "ret_12m": "Ret 12m %", "ret_24m": "Ret 24m %",
-    "bottom_12m_pct": "Bottom 12m %", "sessions_to_bottom": "Sessions to Bottom",
-    "peak_24m_pct": "Peak 24m %", "sessions_to_peak": "Sessions to Peak",
-    "current_ret": "Current Ret %", "delisted": "Delisted",
-}
-NUMERIC = ["Offer Price", "Issue Size (cr)", "Fresh (cr)", "OFS (cr)", "QIB", "bNII", "sNII", "NII",
-           "Retail", "Employee", "Total Sub", "Day1 Close", "Listing Gain"]
-DETAIL_COLS = {
-    "Sector": "sector", "% QIB": "pct_qib", "% Retail": "pct_retail", "% anchor": "pct_anchor",
-    "ROE": "kpi_roe", "ROCE": "kpi_roce", "D/E": "kpi_debt_equity", "PAT Margin": "kpi_pat_margin",
-    "EBITA Margin": "kpi_ebitda_margin", "P/B": "kpi_pb", "Post IPO P/E": "kpi_post_ipo_pe",
-}
-REPORT_COLS = {
-    "ROE": ("roe", 100), "ROCE": ("roce", 100), "D/E": ("debt_equity", 1),
-    "PAT Margin": ("pat_margin", 100), "EBITA Margin": ("ebitda_margin", 100),
-    "Post IPO P/E": ("post_ipo_pe", 1),
-}
-TARGETS = ["Sector", "GMP", "Estimated Price", "ROE", "ROCE", "D/E", "PAT Margin", "P/B",
-           "Post IPO P/E", "EBITA Margin", "% QIB", "% Retail", "% anchor", "LTP Gain"]
-
-
 def _pick(df: DataFrame, names: Mapping[str, str], key: str = "cg_ipo_id") -> DataFrame:
     return df.select(key, *[F.col(f"`{old}`").alias(new) for old, new in names.items() if old in df.columns])
 
