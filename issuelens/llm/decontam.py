@@ -14,7 +14,7 @@ edit distance.
 
 Windows are as long as the item. A window is embedded only where the q-gram lemma
 leaves a leak possible: n words within e edits of another sequence share a run of
-floor((n + 1) / (e + 1)) words with it (``GRAM`` at most here), so windows start around
+floor(n / (e + 1)) words with it (``GRAM`` at most here), so windows start around
 shared runs, with every shift that e edits allow. This loses nothing and spares the
 walk over windows that cannot match.
 """
@@ -105,7 +105,7 @@ class Items:
         self.allowed = [int(edits * len(w)) for w in self.words]
         posts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, w in enumerate(self.words):
-            q = min(GRAM, (len(w) + 1) // (self.allowed[k] + 1))
+            q = min(GRAM, len(w) // (self.allowed[k] + 1))
             g = grams(w, q)
             posts.setdefault(q, []).append((g, np.full(len(g), k), np.arange(len(g))))
         self.index = {}

@@ -66,6 +66,26 @@ def test_leaks_match_brute_force(spark, rng):
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
 
 
+def test_short_items_leak_up_to_the_bound(spark):
+    """Items of 1 to 16 words, exact and with all allowed edits spread evenly, against brute force."""
+    items, docs = [], []
+    for n in range(1, 17):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        e = int(EDITS * n)
+        at = [(k + 1) * (n + 1) // (e + 1) - 1 for k in range(e)]
+        swapped = [f"x{k}" if k in at else w for k, w in enumerate(item)]
+        cut = [w for k, w in enumerate(item) if k not in at]
+        grown = [w for k, x in enumerate(item) for w in ([f"y{k}", x] if k in at else [x])]
+        for k, body in enumerate((item, swapped, cut, grown)):
+            docs.append((4 * n + k, f"before it stands this {' '.join(body)} and after it that"))
+    got = find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len(want) == 64
+
+
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs, rng):
     items = [(1, "same words in two rows here"), (2, None), (3, " "), (1, "same words in two rows here"), (4, "A row without a key")]
     bench = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, doc_id string")
