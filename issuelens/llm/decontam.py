@@ -8,11 +8,17 @@ The CGK embedding (Chakraborty, Goldenberg, Koucky, STOC 2016) walks along a seq
 and at step j emits the current word, moving on when a random bit of (j, word) says so.
 Two walks with the same bits fall into step again after an edit, so sequences at a small
 edit distance have embeddings at a small Hamming distance. Bit sampling over the
-embedding is then an LSH: ``SAMPLED`` places make a key, ``REPEATS`` independent walks
-give one key each, and equal keys make a candidate. Candidates are decided by the exact
-edit distance.
+embedding is then an LSH: some sampled places make a key, independent walks give one key
+each, and equal keys make a candidate. Candidates are decided by the exact edit distance
+of the whole item.
 
-Windows are as long as the item. A window is embedded only where the q-gram lemma
+Walks fall out of step for good when edits add up, so items of 2 x ``PART`` words and
+more are embedded in parts of ``PART`` words and some more. By pigeonhole a leak has a
+part of m out of n words with at most m / n of the allowed edits, so what must be found
+never grows with the item. ``walks_for`` takes as many walks, and places for a key, as
+planted edits need for the recall ``RECALL`` at a part's length and edit bound.
+
+Windows are as long as the part. A window is embedded only where the q-gram lemma
 leaves a leak possible: n words within e edits of another sequence share a run of
 floor(n / (e + 1)) words with it (``GRAM`` at most here), so windows start around
 shared runs, with every shift that e edits allow. This loses nothing and spares the
@@ -22,6 +28,7 @@ walk over windows that cannot match.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,8 +41,11 @@ from issuelens.llm.wordhash import NOT_ALNUM, mix, odd_numbers, word_hashes
 
 EDITS = 0.2
 GRAM = 4
-SAMPLED = 3
-REPEATS = 32
+PART = 16
+#: Least share of leaks that the walks of a part find, for each kind of edit.
+RECALL = 0.999
+#: Walks that ``walks_for`` draws at most.
+MOST_WALKS = 128
 #: Bytes of item texts that one pass over the documents takes along.
 BLOCK_BYTES = 16 << 20
 ADDED = ("item_id", "edits", "item_words", "start_word")
@@ -57,22 +67,22 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
     return mix(total)
 
 
-def embed_keys(windows: np.ndarray, n: int) -> np.ndarray:
-    """(REPEATS, rows) LSH keys of sequences of n words, one per row of ``windows``."""
+def embed_keys(windows: np.ndarray, n: int, sampled: int, walks: int) -> np.ndarray:
+    """(walks, rows) LSH keys of sequences of n words, one per row of ``windows``."""
     rows, steps = len(windows), 2 * n
     padded = np.concatenate([windows[:, :n], np.zeros((rows, 1), np.uint64)], axis=1)
-    turn = odd_numbers(31, REPEATS * steps).reshape(REPEATS, steps, 1)
+    turn = odd_numbers(31, walks * steps).reshape(walks, steps, 1)
     pick = np.random.default_rng(57 + n)
-    sampled = np.zeros((REPEATS, steps), np.int64)
-    for t in range(REPEATS):
-        sampled[t, pick.choice(steps, min(SAMPLED, steps), replace=False)] = 1
-    scale = odd_numbers(83, REPEATS * steps).reshape(REPEATS, steps, 1)
-    at = np.zeros((REPEATS, rows), np.int64)
+    places = np.zeros((walks, steps), np.int64)
+    for t in range(walks):
+        places[t, pick.choice(steps, min(sampled, steps), replace=False)] = 1
+    scale = odd_numbers(83, walks * steps).reshape(walks, steps, 1)
+    at = np.zeros((walks, rows), np.int64)
     line = np.arange(rows)[None, :]
-    keys = np.zeros((REPEATS, rows), np.uint64)
+    keys = np.zeros((walks, rows), np.uint64)
     for j in range(steps):
         here = padded[line, at]
-        chosen = np.flatnonzero(sampled[:, j])
+        chosen = np.flatnonzero(places[:, j])
         if len(chosen):
             keys[chosen] += mix(here[chosen] * scale[chosen, j] + scale[chosen, j])
         at += ((here * turn[:, j]) >> np.uint64(63)).astype(np.int64)
@@ -80,102 +90,177 @@ def embed_keys(windows: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
-def edit_distances(item: np.ndarray, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Least edit distance between the item and any prefix of each stretch.
-
-    ``stretches`` is padded on the right; ``lengths`` says how much of each is text.
+def planted(rng: np.random.Generator, n: int, e: int, kind: str, even: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A sequence of n words and a stretch that holds it with e edits of one kind at its start."""
+    fresh = iter(rng.integers(1, 1 << 64, 2 * n + 2 * e, dtype=np.uint64))
+    item = np.array([next(fresh) for _ in range(n)])
+    at = (np.arange(1, e + 1) * (n + 1) // (e + 1) - 1) if even else np.sort(rng.choice(n, e, replace=False))
+    out = []
+    for k, word in enumerate(item):
+        how = kind if kind != "mixed" else ("replace", "delete", "insert")[rng.integers(3)]
+        if k not in at:
+            out.append(word)
+        elif how != "delete":
+            out += [next(fresh)] if how == "replace" else [next(fresh), word]
+    return item, np.array([*out, *fresh][: n + e])
+
+
+@lru_cache(maxsize=None)
+def walks_for(n: int, e: int) -> tuple[int, int]:
+    """(sampled places, walks) that find e edits in n words with a chance of ``RECALL`` at least.
+
+    No walks at all where ``MOST_WALKS`` do not reach it: then every window is decided
+    exactly. Most places and fewest walks first. The chance comes from planted edits of each
+    kind: p is the share of walks on which a pair agrees, (1 - p) ** walks its miss.
+    """
+    if e == 0:
+        return 3, 1
+    rng = np.random.default_rng(1000 * n + e)
+    kinds = [(kind, even) for kind in ("replace", "delete", "insert", "mixed") for even in (True, False)]
+    pairs = [planted(rng, n, e, *kind) for kind in kinds for _ in range(100)]
+    left, right = (np.stack([x[:n] for x in side]) for side in zip(*pairs, strict=True))
+    for sampled, most in ((3, MOST_WALKS // 2), (2, MOST_WALKS // 2), (1, MOST_WALKS)):
+        agree = embed_keys(left, n, sampled, MOST_WALKS) == embed_keys(right, n, sampled, MOST_WALKS)
+        for walks in range(8, most + 1, 8):
+            miss = (1 - agree.mean(axis=0)) ** walks
+            if miss.reshape(len(kinds), -1).mean(axis=1).max() <= 1 - RECALL:
+                return sampled, walks
+    return 0, 0
+
+
+def edits_by_start(item: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+    """(rows, places) least edit distance between the item and what begins at each place.
+
+    ``stretches`` is padded with zeros on the right. The table is filled from the ends:
+    the last row says for each start what the best end costs.
     """
-    rows, width = stretches.shape
+    back = np.ascontiguousarray(stretches[:, ::-1])
+    rows, width = back.shape
     place = np.arange(width + 1)
-    row = np.broadcast_to(place, (rows, width + 1)).copy()
-    for i, word in enumerate(item, 1):
+    row = np.zeros((rows, width + 1), np.int64)
+    for i, word in enumerate(item[::-1], 1):
         new = np.empty_like(row)
         new[:, 0] = i
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (stretches != word))
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (back != word))
         row = np.minimum.accumulate(new - place, axis=1) + place
-    return np.where(place[None, :] <= lengths[:, None], row, len(item) + width).min(axis=1)
+    return row[:, :0:-1]
 
 
 class Items:
-    """The items of one block, indexed by the runs of words their leaks must share."""
+    """The items of one block, in parts, indexed by the runs of words their leaks must share."""
 
     def __init__(self, ids: list[int], texts: list[str | None], edits: float):
         kept = [(i, w) for i, w in zip(ids, words_of(texts), strict=True) if len(w)]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
         self.allowed = [int(edits * len(w)) for w in self.words]
-        posts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.parts: list[np.ndarray] = []
+        whole, before, spread = [], [], []
         for k, w in enumerate(self.words):
-            q = min(GRAM, len(w) // (self.allowed[k] + 1))
+            count = max(1, len(w) // PART)
+            cuts = [j * len(w) // count for j in range(count + 1)]
+            for low, high in zip(cuts, cuts[1:]):
+                self.parts.append(w[low:high])
+                whole.append(k)
+                before.append(low)
+                spread.append(self.allowed[k] * (high - low) // len(w))
+        #: Of each part: its item, the item's words before it, the edits it may have.
+        self.whole, self.before, self.spread = (np.array(x, np.int64) for x in (whole, before, spread))
+        sizes = np.array([len(w) for w in self.parts], np.int64)
+        self.kinds, self.kind = np.unique(np.stack([sizes, self.spread], axis=1), axis=0, return_inverse=True)
+        self.walks = [walks_for(int(n), int(e)) for n, e in self.kinds]
+        posts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k, w in enumerate(self.parts):
+            q = min(GRAM, len(w) // (int(self.spread[k]) + 1))
             g = grams(w, q)
             posts.setdefault(q, []).append((g, np.full(len(g), k), np.arange(len(g))))
         self.index = {}
         for q, found in posts.items():
-            g, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+            g, part, offset = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(g, kind="stable")
             sieve = np.zeros(1 << 20, bool)
             sieve[g >> np.uint64(44)] = True
-            self.index[q] = (g[order], item[order], offset[order], sieve)
+            self.index[q] = (g[order], part[order], offset[order], sieve)
 
     def windows(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, start) rows of the windows that could be a leak."""
+        """Distinct (part, start) rows of the windows that could be a leak."""
         found = []
-        for q, (g, item, offset, sieve) in self.index.items():
+        for q, (g, part, offset, sieve) in self.index.items():
             mine = grams(words, q)
             at = np.flatnonzero(sieve[mine >> np.uint64(44)])
             low, high = np.searchsorted(g, mine[at], "left"), np.searchsorted(g, mine[at], "right")
             at, low, count = at[high > low], low[high > low], (high - low)[high > low]
             if len(at):
                 post = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-                found.append(np.stack([item[post], np.repeat(at, count) - offset[post]], axis=1))
+                found.append(np.stack([part[post], np.repeat(at, count) - offset[post]], axis=1))
         if not found:
             return np.zeros((0, 2), np.int64)
         lines = np.unique(np.concatenate(found), axis=0)
-        spread = np.array([self.allowed[k] for k in lines[:, 0]])
+        spread = self.spread[lines[:, 0]]
         reach = np.arange(-spread.max(), spread.max() + 1)
         starts = lines[:, 1][:, None] + reach[None, :]
-        item = np.broadcast_to(lines[:, 0][:, None], starts.shape)
+        part = np.broadcast_to(lines[:, 0][:, None], starts.shape)
         near = (np.abs(reach)[None, :] <= spread[:, None]) & (starts < len(words))
-        return np.unique(np.stack([item[near], np.maximum(starts[near], 0)], axis=1), axis=0)
+        return np.unique(np.stack([part[near], np.maximum(starts[near], 0)], axis=1), axis=0)
 
     def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(document, item, edits, start) of every leak, the least edits and start each."""
-        todo: dict[int, list[tuple[int, int]]] = {}
+        found = [np.zeros((0, 3), np.int64)]
         for d, words in enumerate(docs):
-            for item, start in self.windows(words):
-                todo.setdefault(len(self.words[item]), []).append((d, int(start)))
+            rows = self.windows(words)
+            found.append(np.concatenate([np.full((len(rows), 1), d), rows], axis=1))
+        todo = np.concatenate(found)
+        kind = self.kind.ravel()[todo[:, 1]]
+        near = [np.zeros((0, 3), np.int64)]
+        for which in np.unique(kind):
+            rows = todo[kind == which]
+            for low in range(0, len(rows), 4096):
+                near.append(self._alike(int(self.kinds[which, 0]), *self.walks[which], rows[low : low + 4096], docs))
+        return self._decided(np.unique(np.concatenate(near), axis=0), docs)
+
+    def _alike(self, n: int, sampled: int, walks: int, rows: np.ndarray, docs) -> np.ndarray:
+        """(item, document, block) where a window agrees with its part on some walk.
+
+        Blocks divide the starts of an item in a document; the edits that an item may
+        have before the part lead to two of them at most.
+        """
+        places, which = np.unique(rows[:, ::2], axis=0, return_inverse=True)
+        windows = np.zeros((len(places), n), np.uint64)
+        for i, (d, start) in enumerate(places):
+            piece = docs[d][start : start + n]
+            windows[i, : len(piece)] = piece
+        parts, mine = np.unique(rows[:, 1], return_inverse=True)
+        have = embed_keys(np.stack([self.parts[k] for k in parts]), n, sampled, walks)
+        keys = embed_keys(windows, n, sampled, walks)
+        agree = np.full(len(rows), walks == 0)
+        for t in range(walks):
+            agree |= keys[t, which.ravel()] == have[t, mine.ravel()]
+        d, k, start = rows[agree].T
+        item = self.whole[k]
+        allowed = np.array(self.allowed, np.int64)[item]
+        first = start - self.before[k]
+        ends = [np.maximum(first + reach, 0) // (2 * allowed + 1) for reach in (-allowed, allowed)]
+        return np.unique(np.concatenate([np.stack([item, d, block], axis=1) for block in ends]), axis=0)
+
+    def _decided(self, near: np.ndarray, docs) -> list[tuple[int, int, int, int]]:
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, wanted in todo.items():
-            same = [k for k, w in enumerate(self.words) if len(w) == n]
-            item_keys = embed_keys(np.stack([self.words[k] for k in same]), n)
-            wanted = sorted(set(wanted))
-            for low in range(0, len(wanted), 4096):
-                self._check(n, same, item_keys, wanted[low : low + 4096], docs, best)
+        for k in np.unique(near[:, 0]):
+            mine = near[near[:, 0] == k]
+            n, allowed = len(self.words[k]), self.allowed[k]
+            block = 2 * allowed + 1
+            size = max(1, (1 << 20) // (block + n + allowed))
+            for low in range(0, len(mine), size):
+                rows = mine[low : low + size]
+                stretches = np.zeros((len(rows), block + n + allowed), np.uint64)
+                for i, (_, d, b) in enumerate(rows):
+                    piece = docs[d][b * block : (b + 1) * block + n + allowed]
+                    stretches[i, : len(piece)] = piece
+                costs = edits_by_start(self.words[k], stretches)[:, :block]
+                for i in np.flatnonzero(costs.min(axis=1) <= allowed):
+                    d, at = int(rows[i, 1]), int(costs[i].argmin())
+                    found = int(costs[i, at]), int(rows[i, 2]) * block + at
+                    best[d, int(k)] = min(best.get((d, int(k)), found), found)
         return [(d, k, e, s) for (d, k), (e, s) in best.items()]
 
-    def _check(self, n, same, item_keys, wanted, docs, best) -> None:
-        width = n + self.allowed[same[0]]
-        stretches = np.zeros((len(wanted), width), np.uint64)
-        lengths = np.zeros(len(wanted), np.int64)
-        for i, (d, start) in enumerate(wanted):
-            part = docs[d][start : start + width]
-            stretches[i, : len(part)], lengths[i] = part, len(part)
-        keys = embed_keys(stretches, n)
-        pairs = []
-        for t in range(REPEATS):
-            order = np.argsort(item_keys[t], kind="stable")
-            have = item_keys[t][order]
-            low, high = np.searchsorted(have, keys[t], "left"), np.searchsorted(have, keys[t], "right")
-            count = high - low
-            post = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            pairs.append(np.stack([order[post], np.repeat(np.arange(len(wanted)), count)], axis=1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        for m in np.unique(pairs[:, 0]):
-            rows, k = pairs[pairs[:, 0] == m, 1], same[m]
-            for r, e in zip(rows, edit_distances(self.words[k], stretches[rows], lengths[rows]), strict=True):
-                d, start = wanted[r]
-                if e <= self.allowed[k]:
-                    best[d, k] = min(best.get((d, k), (n, start)), (int(e), start))
-
 
 def _item_blocks(spark: SparkSession, benchmark: DataFrame, item: str, item_text: str, edits: float) -> Iterator[Broadcast]:
     """The benchmark as broadcast indexes of at most about ``BLOCK_BYTES`` of text each."""

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from issuelens.llm.decontam import EDITS, decontaminate, find_leaks
+from issuelens.llm.decontam import EDITS, RECALL, Items, decontaminate, find_leaks, walks_for, words_of
 from issuelens.llm.pii import pseudonymise, surrogates
 
 from .conftest import edited, prose
@@ -86,6 +86,35 @@ def test_short_items_leak_up_to_the_bound(spark):
     assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len(want) == 64
 
 
+@pytest.mark.parametrize("n", [17, 31, 59, 120, 250, 400])
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert", "mixed"])
+def test_recall_at_the_bound_by_length_and_kind(rng, n, kind):
+    vocabulary = [f"v{i}" for i in range(5000)]
+    items, docs = [], []
+    for d in range(20):
+        item, e = rng.choices(vocabulary, k=n), int(EDITS * n)
+        at = [(k + 1) * (n + 1) // (e + 1) - 1 for k in range(e)] if d % 2 else rng.sample(range(n), e)
+        body = []
+        for k, w in enumerate(item):
+            how = kind if kind != "mixed" else rng.choice(["replace", "delete", "insert"])
+            body += [w] if k not in at else {"replace": [f"z{k}"], "delete": [], "insert": [f"z{k}", w]}[how]
+        items.append(" ".join(item))
+        docs.append(" ".join(rng.choices(vocabulary, k=40) + body + rng.choices(vocabulary, k=100)))
+    found = Items(list(range(20)), items, EDITS).leaks(words_of(docs))
+    got = {(d, k): e for d, k, e, _ in found}
+    assert set(got) == {(d, d) for d in range(20)} and max(got.values()) <= int(EDITS * n)
+    if n < 32:
+        assert got == brute_leaks(list(enumerate(docs)), list(enumerate(items)))
+
+
+def test_walks_grow_with_the_edit_bound():
+    assert walks_for(16, 0) == (3, 1) and walks_for(16, 3)[1] > walks_for(16, 1)[1] and RECALL == 0.999
+    assert walks_for(20, 16) == (0, 0)
+    items, docs = ["a b c d e f g h i j"], ["x b x d x f x h x j", "x b x d x f x h x x"]
+    found = Items([1], items, 0.5).leaks(words_of(docs))
+    assert {(d, k): e for d, k, e, _ in found} == {(0, 0): 5}
+
+
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs, rng):
     items = [(1, "same words in two rows here"), (2, None), (3, " "), (1, "same words in two rows here"), (4, "A row without a key")]
     bench = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, doc_id string")
