@@ -54,7 +54,7 @@ PATTERNS = {
     + r")\.?(?: (?:Dr|Prof)\.?)? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
 }
 #: A text without any of these has no entity; spares most texts the full pattern.
-HINT = r"[\d@]|" + "|".join(rf"{t}\.? " for t in OTHER_TITLES + FEMALE_TITLES + MALE_TITLES)
+HINT = r"[\d@]|(?:AKIA|ASIA)[A-Z]{12}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z-]{16}|" + "|".join(rf"{t}\.? " for t in OTHER_TITLES + FEMALE_TITLES + MALE_TITLES)
 DETECT = "|".join(PATTERNS.values())
 
 

@@ -183,6 +183,16 @@ def test_surrogates_are_distinct_and_new(spark):
     assert len(rows) == 224 == len(new) and not old & new
 
 
+def test_secrets_without_digits_in_texts_without_digits(spark):
+    keys = ["AKIAQWERTYUIOPAS", "ASIAQWERTYUIOPAS", *(f"{p}AbCdEfGhIjKlMnOpQrSt" for p in ("sk-", "pk_", "ghp_", "gho_", "xoxb-", "xoxp-"))]
+    docs = [(i, f"token {k} in use") for i, k in enumerate(keys)] + [(100 + i, f"token {k} in use at 9") for i, k in enumerate(keys)]
+    rows = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, k in enumerate(keys):
+        alone, other = rows[i], rows[100 + i]
+        assert [e.kind for e in alone.entities] == ["secret"] and k not in alone.text
+        assert alone.entities == other.entities and other.text == f"{alone.text} at 9"
+
+
 def test_pseudonyms_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     out = pseudonymise(odd_docs)
     assert len(set(out.columns)) == len(out.columns)
