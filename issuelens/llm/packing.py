@@ -52,20 +52,21 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     Reads a byte-level BPE file of the tokenizers library, whose ids are merge ranks,
-    into a tiktoken encoding: the same ids in a fraction of the time. Strings of
-    special tokens in a text are ordinary text.
+    into a tiktoken encoding: the same ids in a fraction of the time. With ``special``
+    the file's added tokens have their own ids wherever their strings stand in a text,
+    as that library has by default; without, those strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        special = {t["content"] for t in content["added_tokens"]}
+        added = {t["content"]: t["id"] for t in content["added_tokens"]}
         shown = _shown_bytes()
-        ranks = {bytes(shown[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(shown[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in added}
+        self.encoding = tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=added if special else {})
 
     def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def piece_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -83,7 +84,7 @@ def _pieces(path: str, capacity: int, key: str, end: int, with_ids: bool):
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "worker", "bin", "offset", "places", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker = Encoder(path), TaskContext.get().partitionId()
+        encode, worker = Encoder(path, special=True), TaskContext.get().partitionId()
         closing = np.array([end], "<u4").tobytes()
         open_bins: dict[int, list[int]] = {}
         bins = 0
@@ -139,7 +140,8 @@ def _merge(capacity: int):
 def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is the ids of its whole text and then the id ``end``. ``start`` counts
+    A document is the ids of its whole text, with those of the file's added tokens
+    where it names them, and then the id ``end``. ``start`` counts
     its ids before the piece, ``offset`` the ids before the piece in its sequence.
     ``with_ids`` adds the piece's ids.
 

@@ -69,6 +69,34 @@ def test_ids_equal_the_tokenizers_library(reference_ids):
         assert np.frombuffer(encode(text), "<u4").tolist() == reference_ids(text)
 
 
+@pytest.fixture(scope="module")
+def default_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+SPECIAL = [
+    "foo <|endoftext|> bar", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b\n", "x<|endoftext|>y <|endoftext", "<|ENDOFTEXT|> <|endoftext|",
+    "é<|endoftext|>ß \n <|endoftext|>\n\n", "it<|endoftext|>'s", "none here",
+]
+
+
+def test_added_tokens_equal_the_library_at_its_defaults(default_ids, rng):
+    assert default_ids(SPECIAL[0]) == [21943, 220, 50256, 2318]
+    encode = Encoder(tokenizer_path(), special=True)
+    parts = ["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "endoftext", "don't", "é", "中文", "42", "word", " end", "\u3000"]
+    for text in [*SPECIAL, *("".join(rng.choices(parts, k=rng.randrange(1, 20))) for _ in range(2000))]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == default_ids(text)
+
+
+def test_packed_documents_hold_added_tokens(spark, default_ids):
+    texts = dict(enumerate([*SPECIAL, "foo <|endoftext|> bar " * 900]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    checked(pack(docs, with_ids=True).collect(), texts, default_ids)
+
+
 def test_piece_lengths():
     for n in range(0, 5000, 7):
         lengths = piece_lengths(n)
