@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as P
 from issuelens.llm.staging import staged
 
+from .conftest import prose
 from .test_dedup import brute_components, brute_lines
 from .test_layout import checked, reference_ids  # noqa: F401
 from .test_privacy_leaks import brute_leaks
@@ -59,6 +60,20 @@ def test_leak_stage(spark, steps):
     assert {i for i, _ in short} - bad == {i for i, _ in short} & kept
 
 
+def test_leak_stage_reads_long_texts_to_their_end(spark, rng):
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    docs = []
+    for k, item in enumerate(items):
+        words = item.split()
+        del words[2 :: 6]
+        ends = [item, " ".join(words), prose(rng, len(words))]
+        docs += [(3 * k + j, f"{prose(rng, 3000)} {end} {prose(rng, 5)}", "en", "s", 0) for j, end in enumerate(ends)]
+    texts = [(i, t) for i, t, *_ in docs]
+    assert min(len(t) for _, t in texts) > 2500
+    kept = {i for i, _ in rows_of(P.decontamination(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SF))}
+    assert kept == {i for i, _ in texts if i % 3 == 2}
+
+
 def test_packing_stage(steps, reference_ids):  # noqa: F811
     checked(steps[5].collect(), dict(rows_of(steps[4])), reference_ids)
 
