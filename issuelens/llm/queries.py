@@ -12,11 +12,14 @@ from issuelens.llm.gif import media_digests, store_media
 from issuelens.llm.langid import identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
+from issuelens.llm.negatives import hard_negatives
 from issuelens.llm.packing import pack
 from issuelens.llm.pii import pseudonymise
+from issuelens.llm.quality import learn as learn_quality, score as score_quality
 from issuelens.llm.sharding import shard
 from issuelens.llm.staging import table
 from issuelens.llm.toxicity import learn, score
+from issuelens.llm.variants import group_variants
 from issuelens.llm.warc import new_archive, read_archive, record_index, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +151,72 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs).select("doc_id", "text", "n_entities", F.expr("transform(entities, e -> e.kind)").alias("kinds"))
+
+
+@query(
+    "op11_spelling_variants",
+    """
+    WITH RECURSIVE crc_table AS (
+        SELECT list(r ORDER BY i) AS crcs FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS r
+            FROM (SELECT unnest(range(256))::UBIGINT AS i))),
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{7,}')) AS run
+        FROM documents),
+    spoken AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY 1, 2),
+    bytes AS (
+        SELECT doc_id, run, k, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+            lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b FROM spoken),
+    hashed AS (
+        SELECT doc_id, run, k, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, b::UBIGINT[]),
+            lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255)::BIGINT + 1]))) AS h FROM bytes, crc_table),
+    spelt AS (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+    words AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+    cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS d FROM words, unnest(range(0, length(word))) AS t(i)),
+    near AS (
+        SELECT x.word, y.word AS o, y.n AS m FROM cuts x JOIN cuts y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+        UNION SELECT x.word, y.word, y.n FROM cuts x JOIN words y ON x.d = y.word
+        UNION SELECT y.word, x.word, x.n FROM cuts x JOIN words y ON x.d = y.word),
+    best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(o, {'m': -m, 'o': o}) AS o FROM near GROUP BY 1),
+    told AS (SELECT w.word, CASE WHEN m >= 10 * n THEN o END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+    chain AS (SELECT word, word AS at FROM told UNION ALL SELECT c.word, t.form FROM chain c JOIN told t ON t.word = c.at WHERE t.form IS NOT NULL),
+    ends AS (SELECT c.word, c.at AS root FROM chain c JOIN told t ON t.word = c.at WHERE t.form IS NULL)
+    SELECT t.word, form, root, n, n_near, form_n FROM told t JOIN ends e ON e.word = t.word
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, its form and the root of its forms."""
+    return group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    cells AS (SELECT id, label, unnest(c) AS x, generate_subscripts(c, 1) AS at FROM v),
+    scores AS (
+        SELECT a.id AS a, b.id AS b, a.label = b.label AS same, sum(a.x * b.x)::BIGINT AS s
+        FROM cells a JOIN cells b ON a.at = b.at AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY ALL),
+    friends AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM scores WHERE same) WHERE k <= 5),
+    foes AS (
+        SELECT f.a, f.b AS p, f.s AS ps, n.b, n.s, row_number() OVER (PARTITION BY f.a, f.b ORDER BY n.s DESC, n.b) AS k
+        FROM friends f JOIN scores n ON n.a = f.a AND NOT n.same AND 50 * f.s <= 100 * n.s AND 100 * n.s <= 95 * f.s)
+    SELECT a AS anchor_id, p AS positive_id, k::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM foes WHERE k <= 3
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives in the window of each of five positives of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("id") % 50 == 0)
