@@ -5,9 +5,11 @@ the whole vocabulary. Its prefix holds the first ``GRAM * EDITS + 1`` of them; a
 these, dynamic programming picks the ``EDITS + 1`` disjoint ones of least total
 frequency, its pivots. One edit spoils at most one of two disjoint pivots, so of two
 near words the one whose prefix ends earlier in the order has a pivot in the prefix of
-the other, at the same place but for a shift by the difference in length. Prefixes are
-indexed by (bigram, place, length), pivots look themselves up there, and each pair met
-is verified by its edit distance.
+the other. The edit lies behind that pivot, so the pivot keeps its place and all before
+it is equal, or before it, so it shifts by the difference in length and all behind it is
+equal. Prefix bigrams are therefore indexed twice, by the word up to the bigram and by
+the word from the bigram on, and pivots look both up; each pair met is verified by its
+letters and then by its edit distance.
 
 The prefix takes all occurrences of its last bigram, so the argument also holds where
 a word repeats a bigram.
@@ -29,9 +31,6 @@ GRAM = 2
 EDITS = 1
 #: A form is at least this many times as frequent as its variant.
 RATIO = 10
-#: (place, length) of a partner's bigram against those of a pivot, by the edit that parts them.
-SHIFTS = ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))
-_INDEX = "array<struct<gram:int,place:int>>"
 
 
 def misspelt(run: Column, key: Column, every: int = 31) -> Column:
@@ -73,21 +72,23 @@ def pivots(places: Sequence[int], weights: Sequence[int], many: int = EDITS + 1,
 
 
 def _cut(order: dict[str, tuple[int, int]]):
-    def one(word: str) -> tuple[int, list, list]:
+    def one(word: str) -> tuple[int, int, list, list]:
         grams = sorted((*order[word[i : i + GRAM]], i) for i in range(len(word) - GRAM + 1))
         last = grams[GRAM * EDITS][0]
         prefix = sorted((g for g in grams if g[0] <= last), key=lambda g: g[2])
         head = sorted(grams[: GRAM * EDITS + 1], key=lambda g: g[2])
         chosen = [head[i] for i in pivots([g[2] for g in head], [g[1] for g in head])]
-        shown = lambda some: [{"gram": g[0], "place": g[2]} for g in some]
-        return last, shown(chosen), shown(prefix)
+        letters = 0
+        for c in set(word):
+            letters |= 1 << ord(c) % 63
+        return last, letters, [g[2] for g in chosen], [g[2] for g in prefix]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch), 4096):
                 part = batch.iloc[low : low + 4096]
-                last, chosen, prefix = zip(*map(one, part["word"]), strict=True) if len(part) else ((), (), ())
-                yield pd.DataFrame({"word": part["word"], "n": part["n"], "last": list(last), "pivots": list(chosen), "prefix": list(prefix)})
+                last, letters, chosen, prefix = zip(*map(one, part["word"]), strict=True) if len(part) else ((), (), (), ())
+                yield pd.DataFrame({"word": part["word"], "n": part["n"], "last": list(last), "letters": list(letters), "pivots": list(chosen), "prefix": list(prefix)})
 
     return run
 
@@ -101,21 +102,22 @@ def near_words(words: DataFrame) -> DataFrame:
     grams = words.select(F.explode(F.expr(f"transform(sequence(1, length(word) - {GRAM - 1}), i -> substring(word, i, {GRAM}))")).alias("gram"))
     counted = sorted((r["count"], r.gram) for r in grams.groupBy("gram").count().collect())
     order = {gram: (rank, n) for rank, (n, gram) in enumerate(counted)}
-    cut = staged(words.mapInPandas(_cut(order), f"word string, n long, last int, pivots {_INDEX}, prefix {_INDEX}"))
-    index = cut.select("word", "n", "last", F.length("word").alias("len"), F.explode("prefix").alias("g")).select("word", "n", "last", "len", "g.*")
-    moves = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k")) for p, k in SHIFTS])
-    probe = (
-        cut.select("word", "n", "last", F.explode("pivots").alias("g"), moves.alias("moves"))
-        .select("word", "n", "last", "g.*", F.explode("moves").alias("move"))
-        .select("word", "n", "last", "gram", (F.col("place") + F.col("move.p")).alias("place"), (F.length("word") + F.col("move.k")).alias("len"))
-        .where("place >= 0")
-    )
-    met = probe.alias("x").join(
-        index.alias("y"),
-        (F.col("x.gram") == F.col("y.gram"))
-        & (F.col("x.place") == F.col("y.place"))
-        & (F.col("x.len") == F.col("y.len"))
+    cut = staged(words.mapInPandas(_cut(order), "word string, n long, last int, letters long, pivots array<int>, prefix array<int>"))
+
+    def sides(places: str) -> DataFrame:
+        """One row for the part of the word up to each of these bigrams, and one for the part from it on."""
+        up, on = F.substring(F.col("word"), F.lit(1), F.col("p") + GRAM), F.substring(F.col("word"), F.col("p") + 1, F.length("word"))
+        at = F.explode(F.array(F.xxhash64(F.lit(0), up), F.xxhash64(F.lit(1), on))).alias("at")
+        rows = cut.select("word", "n", "last", "letters", F.explode(places).alias("p"))
+        return rows.select(at, "word", "n", "last", "letters", F.length("word").alias("len"))
+
+    other_letters = F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters")))
+    met = sides("pivots").alias("x").join(
+        sides("prefix").alias("y"),
+        (F.col("x.at") == F.col("y.at"))
         & (F.col("x.last") <= F.col("y.last"))
+        & (F.abs(F.col("x.len") - F.col("y.len")) <= EDITS)
+        & (other_letters <= 2 * EDITS)
         & (F.levenshtein(F.col("x.word"), F.col("y.word"), EDITS) == EDITS),
     )
     low, high = F.struct("x.word", "x.n"), F.struct("y.word", "y.n")
