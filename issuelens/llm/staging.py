@@ -23,7 +23,21 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*superseded: DataFrame) -> None:
+    """Deletes the folders of ``staged`` tables that no later step reads.
+
+    Only for tables whose every use has been written since: a lost executor then
+    never needs them again.
+    """
+    for df in superseded:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def thinned(key: Column, share: Column) -> Column:
