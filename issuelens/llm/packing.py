@@ -13,6 +13,7 @@ The bins a worker leaves open at its end are merged, whole, in groups of workers
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,11 @@ TOKENIZER = "byte_bpe_50k.json"
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Longer runs of white space go to the tokenizers library, as the pattern backtracks over them.
+LONG_BLANK = 20_000
+_long_blank = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -54,18 +60,34 @@ class Encoder:
     Reads a byte-level BPE file of the tokenizers library, whose ids are merge ranks,
     into a tiktoken encoding: the same ids in a fraction of the time. With ``special``
     the file's added tokens have their own ids wherever their strings stand in a text,
-    as that library has by default; without, those strings are ordinary text.
+    as that library has by default; without, those strings are ordinary text. Texts with
+    a run of ``LONG_BLANK`` characters of white space are encoded by that library itself.
+    A file whose texts are not cut by the usual byte-level pattern is refused.
     """
 
     def __init__(self, path: str, special: bool = False):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        cutter = content.get("pre_tokenizer") or {}
+        if cutter.get("type") != "ByteLevel" or not cutter.get("use_regex", True) or cutter.get("add_prefix_space") or content.get("normalizer"):
+            raise ValueError(f"{path} is not a plain byte-level vocabulary")
+        self.path, self.special, self.library = path, special, None
         added = {t["content"]: t["id"] for t in content["added_tokens"]}
         shown = _shown_bytes()
         ranks = {bytes(shown[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in added}
         self.encoding = tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=added if special else {})
 
+    def _slowly(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = not self.special
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
+        if len(text) >= LONG_BLANK and _long_blank.search(text):
+            return self._slowly(text)
         return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
@@ -145,7 +167,8 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     its ids before the piece, ``offset`` the ids before the piece in its sequence.
     ``with_ids`` adds the piece's ids.
 
-    Defined cases: null and empty texts are the closing id alone. Rows that repeat a
+    Defined cases: null and empty texts are the closing id alone. Texts of any length
+    are read whole, long runs of white space too. Rows that repeat a
     key, null keys included, are documents of their own. Other columns are not
     carried. An empty table gives no pieces.
 

@@ -97,6 +97,23 @@ def test_packed_documents_hold_added_tokens(spark, default_ids):
     checked(pack(docs, with_ids=True).collect(), texts, default_ids)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n ", "\u3000"])
+def test_long_blanks_equal_the_library(default_ids, blank):
+    encode = Encoder(tokenizer_path(), special=True)
+    for text in (blank * (1_000_000 // len(blank)), "a" + blank * 19_990 + "b", "a <|endoftext|>" + blank * 30_000 + "word  x" + blank * 400_000 + "end"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == default_ids(text)
+
+
+def test_long_blanks_are_packed(spark, default_ids):
+    texts = {1: " " * 1_000_000, 2: "\n" * 500_000 + "x", 3: "a b"}
+    checked(pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts, default_ids)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        Encoder(tokenizer_path("word_bpe_49k.json"))
+
+
 def test_piece_lengths():
     for n in range(0, 5000, 7):
         lengths = piece_lengths(n)
