@@ -1,13 +1,16 @@
 """Toxicity: a bidirectional GRU with attention pooling, written and trained in numpy.
 
 A word enters as the sum of two views: a hashed embedding of the word, and the mean
-of hashed embeddings of its byte trigrams, which carries over to words never seen.
-Windows of ``WINDOW`` words overlap by half and cover the whole text; a GRU reads each
-in both directions, attention pools its states, and a logistic unit scores it. The score
-of a document is that of its most toxic window.
-
-Labels are known for documents only. Training therefore starts with every window
-under its document's label and then works on each document's top windows.
+of hashed embeddings of its byte n-grams, which carries over to words never seen.
+Windows of ``WINDOW`` words start at every word, so all overlapping windows of the whole
+text are scored; a GRU reads each in both directions, attention pools its states, and a
+logistic unit scores it. The score of a document is that of its most toxic window.
+As neighbouring windows read the same words, a step of all of them reads one slice of
+the text's gate inputs.
+
+Labels are known for documents only. Training therefore works on each document's top
+windows: at first those with the word whose documents are most often toxic, then those
+that the network itself scores highest.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from issuelens.llm.langid import held_out
 from issuelens.llm.staging import apart, thinned
 from issuelens.llm.wordhash import BLOCK_BYTES, NOT_ALNUM, cut_words, mix
 
-WINDOW = 16
-STRIDE = 8
-WORDS = 1 << 13
-GRAMS = 1 << 13
+WINDOW = 8
+WORDS = 1 << 16
+GRAMS = 1 << 16
+SIZES = (3, 5)
 DIM = 12
 HIDDEN = 8
-#: Labelled documents of each class that training may use.
+#: Labelled documents that training may use: toxic ones, and this times as many others.
 SAMPLE = 1500
+OTHERS = 2
 EPOCHS = 10
-WARM = 2
+RATE = 0.01
+WARM = 4
 NEGATIVES = 3
 ADDED = ("held_out", "score", "predicted")
 
@@ -42,16 +47,22 @@ ADDED = ("held_out", "score", "predicted")
 class Words:
     """Distinct words of some texts, and every window as indices into them.
 
-    ``grams`` lists the trigram buckets of all distinct words, those of word i from
-    ``gram_at[i]`` on; index ``len(buckets)`` is padding.
+    ``grams`` lists the n-gram buckets of all distinct words, those of word i from
+    ``gram_at[i]`` on. ``seq`` holds the words of all texts in order, each text filled
+    up to ``WINDOW`` words with index ``len(buckets)``; ``starts`` are the windows in it.
     """
 
     buckets: np.ndarray
     grams: np.ndarray
     gram_at: np.ndarray
-    windows: np.ndarray
+    seq: np.ndarray
+    starts: np.ndarray
     text_of: np.ndarray
 
+    @property
+    def windows(self) -> np.ndarray:
+        return self.seq[self.starts[:, None] + np.arange(WINDOW)[None, :]]
+
 
 def _ranges(low: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
@@ -62,25 +73,34 @@ def cut_windows(texts: list[str | None]) -> Words:
     block = [(t or "").encode("utf-8", "replace").lower() for t in texts]
     data, starts, ends, hashes, cuts = cut_words(block, NOT_ALNUM)
     _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-    around = np.zeros(len(data) + 2, np.uint8)
-    around[1:-1] = np.where(NOT_ALNUM[data], np.uint8(0), data)
-    s, length = starts[first], (ends - starts)[first]
-    at = _ranges(s, length)
-    left, middle, right = (around[at + k].astype(np.uint64) for k in range(3))
-    code = left << np.uint64(16) | middle << np.uint64(8) | right
-    grams = (mix(code * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(GRAMS)).astype(np.int64)
-    low = np.concatenate([[0], cuts[:-1]])
-    n = cuts - low
-    count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
-    text_of = np.repeat(np.arange(len(texts)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = np.minimum(step * STRIDE, np.maximum(n - WINDOW, 0)[text_of])
-    place = begin[:, None] + np.arange(WINDOW)[None, :]
-    inside = place < n[text_of][:, None]
-    windows = np.full(place.shape, len(first), np.int64)
-    windows[inside] = index[(place + low[text_of][:, None])[inside]]
+    grams, gram_at = _grams(np.where(NOT_ALNUM[data], np.uint8(0), data), starts[first], ends[first])
+    n = np.diff(np.concatenate([[0], cuts]))
+    wide = np.maximum(n, WINDOW)
+    seq = np.full(int(wide.sum()), len(first), np.int32)
+    base = np.cumsum(wide) - wide
+    seq[_ranges(base, n)] = index
+    count = wide - WINDOW + 1
     buckets = (hashes[first] % np.uint64(WORDS)).astype(np.int64)
-    return Words(buckets, grams, np.cumsum(length) - length, windows, text_of)
+    return Words(buckets, grams, gram_at, seq, _ranges(base, count), np.repeat(np.arange(len(texts)), count))
+
+
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram buckets of some words in order, where each word's begin); a word has a mark at both ends."""
+    length = ends - starts + 2
+    owner = np.repeat(np.arange(len(starts)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(owner))
+    flat = np.concatenate([[0], data, np.zeros(max(SIZES) + 1, np.uint8)])[_ranges(starts, length)].astype(np.uint64)
+    flat = np.append(flat, np.zeros(max(SIZES), np.uint64))
+    code, buckets, owners = np.zeros(len(owner), np.uint64), [], []
+    for n in range(1, max(SIZES) + 1):
+        code = code << np.uint64(8) | flat[n - 1 : n - 1 + len(owner)]
+        if n in SIZES:
+            whole = left >= n
+            buckets.append(mix((code[whole] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(GRAMS))
+            owners.append(owner[whole])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    many = np.bincount(np.concatenate(owners), minlength=len(starts))
+    return np.concatenate(buckets)[order].astype(np.int64), np.cumsum(many) - many
 
 
 def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -99,15 +119,15 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 def all_windows(texts: list[str | None]) -> Words:
     """``cut_windows`` of many texts, cut block by block to bound memory."""
-    parts, words, grams, before = [], 0, 0, 0
+    parts, words, grams, at, before = [], 0, 0, 0, 0
     for block in _blocks(texts):
         w = cut_windows(block)
-        windows = np.where(w.windows == len(w.buckets), -1, w.windows + words).astype(np.int32)
-        parts.append((w.buckets, w.grams, w.gram_at + grams, windows, w.text_of + before))
-        words, grams, before = words + len(w.buckets), grams + len(w.grams), before + len(block)
-    buckets, gram_list, gram_at, windows, text_of = (np.concatenate(x) for x in zip(*parts, strict=True))
-    windows[windows < 0] = words
-    return Words(buckets, gram_list, gram_at, windows, text_of)
+        seq = np.where(w.seq == len(w.buckets), -1, w.seq + words).astype(np.int32)
+        parts.append((w.buckets, w.grams, w.gram_at + grams, seq, w.starts + at, w.text_of + before))
+        words, grams, at, before = words + len(w.buckets), grams + len(w.grams), at + len(seq), before + len(block)
+    buckets, gram_list, gram_at, seq, starts, text_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    seq[seq < 0] = words
+    return Words(buckets, gram_list, gram_at, seq, starts, text_of)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,9 +146,9 @@ def new_parameters(seed: int = 3) -> dict[str, np.ndarray]:
         "inp": scaled(DIM, 6 * HIDDEN),
         "inp_bias": np.zeros(6 * HIDDEN, np.float32),
         "rec": scaled(2, HIDDEN, 3 * HIDDEN),
-        "att": scaled(2 * HIDDEN, 2 * HIDDEN),
-        "att_bias": np.zeros(2 * HIDDEN, np.float32),
-        "att_out": scaled(2 * HIDDEN),
+        "att": scaled(2 * HIDDEN, HIDDEN),
+        "att_bias": np.zeros(HIDDEN, np.float32),
+        "att_out": scaled(HIDDEN),
         "out": scaled(2 * HIDDEN),
         "out_bias": np.zeros(1, np.float32),
     }
@@ -207,7 +227,7 @@ def gradient(p: dict, w: Words, vectors: np.ndarray, windows: np.ndarray, labels
     rows = dinputs[:, :-1].transpose(1, 0, 2).reshape(-1, 6 * h)
     g["inp"], g["inp_bias"] = vectors.T @ rows, rows.sum(axis=0)
     dvec = rows @ p["inp"].T
-    g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
+    g["word"], g["gram"] = (np.zeros(p[k].shape, p[k].dtype) for k in ("word", "gram"))
     np.add.at(g["word"], w.buckets, dvec)
     length = np.diff(np.append(w.gram_at, len(w.grams)))
     np.add.at(g["gram"], w.grams, np.repeat(dvec / np.maximum(length, 1)[:, None], length, axis=0))
@@ -216,18 +236,64 @@ def gradient(p: dict, w: Words, vectors: np.ndarray, windows: np.ndarray, labels
 
 def _part(w: Words, rows: np.ndarray) -> tuple[Words, np.ndarray]:
     """The words of some windows alone, and these windows over them."""
-    used, index = np.unique(w.windows[rows], return_inverse=True)
+    used, index = np.unique(w.seq[w.starts[rows][:, None] + np.arange(WINDOW)[None, :]], return_inverse=True)
     index = index.reshape(-1, WINDOW)
     words = used[used < len(w.buckets)]
     length = np.diff(np.append(w.gram_at, len(w.grams)))[words]
     grams = w.grams[_ranges(w.gram_at[words], length)]
-    return Words(w.buckets[words], grams, np.cumsum(length) - length, index, np.zeros(0, int)), index
+    return Words(w.buckets[words], grams, np.cumsum(length) - length, index.ravel(), np.zeros(0, int), np.zeros(0, int)), index
+
+
+def _slices(p: dict, inputs: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Logits of the windows at every place of ``seq``, as ``forward`` has them."""
+    n, h = len(seq) - WINDOW + 1, HIDDEN
+    gates_in = inputs[:, seq]
+    now = np.zeros((2, n, h), np.float32)
+    states = np.empty((WINDOW, n, 2 * h), np.float32)
+    for t in range(WINDOW):
+        back = WINDOW - 1 - t
+        for d, at in ((0, t), (1, back)):
+            gx, gh = gates_in[d, at : at + n], now[d] @ p["rec"][d]
+            gates = _sigmoid(gx[:, : 2 * h] + gh[:, : 2 * h])
+            new = np.tanh(gx[:, 2 * h :] + gates[:, h:] * gh[:, 2 * h :])
+            now[d] = new + gates[:, :h] * (now[d] - new)
+            states[at, :, d * h : (d + 1) * h] = now[d]
+    s = np.tanh(states @ p["att"] + p["att_bias"]) @ p["att_out"]
+    seen = seq != inputs.shape[1] - 1
+    empty = np.ones(n, bool)
+    for t in range(WINDOW):
+        s[t, ~seen[t : t + n]] = np.float32(-1e9)
+        empty &= ~seen[t : t + n]
+    s[0, empty] = 0
+    a = np.exp(s - s.max(axis=0))
+    return ((states @ p["out"]) * a).sum(axis=0) / a.sum(axis=0) + p["out_bias"]
 
 
-def window_logits(p: dict, w: Words) -> np.ndarray:
+def window_logits(p: dict, w: Words, block: int = 2048) -> np.ndarray:
+    """Logits of all windows, some thousand places at a time."""
     inputs = _inputs(p, word_vectors(p, w))
-    parts = [forward(p, inputs, w.windows[i : i + 2048]) for i in range(0, len(w.windows), 2048)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+    last = len(w.seq) - WINDOW + 1
+    parts = [_slices(p, inputs, w.seq[i : min(i + block, last) + WINDOW - 1]) for i in range(0, last, block)]
+    return np.concatenate(parts)[w.starts] if parts else np.zeros(0, np.float32)
+
+
+def first_scores(w: Words, label: np.ndarray) -> np.ndarray:
+    """For every window its word with the greatest log odds of standing in a toxic document."""
+    texts = np.zeros(len(w.seq), np.int64)
+    texts[w.starts] = w.text_of
+    texts = np.maximum.accumulate(texts)
+    word = np.append(w.buckets, WORDS)[w.seq]
+    once = np.unique(texts * (WORDS + 1) + word)
+    y = label[once // (WORDS + 1)] == 1
+    found = [np.bincount((once % (WORDS + 1))[y == side], minlength=WORDS + 1) for side in (True, False)]
+    share = [(n + 0.5) / ((label == side).sum() + 1) for n, side in zip(found, (1, 0), strict=True)]
+    odds = np.log(share[0] / share[1])
+    odds[WORDS] = -99.0
+    own = odds[word]
+    best = own[w.starts]
+    for t in range(1, WINDOW):
+        np.maximum(best, own[w.starts + t], out=best)
+    return best
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
@@ -239,14 +305,15 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
         return p
     w = all_windows(texts)
     label = np.array(labels, np.float32)
+    first = first_scores(w, label)
     draw = np.random.default_rng(seed)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     turn = 0
     for epoch in range(epochs):
-        logits = window_logits(p, w) if epoch >= WARM else draw.standard_normal(len(w.windows))
+        logits = window_logits(p, w) if epoch >= WARM else first
         order = np.lexsort((-logits, w.text_of))
         rank = np.arange(len(order)) - np.searchsorted(w.text_of[order], w.text_of[order])
-        most = np.where(label[w.text_of[order]] == 1, 1 if epoch >= WARM else NEGATIVES, NEGATIVES)
+        most = np.where(label[w.text_of[order]] == 1, 1, NEGATIVES)
         rows = order[rank < most]
         rows = rows[draw.permutation(len(rows))]
         for low in range(0, len(rows), 128):
@@ -254,11 +321,13 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
             part, windows = _part(w, some)
             g = gradient(p, part, word_vectors(p, part), windows, label[w.text_of[some]], np.where(label[w.text_of[some]] == 1, 1.5, 1.0))
             turn += 1
-            for k in p:
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.01 * (g[k] * g[k] - v[k])
-                step = (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-8)
-                p[k] -= (0.01 * step).astype(np.float32)
+            touched = {"word": np.unique(part.buckets), "gram": np.unique(part.grams)}
+            for k in p:  # of the tables only the rows in use move
+                at = touched.get(k, slice(None))
+                m[k][at] += 0.1 * (g[k][at] - m[k][at])
+                v[k][at] += 0.01 * (g[k][at] * g[k][at] - v[k][at])
+                step = (m[k][at] / (1 - 0.9**turn)) / (np.sqrt(v[k][at] / (1 - 0.99**turn)) + 1e-8)
+                p[k][at] -= (RATE * step).astype(np.float32)
     return p
 
 
@@ -274,18 +343,18 @@ def score_texts(p: dict, texts: list[str | None]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Parameters from at most ``sample`` labelled documents of each class, by hash of the key.
+    """Parameters from at most ``sample`` toxic and ``OTHERS`` x ``sample`` other labelled documents, by hash of the key.
 
     Only rows outside the held-out fifth are used; of contradicting labels the larger
-    counts. The sample is the only thing the driver receives; its keys, 2 x ``sample`` at
+    counts. The sample is the only thing the driver receives; its keys, (1 + ``OTHERS``) x ``sample`` at
     most, are broadcast, so the documents are not shuffled.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y")).where(~held_out("id"))
     share = F.lit(1.0)
     for r in known.groupBy("y").count().collect():  # two rows at most
-        share = F.when(F.col("y") == r.y, 2 * sample / r["count"]).otherwise(share)
+        share = F.when(F.col("y") == r.y, 2 * sample * F.when(F.col("y") == 0, OTHERS).otherwise(1) / r["count"]).otherwise(share)
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    drawn = known.where(thinned(F.col("id"), share)).withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "y", "rank")
+    drawn = known.where(thinned(F.col("id"), share)).withColumn("rank", rank).where(F.col("rank") <= sample * F.when(F.col("y") == 0, OTHERS).otherwise(1)).select("id", "y", "rank")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).orderBy("y", "rank").collect()
     return train([r.text for r in rows], [r.y for r in rows])

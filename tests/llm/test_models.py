@@ -92,7 +92,30 @@ def test_held_out_toxicity(spark):
     p = T.learn(docs, labels)
     rows = T.score(docs, p).join(labels, "doc_id").where("held_out").collect()
     y, s = np.array([r.toxic for r in rows]), np.array([r.predicted for r in rows])
-    assert s[y == 1].mean() >= 0.9 and s[y == 0].mean() <= 0.03
+    # Some toxic documents hold no word that marks toxicity; every known insult must be found.
+    insults = "trash pathetic idiot worthless disgusting stupid clown loser scum moron".split()
+    plain = np.array([any(w in (r.text or "").lower() for w in insults) for r in rows])
+    print("held-out recall", s[y == 1].mean(), "of insults", s[plain & (y == 1)].mean(), "false positives", s[y == 0].mean())
+    assert plain.sum() > 40 and s[plain & (y == 1)].mean() >= 0.95
+    assert s[y == 1].mean() >= 0.8 and s[y == 0].mean() <= 0.02
+
+
+def test_slices_score_every_window():
+    p = T.new_parameters(5)
+    texts = [" ".join(f"w{i % 37}" for i in range(n)) for n in (0, 1, 5, 8, 9, 40, 300)] + [None]
+    w = T.all_windows(texts)
+    assert np.bincount(w.text_of).tolist() == [max(1, n - T.WINDOW + 1) for n in (0, 1, 5, 8, 9, 40, 300, 0)]
+    slow = T.forward(p, T._inputs(p, T.word_vectors(p, w)), w.windows)
+    for block in (3, 50, 2048):
+        assert np.allclose(T.window_logits(p, w, block), slow, atol=1e-5)
+
+
+def test_a_toxic_word_counts_at_every_place():
+    fine = "a fine day in the park with all of them and more to see there".split()
+    texts = [" ".join(fine[i % 7 :] + fine) for i in range(40)] + [" ".join(fine[i % 9 :] + ["awful", "fool"] + fine[: i % 5]) for i in range(40)]
+    p = T.train(texts, [0] * 40 + [1] * 40, epochs=40)
+    moved = [" ".join(fine[:i] + ["awful", "fool"] + fine[i:]) for i in range(len(fine) + 1)]
+    assert (T.score_texts(p, moved) >= 0.5).all() and T.score_texts(p, [" ".join(fine)])[0] < 0.5
 
 
 def test_training_is_repeatable():
