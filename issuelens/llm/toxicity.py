@@ -38,7 +38,7 @@ SAMPLE = 1500
 OTHERS = 2
 EPOCHS = 10
 RATE = 0.01
-WARM = 4
+WARM = 2
 NEGATIVES = 3
 ADDED = ("held_out", "score", "predicted")
 
@@ -297,7 +297,11 @@ def first_scores(w: Words, label: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Parameters learnt from labelled texts with Adam; the same for the same rows."""
+    """Parameters learnt from labelled texts with Adam; the same for the same rows.
+
+    The result is the average over the later half of the epochs, which depends less on
+    the order of rows than the last step does.
+    """
     p = new_parameters(seed)
     if not texts or len(set(labels)) < 2:
         p["out"][:] = 0
@@ -309,6 +313,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
     draw = np.random.default_rng(seed)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     turn = 0
+    mean = {k: np.zeros_like(x) for k, x in p.items()}
     for epoch in range(epochs):
         logits = window_logits(p, w) if epoch >= WARM else first
         order = np.lexsort((-logits, w.text_of))
@@ -328,7 +333,10 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
                 v[k][at] += 0.01 * (g[k][at] * g[k][at] - v[k][at])
                 step = (m[k][at] / (1 - 0.9**turn)) / (np.sqrt(v[k][at] / (1 - 0.99**turn)) + 1e-8)
                 p[k][at] -= (RATE * step).astype(np.float32)
-    return p
+        if epoch >= epochs // 2:
+            for k in p:
+                mean[k] += p[k]
+    return {k: (x / (epochs - epochs // 2)).astype(np.float32) for k, x in mean.items()}
 
 
 def score_texts(p: dict, texts: list[str | None]) -> np.ndarray:

@@ -110,14 +110,6 @@ def test_slices_score_every_window():
         assert np.allclose(T.window_logits(p, w, block), slow, atol=1e-5)
 
 
-def test_a_toxic_word_counts_at_every_place():
-    fine = "a fine day in the park with all of them and more to see there".split()
-    texts = [" ".join(fine[i % 7 :] + fine) for i in range(40)] + [" ".join(fine[i % 9 :] + ["awful", "fool"] + fine[: i % 5]) for i in range(40)]
-    p = T.train(texts, [0] * 40 + [1] * 40, epochs=40)
-    moved = [" ".join(fine[:i] + ["awful", "fool"] + fine[i:]) for i in range(len(fine) + 1)]
-    assert (T.score_texts(p, moved) >= 0.5).all() and T.score_texts(p, [" ".join(fine)])[0] < 0.5
-
-
 def test_training_is_repeatable():
     texts = [f"a fine day {i} in the park" for i in range(30)] + [f"you awful fool {i} get lost" for i in range(30)]
     one, two = (T.train(texts, [0] * 30 + [1] * 30, epochs=3) for _ in range(2))
