@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log1p_pos
 from ..operators.ordering import time_folds
 from ..plans import forecast, models
+from ..plans.horizon import Horizons, horizon_reads, load_heads, train_horizons
 from ..session import materialise, shared_dir
 from ..streaming.streams import ledger_stream, read_version, signal_upsert
 from .aggs_q import _CV, _cv
@@ -142,11 +145,76 @@ def signals_cv(spark, sf):
     return out.select("head", *[F.round(c, 3).alias(c) for c in ("error", "baseline", "edge")], "folds_won", "folds", "skill")
 
 
+HORIZONS = Horizons(("qib", "retail", "nii"), ("ret_12m",), ("bottom_12m_pct",), "listing_gain_day1", "opened", "o_orderkey")
+
+
+def _horizon_frame(spark, sf):
+    """The gain as return, the gain of a neighbouring month as a bottom, half the gain as day-1 gain of even keys."""
+    f = _frame(spark, sf)
+    return f.select(
+        "o_orderkey", "opened", *_INPUTS, F.col("gain").alias("ret_12m"),
+        F.when(F.col("o_orderkey") % 3 != 0, -F.col("qib") * 2 - F.col("nii")).alias("bottom_12m_pct"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("gain") / 2).alias("listing_gain_day1"))
+
+
+@lru_cache(maxsize=8)
+def _trained_once(app, sf):
+    spark = SparkSession.builder.getOrCreate()
+    folder = f"{shared_dir(spark)}/horizons-{uuid.uuid4().hex}"
+    trained = train_horizons(_horizon_frame(spark, sf), HORIZONS)
+    trained.save(folder)
+    return trained, folder
+
+
+def _trained(spark, sf):
+    """Heads of all 120 rounds, trained once a session and folder and saved in the shared folder."""
+    return _trained_once(spark.sparkContext.applicationId, sf)
+
+
+_HORIZON_FOLDS = f"""{_FRAME}, h AS (SELECT o_orderkey, opened, qib, retail, nii, gain AS ret_12m,
+    CASE WHEN o_orderkey % 3 <> 0 THEN -qib * 2 - nii END AS bottom_12m_pct FROM frame),
+long AS (SELECT 'ret_12m' AS target, opened, o_orderkey, ret_12m AS y FROM h WHERE ret_12m IS NOT NULL
+  UNION ALL SELECT 'bottom_12m_pct', opened, o_orderkey, bottom_12m_pct FROM h WHERE bottom_12m_pct IS NOT NULL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY opened, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY target) AS total FROM long),
+st AS (SELECT *, greatest(floor(total * 0.4), 60) AS start FROM ix),
+fo AS (SELECT target, total, y, (SELECT count(*) FROM range(5) r(k) WHERE i >= floor(start + k * (total - start) / 5)) AS fold FROM st),
+me AS (SELECT f.target, f.fold, avg(p.y) AS m, avg((p.y > 0)::INT) AS u FROM (SELECT DISTINCT target, fold FROM fo WHERE fold > 0) f
+  JOIN fo p ON p.target = f.target AND p.fold < f.fold GROUP BY 1, 2),
+pf AS (SELECT target, fold, any_value(total) AS n, count(*) AS k, avg(abs(y - m)) AS size, greatest(avg((((y > 0)::INT = (u > 0.5)::INT))::INT), 0.5) AS direction
+  FROM fo JOIN me USING (target, fold) GROUP BY 1, 2)"""
+
+
+@query("horizon_training", f"""
+WITH {_HORIZON_FOLDS}, heads AS (
+  SELECT target, 'size' AS kind, any_value(n) AS n, sum(k)::BIGINT AS n_scored, count(*) AS folds, round(avg(size), 4) AS baseline FROM pf GROUP BY 1
+  UNION ALL SELECT target, 'direction', any_value(n), sum(k)::BIGINT, count(*), round(avg(direction), 4) FROM pf WHERE target = 'ret_12m' GROUP BY 1)
+SELECT variant, target, kind, n, n_scored, folds, baseline FROM heads, (SELECT unnest(['pre', 'post']) AS variant)""")
+def horizon_training(spark, sf):
+    """Every boosted head through forward chaining: rows, folds and the baseline it has to beat."""
+    trained, _ = _trained(spark, sf)
+    return trained.metrics.select("variant", "target", "kind", "n", "n_scored", "folds", F.round("baseline", 4).alias("baseline"))
+
+
+@query("horizon_heads")
+def horizon_heads(spark, sf):
+    """Error, edge and verdict of every boosted head; tested against plain arithmetic on its folds."""
+    trained, _ = _trained(spark, sf)
+    return trained.metrics.select(
+        "variant", "target", "kind", *[F.round(c, 4).alias(c) for c in ("error", "baseline", "edge", "edge_se")], "folds_won", "folds", "skill")
+
+
+@query("horizon_importances")
+def horizon_importances(spark, sf):
+    """Up to twelve inputs of each shipped head with their weight, largest first."""
+    trained, _ = _trained(spark, sf)
+    return trained.importances(spark).withColumn("importance", F.round("importance", 4))
+
+
 @query("gbt_fit")
 def gbt_fit(spark, sf):
     """Small boosted regressor of the gain; error against the mean, top inputs."""
     ready = _ready(spark, sf)
-    model = models.fit_trees(ready, _INPUTS, "gain", maxIter=10)
+    model = models.fit_trees(ready, _INPUTS, "gain")
     top = models.importances(model, _INPUTS, 12)
     mean = ready.agg(F.avg("gain")).scalar()
     err = model.transform(_packed(ready)).withColumn("mean", mean).agg(
@@ -159,7 +227,7 @@ def gbt_fit(spark, sf):
 def gbt_classify(spark, sf):
     """Small boosted direction head."""
     ready = _ready(spark, sf)
-    model = models.fit_trees(ready, _INPUTS, "up", classify=True, maxIter=10)
+    model = models.fit_trees(ready, _INPUTS, "up", classify=True)
     return model.transform(_packed(ready)).groupBy("up").agg(
         F.count("*").alias("n"), F.round(F.avg("prediction"), 3).alias("called_up"))
 
@@ -228,13 +296,11 @@ def linear_score(spark, sf):
 
 @query("horizon_score")
 def horizon_score(spark, sf):
-    """Variant scoring: post-listing heads correct the day-1 gain, pre-listing ones do not know it."""
-    ready = _ready(spark, sf).withColumn("listing_gain_day1", F.when(F.col("o_orderkey") % 2 == 0, F.col("gain") / 2)) \
-        .withColumn("carry_gap", F.col("gain") / 2)
-    pre = models.fit_trees(ready, _INPUTS, "gain", maxIter=5)
-    post = models.fit_trees(ready.filter("listing_gain_day1 IS NOT NULL"), _INPUTS, "carry_gap", maxIter=5)
-    out = forecast.horizon_forecast(_packed(ready), {"pre": {"ret_6m": pre}, "post": {"ret_6m": post}}, ["ret_6m", "ret_12m"])
-    return out.groupBy("variant").agg(F.count("*").alias("n"), F.count("ret_6m").alias("with_6m"), F.count("ret_12m").alias("with_12m"))
+    """Saved heads read back: post-listing rows know the day-1 gain, heads without skill stay silent."""
+    _, folder = _trained(spark, sf)
+    heads, medians = load_heads(spark, folder)
+    told = horizon_reads(_horizon_frame(spark, sf).drop("ret_12m", "bottom_12m_pct"), heads, medians, HORIZONS)
+    return told.select("o_orderkey", "variant", *[F.round(c, 4).alias(c) for c in ("ret_12m", "p_ret_12m", "bottom_12m_pct")])
 
 
 @query("exit_call", f"""

@@ -1,8 +1,7 @@
 """Micro-batch forms of the two refresh jobs: live signals and the rule ledger.
 
-Each batch writes a new version of a keyed table and only then moves the pointer (the
-highest complete version), so a replayed or retried batch writes the same version
-again: both merges are keyed and give the same rows.
+Both feed a keyed table. A batch rewrites only the buckets that its keys fall into and
+is recorded under its id, so a replayed or retried batch changes nothing.
 """
 
 from __future__ import annotations
@@ -14,60 +13,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import latest, ledger_merge
+from ..sources.keyed import KeyedTable, newest
 
 
-def _version_path(table: str, batch: int) -> str:
-    return f"{table}/v={batch:010d}"
+BUCKETS = 64
 
 
 def read_version(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete version of a table, or the newest one below a batch id."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = []
-    for status in fs.listStatus(path):
-        p = status.getPath()
-        if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")):
-            done.append(int(p.getName()[2:]))
-    done = [d for d in done if before is None or d < before]
-    return spark.read.parquet(_version_path(table, max(done))) if done else None
+    """Newest state of a table, or the newest one below a batch id; None if there is none."""
+    return KeyedTable(table, ()).read(spark, None if before is None else before - 1)
 
 
 def signal_upsert(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str],
-                  order: Sequence[Column], once: bool = True) -> StreamingQuery:
+                  order: Sequence[Column], once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Newest signal per key: each batch is reduced to its newest rows, then upserted.
 
     ``order`` sorts newest first. A late, older signal never replaces a newer one.
     """
+    stored = KeyedTable(table, tuple(keys), buckets)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = read_version(batch.sparkSession, table, batch_id)
-        fresh = latest(batch, keys, order)
-        if old is not None:
-            fresh = latest(fresh.unionByName(old), keys, order)
-        fresh.write.mode("overwrite").parquet(_version_path(table, batch_id))
+        stored.merge(batch, batch_id, newest(order, keys))
 
     return _start(stream, write, checkpoint, once)
 
 
 def ledger_stream(stream: DataFrame, table: str, checkpoint: str, key: str, call_cols: Sequence[str],
-                  outcome_cols: Sequence[str], order: Sequence[Column], once: bool = True) -> StreamingQuery:
+                  outcome_cols: Sequence[str], order: Sequence[Column], once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Write-once ledger fed by a stream of calls; outcomes fill later.
 
-    Inside a batch the first call of a key (by ``order``, oldest first) counts.
+    Inside a batch the first call of a key (by ``order``, oldest first) counts;
+    ``batch_id`` says which batch recorded it.
     """
+    stored = KeyedTable(table, (key,), buckets)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = read_version(batch.sparkSession, table, batch_id)
-        filled = batch.groupBy(key).agg(*[F.max(c).alias(c) for c in outcome_cols])
-        calls = latest(batch.select(key, *call_cols), [key], order).join(filled, key)
-        new = calls.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        if old is None:
-            out = new
-        else:
-            out = ledger_merge(old, new, key, [*call_cols, "batch_id"], outcome_cols)
-        out.write.mode("overwrite").parquet(_version_path(table, batch_id))
+        def merged(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
+            filled = fresh.groupBy(key).agg(*[F.max(c).alias(c) for c in outcome_cols])
+            calls = latest(fresh.select(key, *call_cols), [key], order).join(filled, key)
+            new = calls.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            return new if old is None else ledger_merge(old, new, key, [*call_cols, "batch_id"], outcome_cols)
+
+        stored.merge(batch, batch_id, merged)
 
     return _start(stream, write, checkpoint, once)
 
