@@ -123,10 +123,9 @@ SELECT name_id, arg_min(title_id, (abs(filed - opened), title_id)) AS title_id,
 FROM pairs WHERE filed BETWEEN opened - 200 AND opened + 45 GROUP BY 1""")
 def nearest_in_interval(spark, sf):
     start = F.lit("2020-01-01").cast("date")
-    pairs = joins.token_subset_join(_names(spark, sf), _titles(spark, sf), "name_id", "toks", "title_id", "toks")
-    dated = pairs.join(_titles(spark, sf).select("title_id", F.date_add(start, F.col("p_size") * 9).alias("filed")), "title_id") \
-        .withColumn("opened", F.date_add(start, (F.col("name_id") % 400).cast("int")))
-    return joins.nearest_in_interval(dated, "name_id", "opened", "title_id", "filed", 200, 45)
+    names = _names(spark, sf).withColumn("opened", F.date_add(start, (F.col("name_id") % 400).cast("int")))
+    titles = _titles(spark, sf).withColumn("filed", F.date_add(start, F.col("p_size") * 9))
+    return joins.nearest_in_interval(names, titles, "name_id", "toks", "opened", "title_id", "toks", "filed", 200, 45)
 
 
 @query("asof_horizon", f"""
@@ -203,20 +202,29 @@ def list_analyses(spark, sf):
 
 
 @query("similar", """
-WITH t AS (SELECT min(vec_id) AS tid FROM embeddings GROUP BY label),
-te AS (SELECT vec_id AS tid, embedding AS te FROM embeddings WHERE vec_id IN (SELECT tid FROM t)),
+WITH te AS (SELECT vec_id AS tid, embedding AS te FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT tid AS target_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, te),
     lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) / len(embedding)), 4) AS distance
   FROM embeddings, te WHERE vec_id <> tid),
 r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY distance, vec_id) AS rank FROM d)
 SELECT target_id, vec_id, distance, rank FROM r WHERE rank <= 5""")
 def similar(spark, sf):
-    e = table(spark, sf, "embeddings")
+    vectors = _profiles(spark, sf)
+    return joins.similar(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "profile", 5, 5, 4)
+
+
+@query("similar_work")
+def similar_work(spark, sf):
+    """Share of all (target, row) pairs that the nearest-profile search scores."""
+    vectors = _profiles(spark, sf)
+    return joins.similar_work(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "profile", 5, 5, 4)
+
+
+def _profiles(spark, sf):
+    """Each embedding as a map of category to score."""
     profile = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: i),
                                 F.transform("embedding", lambda x: x.cast("double")))
-    vectors = e.select("vec_id", profile.alias("profile"), "label")
-    targets = top_per_group(vectors, ["label"], [F.col("vec_id")])
-    return joins.similar(vectors, targets, "vec_id", "profile", 5, 5, 4)
+    return table(spark, sf, "embeddings").select("vec_id", profile.alias("profile"))
 
 
 @query("title_match", """

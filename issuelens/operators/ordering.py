@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import array_median
-from ..session import materialise
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -105,23 +104,43 @@ def running_days(days: DataFrame, day: str, n: str, name: str = "before") -> Dat
     return d.withColumn("__ys", years).withColumn(name, inside + earlier).drop("__y", "__ys")
 
 
+#: Quantiles that hot cells are cut at, at most; and the sketch's accuracy.
+CUTS, CUT_ACCURACY = 1_000, 20_000
+
+
+def split_cells(df: DataFrame, cols: Sequence[str], row_id: str, rows_per_cell: int) -> DataFrame:
+    """``df`` with ``__cell``: 0 in small cells; a rising number over the ids of hot ones.
+
+    Cut points come from a mergeable sketch over the rows of the hot cells alone. There
+    are about as many of them as the table has times ``rows_per_cell`` rows.
+    """
+    hot = df.groupBy(*cols).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows_per_cell)
+    grid = [i / CUTS for i in range(1, CUTS)]
+    sketched = null_safe_join(df.select(*cols, row_id), hot, cols).groupBy(*cols, "__n").agg(
+        F.percentile_approx(row_id, grid, CUT_ACCURACY).alias("__q"))
+    parts = F.least(F.ceil(F.col("__n") / rows_per_cell), F.lit(CUTS)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.element_at("__q", F.round(j * CUTS / parts).cast("int")))
+    known = sketched.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cols)], F.array_distinct(cuts).alias("__cuts"))
+    same = F.lit(True)
+    for i, c in enumerate(cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(row_id)))
+    return df.join(known, same, "left").withColumn("__cell", F.coalesce(F.when(F.col("__cuts").isNotNull(), below), F.lit(0))) \
+        .drop("__cuts", *[f"__k{i}" for i in range(len(cols))])
+
+
 def grouped_index(df: DataFrame, keys: Sequence[str], coarse: Sequence[tuple[str, bool]],
                   row_id: str, name: str = "idx", rows_per_cell: int = 1_000_000) -> DataFrame:
     """Exact 0-based position inside each group, ordered by ``coarse`` then ``row_id``.
 
     ``coarse`` holds (column, descending) pairs of bounded cardinality such as days or
     weights; ``row_id`` is a unique number. A cell (group x coarse values) with more
-    than ``rows_per_cell`` rows is split by id range, so even one hot day is ranked in
-    many tasks; only the counts of the cells are accumulated per group.
+    than ``rows_per_cell`` rows is split at quantiles of its ids, so even one hot day is
+    ranked in many even tasks wherever its ids lie; only the counts of the cells are
+    accumulated per group.
     """
     cols = [*keys, *[c for c, _ in coarse]]
-    stats = df.groupBy(*cols).agg(F.count("*").alias("__n"), F.min(row_id).alias("__lo"),
-                                  F.max(row_id).alias("__hi"))
-    parts = F.ceil(F.col("__n") / rows_per_cell)
-    stats = stats.withColumn("__w", F.ceil((F.col("__hi") - F.col("__lo") + 1) / parts))
-    cells = null_safe_join(df, stats.drop("__n", "__hi"), cols) \
-        .withColumn("__cell", F.floor((F.col(row_id) - F.col("__lo")) / F.col("__w"))) \
-        .drop("__lo", "__w")
+    cells = split_cells(df, cols, row_id, rows_per_cell)
     order = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in coarse]
     counts = cells.groupBy(*cols, "__cell").agg(F.count("*").alias("__c"))
     w = Window.partitionBy(*keys).orderBy(*order, "__cell") \
@@ -236,7 +255,7 @@ def time_folds(df: DataFrame, day: str, row_id: str, frac: float = 0.4, min_rows
     """Forward-chaining fold of every dated row: 0 trains only, 1..splits are scored.
 
     Fold k trains on every row before its block. The five block edges are found first
-    (a small job over day counts, written once). Only the days that hold a block
+    (a small aggregate over day counts). Only the days that hold a block
     edge are ranked row by row; all other rows are placed by comparing their
     (day, id) with the five edges, so the table itself is never shuffled.
     """
@@ -254,7 +273,6 @@ def time_folds(df: DataFrame, day: str, row_id: str, frac: float = 0.4, min_rows
         .filter((F.col("__edge") >= F.col("__before"))
                 & (F.col("__edge") < F.col("__before") + F.col("__n"))) \
         .select(day, (F.col("__edge") - F.col("__before")).alias("__pos"))
-    edges = materialise(edges)
     on_edge_days = dated.select(day, row_id).join(F.broadcast(edges.select(day).distinct()), day)
     picked = grouped_index(on_edge_days, [day], [], row_id, "__pos").join(edges, [day, "__pos"])
     bounds = picked.agg(F.collect_list(
