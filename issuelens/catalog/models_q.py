@@ -14,6 +14,7 @@ from ..operators.ordering import time_folds
 from ..plans import forecast, models
 from ..plans.horizon import Horizons, horizon_reads, load_heads, train_horizons
 from ..session import materialise, shared_dir
+from ..plans.signals import serve_signals
 from ..streaming.streams import ledger_stream, read_version, signal_upsert
 from .aggs_q import _CV, _cv
 from .base import SUBSCRIPTION, day, query, subscription, table
@@ -294,6 +295,27 @@ def linear_score(spark, sf):
     return s.select("o_orderkey", F.round(z, 6).alias("score"), F.round(sigmoid(z), 6).alias("p"))
 
 
+@query("signal_serving", f"""
+WITH {_FRAME}, x AS (SELECT o_orderkey, ln(1 + qib) AS q, ln(1 + retail) AS r, ln(1 + nii) AS n, gain, (gain > 0)::INT::DOUBLE AS up FROM frame),
+f AS (SELECT corr(q, up) AS cq, corr(r, up) AS cr, median(q) AS mq, median(r) AS mr, median(n) AS mn, avg(up) AS u, count(gain) AS rows FROM x)
+SELECT o_orderkey, list_filter(['log_NII', 'log_QIB', 'log_Retail'], lambda k: CASE k WHEN 'log_NII' THEN n IS NOT NULL WHEN 'log_QIB' THEN q IS NOT NULL ELSE r IS NOT NULL END) AS inputs_used,
+  round(1 / (1 + exp(-least(greatest(u + cq * coalesce(q, mq) + cr * coalesce(r, mr) - 0.05 * coalesce(n, mn), -30), 30))), 2) AS p_lists_above_offer,
+  CAST(NULL AS DOUBLE) AS forecast_gain_pct, round(u, 2) AS direction_cv, round(greatest(u, 1 - u), 2) AS direction_baseline,
+  CAST(NULL AS DOUBLE) AS magnitude_cv, CAST(NULL AS DOUBLE) AS magnitude_baseline FROM x, f""")
+def signal_serving(spark, sf):
+    """Direction served from coefficients learnt as correlations; the magnitude head did not ship, so no number."""
+    f = _frame(spark, sf)
+    inputs = {"log_QIB": log1p_pos(F.col("qib")), "log_Retail": log1p_pos(F.col("retail")), "log_NII": log1p_pos(F.col("nii"))}
+    x = f.select("o_orderkey", *[c.alias(k) for k, c in inputs.items()], F.col("up").cast("double").alias("up"))
+    learnt = x.agg(F.corr("log_QIB", "up").alias("log_QIB"), F.corr("log_Retail", "up").alias("log_Retail"),
+                   F.lit(-0.05).alias("log_NII"), F.avg("up").alias("intercept"), F.count("up").alias("n"))
+    names = ["log_QIB", "log_Retail", "log_NII", "intercept"]
+    coefs = learnt.select(F.lit("direction").alias("head"), F.explode(F.create_map(*[v for k in names for v in (F.lit(k), F.col(k))])).alias("feature", "coef"))
+    verdicts = learnt.select(F.lit("direction").alias("head"), "n", F.col("intercept").alias("cv"),
+                             F.greatest("intercept", 1 - F.col("intercept")).alias("baseline"))
+    return serve_signals(x, "o_orderkey", {k: F.col(k) for k in inputs}, coefs, models.column_medians(x, list(inputs)), verdicts)
+
+
 @query("horizon_score")
 def horizon_score(spark, sf):
     """Saved heads read back: post-listing rows know the day-1 gain, heads without skill stay silent."""

@@ -69,6 +69,26 @@ def html_rows(spark, sf):
                              r"^.*?([A-Z][a-z]+ [a-z]+)", r"([0-9]+)")
 
 
+@query("report_scan", """
+WITH s AS (SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 9 <> 4)
+SELECT CAST(s_suppkey AS VARCHAR) AS cg_ipo_id, s_name AS company, s_acctbal AS overall, s_nationkey::DOUBLE AS growth, 'call ' || s_name AS verdict FROM s""")
+def report_scan(spark, sf):
+    """Suppliers written as pretty-printed reports, a folder each, every ninth broken off; the whole ones read back."""
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    s = table(spark, sf, "supplier")
+    score = F.struct(F.col("s_nationkey").cast("double").alias("score"))
+    report = F.struct(
+        F.struct(F.col("s_acctbal").alias("overall"), F.create_map(F.lit("growth"), score).alias("categories")).alias("scoring"),
+        F.struct(F.col("s_name").alias("company_name")).alias("meta"), F.concat(F.lit("call "), "s_name").alias("verdict"))
+    body = F.to_json(report, {"pretty": "true"})
+    broken = F.when(F.col("s_suppkey") % 9 == 4, F.expr("left(body, length(body) div 2)")).otherwise(F.col("body"))
+    s.withColumn("body", body).select(broken.alias("value"), F.col("s_suppkey").alias("id")) \
+        .write.partitionBy("id").text(folder)
+    read = landing.read_reports(spark, folder, r"/id=([^/]+)/")
+    return read.select("cg_ipo_id", F.col("meta.company_name").alias("company"), F.col("scoring.overall").alias("overall"),
+                       F.col("scoring.categories")["growth"]["score"].alias("growth"), "verdict")
+
+
 @query("daily_close", f"WITH {PRICES} SELECT symbol, strftime(session_date, '%Y-%m-%d') AS session_date, close FROM prices")
 def daily_close(spark, sf):
     return prices(spark, sf).withColumn("session_date", day("session_date"))

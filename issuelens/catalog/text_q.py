@@ -204,6 +204,30 @@ def borderless_rows(spark, sf):
     return facts.borderless_facts(pages).select("doc_id", "fiscal_label", "metric", "value")
 
 
+@query("liability_context", f"""
+WITH {_CELLS}, d AS (SELECT doc_id, fy, sum(v) FILTER (f = 'A') AS a, sum(v) FILTER (f = 'N') AS n, sum(v) FILTER (f = 'R') AS r FROM y GROUP BY 1, 2)
+SELECT doc_id, 'FY' || right(CAST(fy + 20 AS VARCHAR), 2) AS fiscal_label, k.m AS metric, CASE k.m WHEN 'borrowings_lt' THEN a ELSE n END AS value
+FROM d, (VALUES ('borrowings_lt'), ('borrowings_st')) k(m) WHERE (k.m = 'borrowings_lt' AND a IS NOT NULL) OR (k.m = 'borrowings_st' AND n IS NOT NULL)""")
+def liability_context(spark, sf):
+    """Balance sheets whose two debt rows are both labelled Borrowings: the heading above says which is which.
+
+    The first, above any heading, is neither and drops out.
+    """
+    grid = _cells(spark, sf).filter("row_no >= 2")
+    rows = grid.filter("row_no IN (2, 3)").groupBy("doc_id", "row_no").agg(
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("col_no") > 0, F.struct("col_no", "text"))))).alias("v"))
+    head = F.when(F.col("row_no") == 2, "Non-current liabilities").otherwise("Current liabilities")
+    body = rows.select("doc_id", "row_no", head.alias("head"), F.transform("v", lambda x: x["col_no"]).alias("cols"),
+                       F.array_join(F.transform("v", lambda x: x["text"]), "\n").alias("values"))
+    block = F.concat_ws("\n", "head", F.lit("Borrowings"), "values")
+    docs = body.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", block.alias("block")))).alias("blocks"), F.max("cols").alias("cols"))
+    heads = F.array_join(F.transform("cols", lambda c: F.concat(F.lit("year ended March 31, "), (c + 2014).cast("string"))), "\n")
+    stray = F.concat(F.lit("Borrowings\n"), F.array_join(F.transform("cols", lambda c: F.lit("9,99,999.00")), "\n"))
+    text = F.concat_ws("\n", heads, stray, F.array_join(F.transform("blocks", lambda b: b["block"]), "\n"))
+    pages = facts.carry_headers(docs.select("doc_id", F.lit(1).alias("n"), text.alias("text")))
+    return facts.borderless_facts(pages).select("doc_id", "fiscal_label", "metric", "value")
+
+
 @query("ctx_fill", r"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'u' || turn WHEN role = 'system' THEN 's' || turn END AS ctx FROM conversations)
 SELECT conv_id, turn, last_value(ctx IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctx FROM t""")

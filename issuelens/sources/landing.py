@@ -27,13 +27,17 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return clean_headers(spark.read.schema(schema).option("header", True).csv(path))
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report corpus, one JSON document per file, keyed by file stem; broken files drop out."""
-    raw = spark.read.option("wholetext", True).text(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+def read_reports(spark: SparkSession, path: str, key_pattern: str = r"([^/]+)\.json$") -> DataFrame:
+    """Report corpus, one JSON document per file of any depth of lines; broken files drop out.
+
+    The key is the first group of ``key_pattern`` in the file's path: the file's stem, or
+    a folder's name for layouts of one folder a report. A file without a key drops out.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    key = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1), F.lit(""))
     parsed = F.from_json("value", REPORT, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return raw.select(stem.alias("cg_ipo_id"), parsed.alias("r")) \
-        .filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()) \
+    return raw.select(key.alias("cg_ipo_id"), parsed.alias("r")) \
+        .filter(F.col("cg_ipo_id").isNotNull() & F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()) \
         .select("cg_ipo_id", "r.*").drop("_corrupt_record")
 
 
