@@ -39,7 +39,7 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     the removed windows.
 
     Defined cases: a null text stays null with no lines; an empty text is one empty
-    line; windows of white space only never match; texts under ``size`` lines have no
+    line; windows of blanks (U+0020) only never match, others do, tabs too; texts under ``size`` lines have no
     window. Repeated rows (same key and text) count as one document and keep the
     same text. Rows with one key and different texts are told apart by the text's
     hash. A null key sorts first. Other columns pass through unchanged, except that

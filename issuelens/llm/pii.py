@@ -80,24 +80,25 @@ def _normal(kind: Column, raw: Column) -> Column:
 
 
 def _units(kind: Column, raw: Column) -> Column:
-    """(kind, raw) pieces of a detected string; kind is null for what stays.
+    """(kind, raw, sex) pieces of a detected string; kind is null for what stays.
 
     Persons are replaced name by name, so a surname alone agrees with the full name.
-    The form of address decides the gender of given names; a last name has none.
+    A form of address says the sex of given names, 1 or -1; other names have 0.
     """
     words = F.split(raw, " ")
     male, female = (F.array(*[F.lit(t) for t in titles]) for titles in (MALE_TITLES, FEMALE_TITLES))
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(F.array_contains(male, title), "m").when(F.array_contains(female, title), "f").otherwise("x")
+    sex = F.when(F.array_contains(male, title), 1).when(F.array_contains(female, title), -1).otherwise(0)
     titles = F.array(*[F.lit(t) for t in OTHER_TITLES + MALE_TITLES + FEMALE_TITLES])
 
     def word(w: Column, i: Column) -> Column:
         script = F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
         last = i == F.size(words) - 1
-        role = F.concat(F.lit("name:"), script, F.lit(":"), F.when(last, "x").otherwise(gender))
-        return F.struct(F.when(~F.array_contains(titles, F.regexp_replace(w, r"\.$", "")), role).alias("kind"), w.alias("raw"))
+        name = F.when(~F.array_contains(titles, F.regexp_replace(w, r"\.$", "")), F.concat(F.lit("name:"), script))
+        return F.struct(name.alias("kind"), w.alias("raw"), F.when(last, 0).otherwise(sex).alias("sex"))
 
-    return F.when(kind == "person", F.transform(words, word)).otherwise(F.array(F.struct(kind.alias("kind"), raw.alias("raw"))))
+    whole = F.struct(kind.alias("kind"), raw.alias("raw"), F.lit(0).alias("sex"))
+    return F.when(kind == "person", F.transform(words, word)).otherwise(F.array(whole))
 
 
 def _number(key: str, i: Column, bound: Column | int) -> Column:
@@ -157,7 +158,7 @@ def _surrogate(key: str) -> Column:
 
     name = F.lit(None).cast("string")
     for (script, gender), endings in ENDINGS.items():
-        name = F.when(kind == f"name:{script}:{gender}", name_in(script, endings)).otherwise(name)
+        name = F.when((kind == f"name:{script}") & (F.col("gender") == gender), name_in(script, endings)).otherwise(name)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
@@ -190,24 +191,36 @@ def _shaped(kind: Column, raw: Column, made: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, made) for the distinct ``entities(kind, norm)``.
-
-    ``made`` is unique within a kind and no entity of the kind equals it. Each round
-    draws again for those that fail, all but the least of those that collide, with
-    equi-joins on the narrow entity table; only the number of failures reaches the
-    driver. A kind whose forms are too few for its entities stops with an error.
+    """(kind, norm, made) for the distinct ``entities(kind, norm)``, with ``sex`` if it is known.
+
+    ``made`` is unique within a kind and no entity of the kind equals it. All names of a
+    script are one kind, so a name keeps its surrogate as given name and surname and
+    after every form of address; its gender is that of most of its forms of address,
+    none if they are even. Each round draws again for those that fail, all but the least
+    of those that collide, with equi-joins on the narrow entity table; only the number
+    of failures reaches the driver. A kind whose forms are too few for its entities
+    stops with an error. Entities are hashed over the shuffle partitions before a draw.
     """
-    known = staged(entities.select("kind", "norm").distinct())
-    now = staged(known.withColumn("tries", F.lit(0)).withColumn("made", _surrogate(key)))
+    spark = entities.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sex = F.sum("sex") if "sex" in entities.columns else F.lit(0)
+    gender = F.when(sex > 0, "m").when(sex < 0, "f").otherwise("x").alias("gender")
+    columns = ["kind", "norm", "gender", "tries"]
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "kind", "norm").withColumn("made", _surrogate(key))
+
+    now = staged(drawn(entities.groupBy("kind", "norm").agg(gender).withColumn("tries", F.lit(0))))
+    known = now.select("kind", "norm")
     for _ in range(64):
         taken = now.groupBy("kind", "made").agg(F.min("norm").alias("owner"))
         real = known.select("kind", F.col("norm").alias("made"), F.lit(True).alias("real"))
         judged = now.join(taken, ["kind", "made"]).join(real, ["kind", "made"], "left")
-        judged = staged(judged.select("kind", "norm", "tries", "made", (F.col("real").isNotNull() | (F.col("norm") != F.col("owner"))).alias("bad")))
-        if judged.where("bad").limit(1).count() == 0:
+        judged = staged(judged.select(*columns, "made", (F.col("real").isNotNull() | (F.col("norm") != F.col("owner"))).alias("bad")))
+        if judged.where("bad").isEmpty():
             return judged.select("kind", "norm", "made")
-        again = judged.where("bad").select("kind", "norm", (F.col("tries") + 1).alias("tries")).withColumn("made", _surrogate(key))
-        now = staged(judged.where("not bad").select("kind", "norm", "tries", "made").unionByName(again.select("kind", "norm", "tries", "made")))
+        again = drawn(judged.where("bad").withColumn("tries", F.col("tries") + 1).select(*columns))
+        now = staged(judged.where("not bad").select(*columns, "made").unionByName(again.select(*columns, "made")))
     raise ValueError("a kind of entity has too few surrogates")
 
 
@@ -219,7 +232,7 @@ def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", secre
     shape of their local part and get a reserved domain; IPs move to a reserved block;
     cards keep their first digit and stay as (in)valid as they were; phones keep the
     first digit of the country code; all numbers keep their separators; names keep
-    script, gender and capitals.
+    script, gender and capitals, and one name has one surrogate after every title.
 
     Defined cases: null and empty texts stay as they are with no entity. Repeated
     rows get the same text. Rows with one key and different texts are told apart by the
@@ -243,10 +256,10 @@ def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", secre
     told = found.withColumn("type", kind_of(F.col("whole")))
     pieces = staged(
         told.select("id", "at", "type", F.posexplode(_units(F.col("type"), F.col("whole"))).alias("part", "u"))
-        .select("id", "at", "type", "part", "u.kind", "u.raw")
+        .select("id", "at", "type", "part", "u.kind", "u.raw", "u.sex")
         .withColumn("norm", _normal(F.col("kind"), F.col("raw")))
     )
-    made = surrogates(pieces.where("kind is not null").select("kind", "norm"), secret)
+    made = surrogates(pieces.where("kind is not null").select("kind", "norm", "sex"), secret)
     joined = pieces.join(made, ["kind", "norm"], "left").withColumn("new", F.when(F.col("made").isNull(), F.col("raw")).otherwise(_shaped(F.col("kind"), F.col("raw"), F.col("made"))))
     wholes = joined.groupBy("id", "at", "type").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda p: p["new"]), " ").alias("surrogate")

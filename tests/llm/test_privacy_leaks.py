@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -183,6 +184,25 @@ def test_surrogates_are_distinct_and_new(spark):
     assert len(rows) == 224 == len(new) and not old & new
 
 
+def test_one_name_has_one_surrogate_after_every_title(spark):
+    docs = [(1, "Mr. Alex Smith came."), (2, "Dr. Alex Smith came."), (3, "Mrs. Alex Smith came."), (4, "Mr. Alex Smith left."),
+            (5, "Mrs. Smith Alex left."), (6, "Mr. Dana Rome, Mrs. Dana Rome, Dr. Robin Rome")]
+    got = {r.doc_id: [e.surrogate.split()[1:] for e in r.entities] for r in pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[3] == got[4] and got[5] == [got[1][0][::-1]]
+    assert got[6][0] == got[6][1] and got[6][2][1] == got[6][0][1] and got[6][2][0] != got[6][0][0]
+
+
+def test_names_are_distinct_over_all_roles(spark):
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdeklmnoprst") for _ in range(6)).title() for _ in range(900)]
+    docs = [(i, f"{rng.choice(['Mr.', 'Mrs.', 'Dr.'])} {rng.choice(names)} {rng.choice(names)}") for i in range(2500)]
+    made = {}
+    for r in pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        for old, new in zip(docs[r.doc_id][1].split()[1:], r.entities[0].surrogate.split()[1:], strict=True):
+            assert made.setdefault(old, new) == new
+    assert len(set(made.values())) == len(made) and not set(made.values()) & set(made)
+
+
 def test_secrets_without_digits_in_texts_without_digits(spark):
     keys = ["AKIAQWERTYUIOPAS", "ASIAQWERTYUIOPAS", *(f"{p}AbCdEfGhIjKlMnOpQrSt" for p in ("sk-", "pk_", "ghp_", "gho_", "xoxb-", "xoxp-"))]
     docs = [(i, f"token {k} in use") for i, k in enumerate(keys)] + [(100 + i, f"token {k} in use at 9") for i, k in enumerate(keys)]
