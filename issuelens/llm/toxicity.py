@@ -58,6 +58,15 @@ class Words:
     seq: np.ndarray
     starts: np.ndarray
     text_of: np.ndarray
+    #: (first word, n-gram, place and window) of each block the texts were cut in.
+    blocks: tuple[tuple[int, int, int, int], ...] = ((0, 0, 0, 0),)
+
+    def of_block(self, k: int) -> Words:
+        """The words and windows of one block alone, as views."""
+        end = (len(self.buckets), len(self.grams), len(self.seq), len(self.starts))
+        (w, g, s, n), (w2, g2, s2, n2) = self.blocks[k], [*self.blocks, end][k + 1]
+        seq = np.where(self.seq[s:s2] == len(self.buckets), w2, self.seq[s:s2]) - w
+        return Words(self.buckets[w:w2], self.grams[g:g2], self.gram_at[w:w2] - g, seq, self.starts[n:n2] - s, self.text_of[n:n2])
 
     @property
     def windows(self) -> np.ndarray:
@@ -119,15 +128,16 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 def all_windows(texts: list[str | None]) -> Words:
     """``cut_windows`` of many texts, cut block by block to bound memory."""
-    parts, words, grams, at, before = [], 0, 0, 0, 0
+    parts, blocks, words, grams, at, windows, before = [], [], 0, 0, 0, 0, 0
     for block in _blocks(texts):
         w = cut_windows(block)
         seq = np.where(w.seq == len(w.buckets), -1, w.seq + words).astype(np.int32)
-        parts.append((w.buckets, w.grams, w.gram_at + grams, seq, w.starts + at, w.text_of + before))
-        words, grams, at, before = words + len(w.buckets), grams + len(w.grams), at + len(seq), before + len(block)
+        parts.append((w.buckets.astype(np.int32), w.grams.astype(np.int32), w.gram_at + grams, seq, (w.starts + at).astype(np.int32), (w.text_of + before).astype(np.int32)))
+        blocks.append((words, grams, at, windows))
+        words, grams, at, windows, before = words + len(w.buckets), grams + len(w.grams), at + len(seq), windows + len(w.starts), before + len(block)
     buckets, gram_list, gram_at, seq, starts, text_of = (np.concatenate(x) for x in zip(*parts, strict=True))
     seq[seq < 0] = words
-    return Words(buckets, gram_list, gram_at, seq, starts, text_of)
+    return Words(buckets, gram_list, gram_at, seq, starts, text_of, tuple(blocks))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -154,10 +164,15 @@ def new_parameters(seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def word_vectors(p: dict, w: Words) -> np.ndarray:
-    sums = np.add.reduceat(p["gram"][w.grams], w.gram_at, axis=0) if len(w.gram_at) else np.zeros((0, DIM), np.float32)
-    length = np.diff(np.append(w.gram_at, len(w.grams)))[:, None].astype(np.float32)
-    return p["word"][w.buckets] + sums / np.maximum(length, 1)
+def word_vectors(p: dict, w: Words, step: int = 1 << 14) -> np.ndarray:
+    """Both views of every distinct word added up, some thousand words at a time."""
+    out = p["word"][w.buckets]
+    ends = np.append(w.gram_at, len(w.grams))
+    for low in range(0, len(w.gram_at), step):
+        at = ends[low : low + step + 1]
+        sums = np.add.reduceat(p["gram"][w.grams[at[0] : at[-1]]], at[:-1] - at[0], axis=0)
+        out[low : low + step] += sums / np.maximum(np.diff(at)[:, None], 1).astype(np.float32)
+    return out
 
 
 def _inputs(p: dict, vectors: np.ndarray) -> np.ndarray:
@@ -270,20 +285,26 @@ def _slices(p: dict, inputs: np.ndarray, seq: np.ndarray) -> np.ndarray:
 
 
 def window_logits(p: dict, w: Words, block: int = 2048) -> np.ndarray:
-    """Logits of all windows, some thousand places at a time."""
-    inputs = _inputs(p, word_vectors(p, w))
-    last = len(w.seq) - WINDOW + 1
-    parts = [_slices(p, inputs, w.seq[i : min(i + block, last) + WINDOW - 1]) for i in range(0, last, block)]
-    return np.concatenate(parts)[w.starts] if parts else np.zeros(0, np.float32)
+    """Logits of all windows, block by block of the texts and some thousand places at a time."""
+    out = []
+    for k in range(len(w.blocks)):
+        one = w.of_block(k) if len(w.blocks) > 1 else w
+        inputs, last = _inputs(p, word_vectors(p, one)), len(one.seq) - WINDOW + 1
+        parts = [_slices(p, inputs, one.seq[i : min(i + block, last) + WINDOW - 1]) for i in range(0, last, block)]
+        if parts:
+            out.append(np.concatenate(parts)[one.starts])
+    return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
 def first_scores(w: Words, label: np.ndarray) -> np.ndarray:
     """For every window its word with the greatest log odds of standing in a toxic document."""
     texts = np.zeros(len(w.seq), np.int64)
     texts[w.starts] = w.text_of
-    texts = np.maximum.accumulate(texts)
+    np.maximum.accumulate(texts, out=texts)
     word = np.append(w.buckets, WORDS)[w.seq]
-    once = np.unique(texts * (WORDS + 1) + word)
+    texts *= WORDS + 1
+    texts += word
+    once = np.unique(texts)
     y = label[once // (WORDS + 1)] == 1
     found = [np.bincount((once % (WORDS + 1))[y == side], minlength=WORDS + 1) for side in (True, False)]
     share = [(n + 0.5) / ((label == side).sum() + 1) for n, side in zip(found, (1, 0), strict=True)]
