@@ -16,7 +16,7 @@ from issuelens.llm.langid import UNKNOWN, identify, train
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import near_duplicates
 from issuelens.llm.packing import pack
-from issuelens.llm.staging import staged, table
+from issuelens.llm.staging import bounded_batches, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has a lower calibrated probability is rejected.
@@ -24,14 +24,22 @@ MIN_LANG_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a likely language; fills null ``lang``."""
+    """Drops documents without a letter or without a likely language; fills null ``lang``.
+
+    Null and empty texts go. Whole texts of any length count; rows that repeat a key are
+    judged one by one. Columns other than those of documents are not carried, here and below.
+    """
+    bounded_batches(spark)
     found = identify(docs, train(docs))
     keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANG_SCORE)
     return found.where(keep).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later occurrences of repeated lines; drops documents of which nothing stays."""
+    """Cuts later occurrences of repeated lines; drops documents of which nothing stays.
+
+    Null, empty and long texts, ties and repeated rows are treated as ``dedupe_lines`` says.
+    """
     cut = dedupe_lines(docs)
     left = (F.col("n_removed") == 0) | (F.trim("text") != "")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -39,17 +47,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group, by shingles of five words."""
+    """Keeps the document with the smallest id of every group, by shingles of five words.
+
+    A text without words stays; rows that repeat the smallest id all stay.
+    """
+    bounded_batches(spark)
     return near_duplicates(docs, words=5, percent=80).where("kept").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within the edit bound."""
+    """Drops documents that hold a benchmark item within the edit bound.
+
+    Null and empty texts hold none and stay; an empty benchmark drops nothing.
+    """
+    bounded_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens.
+
+    A null or empty text is its closing id alone; texts of any length are cut.
+    """
+    bounded_batches(spark)
     return pack(docs)
 
 

@@ -40,6 +40,18 @@ def dropped(*superseded: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lets Python workers of this session read texts in batches of about ``size`` bytes.
+
+    Spark's default counts 10,000 rows first, which is much memory where texts are long.
+    A bound that the session sets below ``size`` stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(name, "64m")
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > size:
+        spark.conf.set(name, size)
+
+
 def thinned(key: Column, share: Column) -> Column:
     """True for about ``share`` of the rows, chosen by a hash of the key."""
     luck = F.shiftrightunsigned(F.xxhash64(F.lit("thin"), key), 11) / F.lit(float(1 << 53))
