@@ -314,6 +314,21 @@ def company_name(spark, sf):
     return sections.company_name(cover).select("doc_id", "company_name")
 
 
+@query("issuer_name", r"""
+WITH t AS (SELECT s_suppkey AS doc_id, 1 + s_suppkey % 12 AS name_page, 'Supplier ' || right(s_name, 9) || ' Limited' AS company_name FROM supplier WHERE s_suppkey % 5 <> 2)
+SELECT doc_id, company_name, name_page::INT AS name_page FROM t""")
+def issuer_name(spark, sf):
+    """The name stands on any of twelve pages, sometimes again later, and on none for every fifth supplier."""
+    s = table(spark, sf, "supplier")
+    name = F.regexp_replace("s_name", "#", " ")
+    own = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.upper(name), F.lit(" LIMITED"))).otherwise(F.concat(name, F.lit(" Limited")))
+    pages = s.select("s_suppkey", own.alias("own"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("n"))
+    later = F.when((F.col("n") > 1 + F.col("s_suppkey") % 12) & (F.col("s_suppkey") % 5 != 2), "OTHER HOLDINGS LIMITED").otherwise("Lead Bank Limited 1x")
+    line = F.when((F.col("n") == 1 + F.col("s_suppkey") % 12) & (F.col("s_suppkey") % 5 != 2), F.col("own")).otherwise(later)
+    text = F.concat_ws("\n", F.lit("red herring"), line, F.lit("a page of text"))
+    return sections.issuer_names(pages.select(F.col("s_suppkey").alias("doc_id"), "n", text.alias("text")))
+
+
 @query("reservation", r"""
 WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS txt FROM pages),
 g AS (SELECT page_id, TRY_CAST(nullif(regexp_extract(txt, 'missing ([0-9.]+)', 1), '') AS DOUBLE) AS a,

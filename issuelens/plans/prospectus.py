@@ -40,7 +40,7 @@ def analyse(spark: SparkSession, pages: DataFrame, toc: DataFrame, cells: DataFr
         *[F.max(F.when(F.col("key") == k, F.col("text"))).alias(k) for k in CHAPTER_TEXTS],
         F.max(F.when(F.col("key") == "risk_factors", F.col("page_start"))).alias("risk_page"),
         F.max(F.when(F.col("key") == "litigation", F.col("page_start"))).alias("litigation_page"))
-    covers = sections.company_name(pages.filter("n = 1")).select("doc_id", "company_name")
+    covers = sections.issuer_names(pages).select("doc_id", "company_name")
     pricing = entities.page_ranges(spans, ["basis_for_offer_price"])
     priced = _cells_within(cells, pricing)
     capital = _cells_within(cells, entities.page_ranges(spans, ["capital_structure"]))

@@ -248,3 +248,12 @@ def company_name(first_pages: DataFrame, text: str = "text") -> DataFrame:
     caps = extract(F.col(text), "(?m)" + vocab.COMPANY_CAPS)
     mixed = extract(F.col(text), "(?m)" + vocab.COMPANY_MIXED)
     return first_pages.withColumn("company_name", F.trim(F.initcap(F.coalesce(caps, mixed))))
+
+
+def issuer_names(pages: DataFrame) -> DataFrame:
+    """(doc_id, company_name, name_page): the name on the first page of a document that has one.
+
+    Names are cut from each page first, so the grouping moves no text.
+    """
+    named = company_name(pages).select("doc_id", "n", "company_name").filter(F.col("company_name").isNotNull())
+    return named.groupBy("doc_id").agg(F.min_by("company_name", "n").alias("company_name"), F.min("n").alias("name_page"))

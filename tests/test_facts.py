@@ -165,6 +165,14 @@ def test_issue_details(spark):
     assert sections.company_name(pages).first().company_name == "River Grain Limited"
 
 
+def test_the_issuer_is_named_on_any_page(spark):
+    rows = [("a", 1, "a scan"), ("a", 30, "front\nRIVER GRAIN LIMITED\n"), ("a", 31, "OTHER FOODS LIMITED"), ("b", 1, None), ("b", 2, ""),
+            ("c", 2, "Oak Mills Limited"), ("c", 4, "OAK HOLDINGS LIMITED")]
+    pages = spark.createDataFrame(rows, "doc_id string, n int, text string")
+    got = {r.doc_id: (r.company_name, r.name_page) for r in sections.issuer_names(pages).collect()}
+    assert got == {"a": ("River Grain Limited", 30), "c": ("Oak Mills Limited", 2)}
+
+
 def test_sections_end_to_end(spark):
     pages = spark.createDataFrame([
         ("d", 1, "CONTENTS\nRISK FACTORS ........ 2\nOUR BUSINESS ........ 3"), ("d", 2, "front matter"),
