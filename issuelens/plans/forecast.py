@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.scalars import clip, first_match, log1p_pos, lookup, sigmoid
+from ..functions.scalars import clip, first_match, log1p_pos, lookup
 
 # --- fixed values: regimes of the rule forecast (by score, not overvalued) ----
 REGIMES = [
@@ -118,11 +118,6 @@ def score_linear(df: DataFrame, coef: Mapping[str, float], intercept: float,
     return out
 
 
-def direction_probability(df: DataFrame, coef: Mapping[str, float], intercept: float,
-                          medians: Mapping[str, float] | None = None) -> Column:
-    return F.round(sigmoid(score_linear(df, coef, intercept, medians)), 2)
-
-
 def exit_call(r6: Column, r12: Column, r24: Column) -> list[Column]:
     """Best predicted horizon, 'avoid' when none is profitable, NULL when none is known."""
     best = F.greatest(r6, r12, r24)
@@ -137,27 +132,3 @@ def entry_call(bottom: Column, session: Column) -> list[Column]:
         .when(bottom.isNotNull(), "depth is predictable, timing is not")
     return [F.round(bottom, 1).alias("expected_bottom_pct"), at.alias("expected_bottom_session"),
             read.alias("entry_read")]
-
-
-def horizon_forecast(df: DataFrame, models: Mapping[str, Mapping[str, object]],
-                     targets: Sequence[str], carry: str = "listing_gain_day1") -> DataFrame:
-    """Applies the fitted model of each target by variant.
-
-    ``models[variant][target]`` is a fitted Spark ML model with a ``prediction``; the
-    variant is 'post' where the day-1 gain is known. Post-listing return heads predict
-    the correction to the day-1 gain, which is added back. A missing head is NULL.
-    """
-    known = df.filter(F.col(carry).isNotNull()), df.filter(F.col(carry).isNull())
-    parts = []
-    for variant, part in zip(("post", "pre"), known):
-        out = part.withColumn("variant", F.lit(variant))
-        for t in targets:
-            model = models.get(variant, {}).get(t)
-            if model is None:
-                out = out.withColumn(t, F.lit(None).cast("double"))
-                continue
-            keep = out.columns
-            back = F.col(carry) if variant == "post" and t.startswith("ret_") else F.lit(0.0)
-            out = model.transform(out).select(*keep, (F.col("prediction") + back).alias(t))
-        parts.append(out)
-    return parts[0].unionByName(parts[1])
