@@ -513,6 +513,19 @@ def scalar_date(spark, sf):
     return o.select("o_orderkey", F.date_format(S.parse_date(text), "yyyy-MM-dd").alias("parsed"), S.fiscal_label(head).alias("fiscal"))
 
 
+@query("scalar_day_first", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed FROM orders""")
+def scalar_day_first(spark, sf):
+    """Order dates in seven spellings, all read with the day first; an eighth is no date."""
+    o = table(spark, sf, "orders")
+    spelt = [F.date_format("o_orderdate", f) for f in S.DAY_FIRST]
+    place = F.col("o_orderkey") % 8
+    text = F.lit("13/13/2020")
+    for i, c in enumerate(spelt):
+        text = F.when(place == i, F.upper(c) if i % 2 else F.concat(F.lit(" "), c)).otherwise(text)
+    return o.select("o_orderkey", F.date_format(S.parse_day_first(text), "yyyy-MM-dd").alias("parsed"))
+
+
 @query("scalar_band", """
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity >= 25 THEN 20.0 WHEN l_quantity >= 15 THEN 15.0 WHEN l_quantity >= 8 THEN 10.0
     WHEN l_quantity >= 3 THEN 5.0 ELSE 0.0 END AS points,

@@ -65,6 +65,16 @@ def parse_date(c: Column, fmt: str = "dd-MMM-yyyy") -> Column:
     return F.try_to_date(c, fmt)
 
 
+#: Spellings of a date that put the day before the month, and the ISO form.
+DAY_FIRST = ("d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-MM-dd")
+
+
+def parse_day_first(c: Column) -> Column:
+    """Date of a text in any of ``DAY_FIRST``; NULL for everything else, month-first dates too."""
+    text = F.initcap(F.trim(c))
+    return F.coalesce(*[F.try_to_date(text, f) for f in DAY_FIRST])
+
+
 def clip(c: Column, lo: float | None, hi: float | None) -> Column:
     """Winsorise; NULL stays NULL (``least``/``greatest`` would skip it)."""
     out = c

@@ -65,3 +65,13 @@ def test_the_last_liability_heading_names_bare_borrowings(spark):
     df = spark.createDataFrame(pages, "doc_id long, n int, text string")
     got = sorted((r.doc_id, r.page, r.fiscal_label, r.metric, r.value) for r in borderless_facts(carry_headers(df)).collect())
     assert got == [(1, 1, "FY23", "borrowings_lt", 2.0), (1, 1, "FY23", "borrowings_st", 4.0), (1, 1, "FY24", "borrowings_lt", 1.0), (1, 1, "FY24", "borrowings_st", 3.0)]
+
+
+def test_dates_are_read_day_first(spark):
+    from issuelens.functions.scalars import parse_day_first
+
+    want = {"05/03/2024": "2024-03-05", "5-3-2024": "2024-03-05", "05.03.2024": "2024-03-05", "5-Mar-2024": "2024-03-05", " 05-MAR-2024 ": "2024-03-05",
+            "5 march 2024": "2024-03-05", "2024-03-05": "2024-03-05", "25/12/2023": "2023-12-25", "12/25/2023": None, "tba": None, "": None, None: None, "31-02-2024": None}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    got = {r.t: r.d and str(r.d) for r in df.select("t", parse_day_first(F.col("t")).alias("d")).collect()}
+    assert got == want
