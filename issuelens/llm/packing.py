@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.llm.staging import staged
+from issuelens.llm.staging import staged, tidy
 
 CAPACITY = 1024
 FINE = 16
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, worker long, bin long, offset long, places long" + ", ids array<int>" * with_ids
     run = _pieces(path or tokenizer_path(), capacity, key, end, with_ids)
-    pieces = staged(docs.select(key, F.col(text).alias("text")).mapInArrow(run, schema))
+    pieces = staged(docs.select(key, F.col(text).alias("text")).mapInArrow(tidy(run), schema))
     left_open = (
         pieces.groupBy("worker", "bin", "places").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n")).where("n < places")
     )

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +57,25 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(name, size)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, then what it freed goes back to the system.
+
+    Spark uses Python workers again, and a worker's allocators keep freed memory, so
+    tables and long texts of one stage would count against the executor in all later ones.
+    """
+
+    @wraps(run)
+    def through(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
+
+    return through
+
+
 def thinned(key: Column, share: Column) -> Column:
     """True for about ``share`` of the rows, chosen by a hash of the key."""
     luck = F.shiftrightunsigned(F.xxhash64(F.lit("thin"), key), 11) / F.lit(float(1 << 53))

@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 BLOCK_BYTES = 1 << 22
+#: Texts hashed together; the tables of powers that a worker keeps are 16 times as large.
+HASHED_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -54,7 +56,7 @@ def word_hashes(texts: Sequence[str | None], apart: np.ndarray = WHITE) -> Itera
     """Word hashes of each text in order; an empty array for a null text.
 
     ``apart`` marks the bytes between words; it must include the line feed.
-    Texts are hashed in blocks of about ``BLOCK_BYTES``, so memory stays bounded
+    Texts are hashed in blocks of about ``HASHED_BYTES``, so memory stays bounded
     however many texts a batch holds.
     """
     block: list[bytes] = []
@@ -62,7 +64,7 @@ def word_hashes(texts: Sequence[str | None], apart: np.ndarray = WHITE) -> Itera
     for text in texts:
         block.append((text or "").encode("utf-8", "replace"))
         held += len(block[-1]) + 1
-        if held >= BLOCK_BYTES:
+        if held >= HASHED_BYTES:
             yield from _hash_block(block, apart)
             block, held = [], 0
     if block:

@@ -164,3 +164,23 @@ def test_packing_of_odd_rows(odd_docs, no_docs, odd_rows, reference_ids):
         want[i] += len(reference_ids(t)) + 1
     assert by == want
     assert pack(no_docs).count() == 0
+
+
+def test_tidy_tasks_pass_all_batches_through():
+    from issuelens.llm.staging import tidy
+
+    def run(batches):
+        for b in batches:
+            yield 2 * b
+
+    assert list(tidy(run)(iter([1, 2, 3]))) == [2, 4, 6] and list(tidy(run)(iter([]))) == []
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    from issuelens.llm import wordhash
+
+    texts = ["one two three", None, "", "Straße " * 500, "two three four", " \t"]
+    whole = [h.tolist() for h in wordhash.word_hashes(texts)]
+    monkeypatch.setattr(wordhash, "HASHED_BYTES", 8)
+    assert [h.tolist() for h in wordhash.word_hashes(texts)] == whole
+    assert whole[0][1:] == whole[4][:2] and whole[1] == whole[2] == whole[5] == []
