@@ -14,7 +14,7 @@ from ..plans.facts import metric_present, wide_years
 from ..plans.models import coverage_gate
 from ..plans.sections import low_text
 from ..sources import landing
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources.schemas import REPORT
 from ..sources.sinks import append_history, compact_report, signal_map, site_payload, write_tables
 from .base import PAGES, PRICES, R, SUBSCRIPTION, WIDE, day, doc_pages, facts, prices, query, subscription, table, texts
@@ -75,15 +75,16 @@ SELECT CAST(s_suppkey AS VARCHAR) AS cg_ipo_id, s_name AS company, s_acctbal AS
 def report_scan(spark, sf):
     """Suppliers written as pretty-printed reports, a folder each, every ninth broken off; the whole ones read back."""
     folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
-    s = table(spark, sf, "supplier")
+    s = spread(table(spark, sf, "supplier"), "s_suppkey")
     score = F.struct(F.col("s_nationkey").cast("double").alias("score"))
     report = F.struct(
         F.struct(F.col("s_acctbal").alias("overall"), F.create_map(F.lit("growth"), score).alias("categories")).alias("scoring"),
         F.struct(F.col("s_name").alias("company_name")).alias("meta"), F.concat(F.lit("call "), "s_name").alias("verdict"))
     body = F.to_json(report, {"pretty": "true"})
     broken = F.when(F.col("s_suppkey") % 9 == 4, F.expr("left(body, length(body) div 2)")).otherwise(F.col("body"))
+    # A folder costs far more than its few bytes: all cores make them, and each task moves its own into place.
     s.withColumn("body", body).select(broken.alias("value"), F.col("s_suppkey").alias("id")) \
-        .write.partitionBy("id").text(folder)
+        .write.partitionBy("id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     read = landing.read_reports(spark, folder, r"/id=([^/]+)/")
     return read.select("cg_ipo_id", F.col("meta.company_name").alias("company"), F.col("scoring.overall").alias("overall"),
                        F.col("scoring.categories")["growth"]["score"].alias("growth"), "verdict")
