@@ -64,15 +64,20 @@ def median_map(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return column_medians(df, names).agg(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("m"))
 
 
-def head_rows(frame: DataFrame, spec: Horizons, variant: str, target: str, splits: int) -> DataFrame:
-    """(fold, features, y, base, fix, up) of the rows that bear the target, written once.
+def folded_rows(frame: DataFrame, spec: Horizons, target: str, splits: int) -> DataFrame:
+    """Rows that bear the target with their fold, written once for both variants."""
+    names = spec.names("post")
+    rows = frame.filter(F.col(target).isNotNull()).select(spec.day, spec.row_id, F.col(target).alias("y"), *[c for c in names if c != target])
+    return materialise(time_folds(materialise(rows), spec.day, spec.row_id, splits=splits))
+
+
+def head_rows(folded: DataFrame, spec: Horizons, variant: str, target: str) -> DataFrame:
+    """(fold, features, y, base, fix, up) of the folded rows of the target, written once.
 
     Medians come from the rows that every fold trains on, the block before the first
     scored one, so no fold sees a statistic of rows it predicts.
     """
     names = spec.names(variant)
-    rows = frame.filter(F.col(target).isNotNull()).select(spec.day, spec.row_id, F.col(target).alias("y"), *[c for c in names if c != target])
-    folded = time_folds(rows, spec.day, spec.row_id, splits=splits)
     ready = _filled(folded, median_map(folded.filter("fold = 0"), names).scalar(), names).withColumn("base", spec.base(variant, target).cast("double"))
     packed = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
     up = (F.col("y") > 0).cast("int")
@@ -161,12 +166,15 @@ def train_horizons(frame: DataFrame, spec: Horizons, splits: int = 5, min_rows:
     counts = frame.filter(F.col(spec.day).isNotNull()).agg(*[F.count(t).alias(t) for t in (*spec.returns, *spec.others)]).first()
     enough = lambda names: tuple(t for t in names if counts[t] >= min_rows)
     spec = Horizons(spec.inputs, enough(spec.returns), enough(spec.others), spec.carry, spec.day, spec.row_id)
-    rows = {(v, t): head_rows(frame, spec, v, t, splits) for v in VARIANTS for t in (*spec.returns, *spec.others)}
+    targets = (*spec.returns, *spec.others)
+    folded = dict(zip(targets, _together(spark, [lambda t=t: folded_rows(frame, spec, t, splits) for t in targets], parallelism), strict=True))
+    packs = [(v, t) for v in VARIANTS for t in targets]
+    rows = dict(zip(packs, _together(spark, [lambda v=v, t=t: head_rows(folded[t], spec, v, t) for v, t in packs], parallelism), strict=True))
     turns = [(head, fold) for head in spec.heads() for fold in range(1, splits + 1)]
     found = _together(spark, [lambda h=h, k=k: _fold_score(rows[h[0], h[1]], h[2], k, settings) for h, k in turns], parallelism)
     scored = [(*head, *score) for (head, _), score in zip(turns, found, strict=True) if score]
     bars = baselines(rows, spec) if rows else spark.createDataFrame([], "variant string, target string, kind string, fold int, n long, base_mae double")
-    folds = spark.createDataFrame(scored, _FOLDS).join(bars.drop("n"), [*_KEYS, "fold"])
+    folds = materialise(spark.createDataFrame(scored, _FOLDS).join(bars.drop("n"), [*_KEYS, "fold"]))
     size = skill_gate(cv_metrics(folds.filter("kind = 'size'"), keys=_KEYS))
     direction = skill_gate(cv_metrics(folds.filter("kind = 'direction'"), higher_is_better=True, keys=_KEYS))
     n_scored = folds.groupBy(*_KEYS).agg(F.sum("n").alias("n_scored"))

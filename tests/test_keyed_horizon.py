@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from issuelens.plans import horizon
 from issuelens.plans.horizon import Horizons, horizon_reads, load_heads, train_horizons
 from issuelens.sources.keyed import KeyedTable, newest
 
@@ -143,3 +144,10 @@ def test_targets_without_enough_rows_have_no_head(issues):
     few = issues.withColumn("bottom_12m_pct", F.when(F.col("id") < 30, F.col("bottom_12m_pct")))
     out = train_horizons(few, SPEC, maxIter=2)
     assert {r.target for r in out.metrics.collect()} == {"ret_6m"}
+
+
+def test_folds_of_a_target_are_found_once_for_both_variants(issues, monkeypatch):
+    found, plain = [], horizon.time_folds
+    monkeypatch.setattr(horizon, "time_folds", lambda df, *a, **k: found.append(1) or plain(df, *a, **k))
+    train_horizons(issues, SPEC, maxIter=1)
+    assert len(found) == 2
