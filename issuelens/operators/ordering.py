@@ -167,6 +167,25 @@ def global_index(df: DataFrame, day: str, row_id: str, name: str = "idx",
 CELLS = 1_000
 
 
+#: Tasks' worth of salts that the rows of large groups are dealt to.
+SALTS = 1_009
+
+
+def _marked(rows: DataFrame, stats: DataFrame, keys: Sequence[str], small: int) -> DataFrame:
+    """``rows`` with the bracket of their group, no large group in one task.
+
+    There are fewer large groups than rows by a factor of ``small``, so their brackets
+    are broadcast; only rows of small groups meet theirs by key.
+    """
+    names = ["__n", "__lo", "__hi"]
+    large = stats.filter(F.col("__n") > small).select(*keys, *[F.col(c).alias(f"{c}l") for c in names])
+    few = stats.filter(F.col("__n") <= small).select(*keys, F.lit(0).cast("bigint").alias("__salt"), *[F.col(c).alias(f"{c}s") for c in names])
+    salt = F.when(F.col("__nl").isNotNull(), F.pmod(F.xxhash64("__v", F.spark_partition_id()), F.lit(SALTS)) + 1).otherwise(0)
+    dealt = null_safe_join(rows, F.broadcast(large), keys, "left").withColumn("__salt", salt)
+    both = null_safe_join(dealt, few, [*keys, "__salt"], "left")
+    return both.select(*keys, "__v", *[F.coalesce(f"{c}l", f"{c}s").alias(c) for c in names])
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5,
                    name: str = "median", small: int = 5_000) -> DataFrame:
     """Exact interpolated quantile per group, safe for groups of any size.
@@ -188,7 +207,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
     stats = stats.select(*keys, "__n", F.when(whole, F.col("__min")).otherwise(F.get("__b", F.lit(0))).alias("__lo"),
                          F.when(whole, F.col("__max")).otherwise(F.get("__b", F.lit(1))).alias("__hi"))
     if keys:
-        marked = null_safe_join(rows, stats, keys)
+        marked = _marked(rows, stats, keys, small)
     else:
         marked = rows.withColumn("__s", stats.select(F.struct("__n", "__lo", "__hi")).scalar()) \
             .select("__v", "__s.*")
