@@ -302,9 +302,12 @@ _LFIND = """lf AS (SELECT o_custkey AS doc_id, l_returnflag || ' line ' || l_lin
 
 def _line_findings(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    top = F.max("l_quantity")
-    return li.groupBy(F.col("o_custkey").alias("doc_id"), F.concat("l_returnflag", F.lit(" line "), F.col("l_linenumber").cast("string")).alias("title")).agg(
-        F.min(F.col("l_linenumber") * 10 + F.ascii("l_returnflag")).alias("ord"),
+    # Numbers first: a maximum of texts would sort every line, so the flag is a key until few rows are left.
+    per_flag = li.groupBy(F.col("o_custkey").alias("doc_id"), F.concat("l_returnflag", F.lit(" line "), F.col("l_linenumber").cast("string")).alias("title"), "l_returnflag").agg(
+        F.min(F.col("l_linenumber") * 10 + F.ascii("l_returnflag")).alias("ord"), F.max("l_quantity").alias("top"))
+    top = F.max("top")
+    return per_flag.groupBy("doc_id", "title").agg(
+        F.min("ord").alias("ord"),
         F.when(top > 49, "critical").when(top > 45, "high").otherwise("medium").alias("severity"),
         F.max("l_returnflag").alias("risk_type"))
 
