@@ -206,6 +206,44 @@ def test_risk_findings_rank_and_score(spark, facts_df):
     assert len(heat) == 14 and heat["promoter_pledging"] == ("none", 0) and heat["litigation"][1] == 2
 
 
+def test_evidence_begins_where_the_whole_pattern_matches(spark):
+    """Context as by a search from the start of the text, by a pattern that never sees more than a few sentences."""
+    from issuelens.functions import vocab
+    from issuelens.functions.scalars import ci, snippet
+
+    far, near = "ab " * 70, "x" * 30
+    core = "the market is highly  competitive"
+    texts = [core, f"{far}{core}{far}", f"One. Two\n{near} {core}. {far}", f"{far}.{near}{core} and highly competitive, {near}.", f"{far}\n{core}\n{far}. {core}",
+             f"é😀{near}😀 {'😀' * 119}Intensely\tcompetitive{far}", f"highly competitive {near} highly competitive {far} highly competitive", f"{'.' * 200}highly competitive..",
+             f"{near}. Highly competitive. {near}. Highly competitive. "]
+    pattern = dict((k, p) for k, p, _, _ in vocab.RISK_PATTERNS)["competition"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    match = F.regexp_extract("t", ci(pattern), 0)
+    want = snippet(F.col("t"), F.position(match, F.col("t")), F.length(match))
+    got = risks._with_context(F.col("t"), pattern, lambda start, found: F.struct(found.alias("m"), snippet(F.col("t"), start, F.length(found)).alias("s")))
+    for r in df.select("i", match.alias("m"), want.alias("s"), got.alias("got")).collect():
+        assert (r.i, r.got.m, r.got.s) == (r.i, r.m, r.s) and r.m
+
+
+def test_evidence_is_searched_at_its_core_only(spark):
+    """A long text without stops: tried at each character, the context takes many seconds."""
+    import time
+
+    text = "abc de " * 1_000_000 + "a highly competitive trade. Negative working capital"
+    profile = spark.createDataFrame([("d", text)], "doc_id string, risk_text string").select(
+        "doc_id", F.expr("array(named_struct('fy', 24, 'total_debt', 1d, 'net_worth', null, 'current_assets', null, 'current_liabilities', null, 'cfo', 1d))").alias("years"),
+        "risk_text", F.lit("").alias("business_text"), F.lit(20).alias("risk_page"), F.expr("cast(map() as map<string,int>)").alias("source_pages"),
+        F.lit(0).alias("criminal"), F.lit(0).alias("total_cases"), F.lit(1).alias("litigation_page"), F.lit(False).alias("pledged"),
+        F.lit(None).cast("string").alias("pledge_evidence"), F.lit(None).cast("int").alias("pledge_page"))
+    found = risks.risk_findings(profile)
+    found.filter("false").collect()
+    began = time.time()
+    got = {r.risk_type: r.evidence_text for r in found.collect()}
+    assert set(got) == {"competition", "working_capital"} and got["working_capital"].strip() == "Negative working capital"
+    assert "highly competitive trade" in got["competition"]
+    assert time.time() - began < 25
+
+
 def test_title_similarity():
     assert sections.token_set_ratio("risk factors", "internal risk factors") == 100.0
     assert sections.token_set_ratio("objects of the offer", "objects of the issue") > 82
