@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.scalars import clip, log10_floor1, log1p_pos, num
+from ..functions.scalars import clip, log10_floor1, log1p_pos, lookup, num
 from ..operators.ordering import exact_quantile, time_folds
-from ..session import materialise
+from ..session import written
 
 # --- fixed values: model settings -------------------------------------------
 MIN_COVERAGE = 0.5
@@ -103,12 +103,12 @@ def standardise(df: DataFrame, cols: Sequence[str], train: Column | None = None)
 
 # ------------------------------------------------------------------ linear heads
 
-def gram(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
-    """XᵀX (upper triangle, with the intercept) and Xᵀy as one aggregate row."""
+def gram(df: DataFrame, cols: Sequence[str], y: str, by: Sequence[str] = ()) -> DataFrame:
+    """XᵀX (upper triangle, with the intercept) and Xᵀy as one aggregate row, or one for each group of ``by``."""
     names = ["one", *cols]
     val = lambda c: F.lit(1.0) if c == "one" else F.col(c)
     sums = [F.sum(val(a) * val(b)).alias(f"{a}__{b}") for i, a in enumerate(names) for b in names[i:]]
-    return df.agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *sums,
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *sums,
                   *[F.sum(val(c) * F.col(y)).alias(f"{c}__y") for c in names])
 
 
@@ -185,9 +185,30 @@ def forward_chain(df: DataFrame, fold: str, fit_predict, splits: int = 5) -> Dat
     return out
 
 
-def prepared(df: DataFrame, cols: Sequence[str], train: Column) -> DataFrame:
-    """Imputed and standardised inputs, statistics of the training rows only."""
-    return standardise(impute_median(df, cols, train), cols, train)
+Learned = Mapping[int, Mapping[str, float]]
+
+
+def prepared(df: DataFrame, cols: Sequence[str], k: Column, medians: Learned, means: Learned, sds: Learned) -> DataFrame:
+    """Imputed and standardised inputs, by the numbers that split ``k`` learned of each column."""
+    per = lambda learned, c: lookup(k, {i: of[c] for i, of in learned.items()})
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), per(medians, c)) for c in cols})
+    return filled.withColumns({c: (F.col(c) - per(means, c)) / per(sds, c) for c in cols})
+
+
+def learn_splits(past: DataFrame, cols: Sequence[str]) -> tuple[Learned, Learned, Learned]:
+    """Exact medians, means and population deviations of the rows of each split of ``past(k, ...)``.
+
+    A column without values has the median 0, a constant one the deviation 1. All splits are
+    learned in the same passes; a few numbers a split reach the driver.
+    """
+    splits = [r.k for r in past.select("k").distinct().collect()]
+    medians = {k: dict.fromkeys(cols, 0.0) for k in splits}
+    long = past.select("k", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x"))
+    for r in exact_quantile(long.select("k", "x.*"), ["k", "name"], "v", 0.5, "m").collect():
+        medians[r.k][r["name"]] = float(r.m)
+    whole = past.withColumns({c: F.coalesce(F.col(c).cast("double"), lookup(F.col("k"), {i: of[c] for i, of in medians.items()})) for c in cols})
+    found = whole.groupBy("k").agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]).collect()
+    return medians, {r.k: {c: r[c].m for c in cols} for r in found}, {r.k: {c: r[c].s or 1.0 for c in cols} for r in found}
 
 
 def fit_signals(df: DataFrame, cols: Sequence[str], y: str, day: str, row_id: str,
@@ -197,15 +218,21 @@ def fit_signals(df: DataFrame, cols: Sequence[str], y: str, day: str, row_id: st
     Magnitude is a ridge, direction a logistic head; each fold learns its medians,
     scaling and weights from earlier rows only. One row per head with error (or
     accuracy), baseline, edge and the skill verdict.
+
+    The rows are written once, then once more in a folder a fold. The statistics and
+    normal matrices of all splits are aggregated together; only the logistic heads are
+    fitted one by one.
     """
-    rows = time_folds(df.filter(F.col(y).isNotNull()), day, row_id, splits=splits)
-    folded = materialise(rows.select("fold", *cols, y, (F.col(y) > 0).cast("int").alias("up")))
+    rows = written(df.filter(F.col(y).isNotNull() & F.col(day).isNotNull()).select(*dict.fromkeys([day, row_id, *cols, y])))
+    dated = time_folds(rows, day, row_id, splits=splits)
+    folded = written(dated.select("fold", *cols, y, (F.col(y) > 0).cast("int").alias("up")), "fold")
+    past = folded.filter(F.col("fold") < splits).withColumn("k", F.explode(F.sequence(F.col("fold") + 1, F.lit(splits))))
+    learned = learn_splits(past, cols)
+    grams = {r.k: r.asDict() for r in gram(prepared(past, cols, F.col("k"), *learned), cols, y, ["k"]).collect()}
     sizes, calls = [], []
     for k in range(1, splits + 1):
-        past = F.col("fold") < k
-        ready = materialise(prepared(folded.filter(F.col("fold") <= k), cols, past))
-        train, test = ready.filter(past), ready.filter(~past)
-        w, _ = solve_ridge(gram(train, cols, y).first().asDict(), cols, lam)
+        train, test = (prepared(folded.filter(part), cols, F.lit(k), *learned) for part in (F.col("fold") < k, F.col("fold") == k))
+        w, _ = solve_ridge(grams[k], cols, lam)
         sizes.append(test.select("fold", y, predict_linear(cols, w).alias("pred")))
         head = fit_direction(train, cols, "up")
         packed = VectorAssembler(inputCols=list(cols), outputCol="features").transform(test)

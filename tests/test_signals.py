@@ -75,3 +75,39 @@ def test_dates_are_read_day_first(spark):
     df = spark.createDataFrame([(k,) for k in want], "t string")
     got = {r.t: r.d and str(r.d) for r in df.select("t", parse_day_first(F.col("t")).alias("d")).collect()}
     assert got == want
+def test_heads_are_validated_on_rows_made_once(spark):
+    """Statistics of earlier rows only, as in a plain loop over the folds; the frame is evaluated once."""
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    from issuelens.plans import models
+
+    luck = np.random.default_rng(5)
+    n = 400
+    a, b = luck.normal(3, 2, n), luck.normal(size=n)
+    gain = 2 * a - b + luck.normal(size=n)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, date(2020, 1, 1) + timedelta(i // 7), None if i % 5 == 0 else float(a[i]), None if i % 3 == 0 else float(b[i]), None, float(gain[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, day date, a double, b double, c double, raw double").withColumn("gain", counted("raw")).drop("raw")
+    got = {r["head"]: r for r in models.fit_signals(df, ["a", "b", "c"], "gain", "day", "id").collect()}
+    assert seen.value <= 2 * n  # once for the filter, once for the rows
+
+    start, errors, sizes = int(n * 0.4), [], []
+    x = np.array([[np.nan if v is None else v for v in r[2:5]] for r in rows])
+    edges = [start + i * (n - start) // 5 for i in range(6)]
+    for lo, hi in zip(edges, edges[1:]):
+        mid = np.array([np.median(col[~np.isnan(col)]) if (~np.isnan(col)).any() else 0.0 for col in x[:lo].T])
+        full = np.where(np.isnan(x), mid, x)
+        sd = full[:lo].std(axis=0)
+        z = np.c_[np.ones(n), (full - full[:lo].mean(axis=0)) / np.where(sd > 0, sd, 1)]
+        w = np.linalg.pinv(z[:lo].T @ z[:lo] + np.diag([0, 1, 1, 1])) @ (z[:lo].T @ gain[:lo])
+        errors.append(np.abs(z[lo:hi] @ w - gain[lo:hi]).mean())
+        sizes.append(hi - lo)
+    assert got["magnitude"].error == pytest.approx(np.average(errors, weights=sizes)) and got["magnitude"].folds == 5 and got["direction"].skill
