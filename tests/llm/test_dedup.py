@@ -138,3 +138,25 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
 def test_line_dedup_self_overlap(spark):
     docs = spark.createDataFrame([(1, "a\na\na\na\na"), (2, "x\na\na\na\ny")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in dedupe_lines(docs).collect()} == {1: "a", 2: "x\ny"}
+
+
+def test_staged_leaves_no_shuffle_files(spark):
+    import time
+
+    from issuelens.llm.staging import staged
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    rows = spark.range(20_000).withColumn("k", F.expr("id % 5000"))
+    kept = rows.groupBy("k").count()
+    before = shuffles()
+    out = staged(rows.join(kept, "k").where("count > 1").repartition(3, "id"))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert out.count() == 20_000 and out.where("count != 4").count() == 0
