@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from issuelens.llm import neardup
 from issuelens.llm.components import components
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import RADIUS, distance, keys_of, near_duplicates, signatures
@@ -97,6 +98,27 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(30)) and got[300] == 299
 
 
+def test_rows_for_each_rare_shingle_are_narrow(spark, rng, monkeypatch):
+    """Signatures are written once for a document or index key, not once for each rare shingle."""
+    rows = []
+    for f in range(8):
+        base = prose(rng, 700)
+        rows += [(100 * f + k, edited(rng, base, 35)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = []
+
+    def watched(df, write=neardup.staged):
+        out = write(df)
+        if "s0" in out.columns:
+            wide.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", watched)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+    assert sum(wide) < 100 * len(rows)
+
+
 def brute_lines(rows, size=3):
     seen, cut = {}, {}
     docs = sorted({(i, t) for i, t in rows if t is not None})
