@@ -4,8 +4,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from issuelens.llm import neardup
-from issuelens.llm.components import components
+from issuelens.llm import components as components_module, neardup
+from issuelens.llm.components import components, contracted, labels
 from issuelens.llm.linededup import dedupe_lines
 from issuelens.llm.neardup import RADIUS, distance, keys_of, near_duplicates, signatures
 from issuelens.llm.wordhash import NOT_ALNUM, WHITE, shingles, word_hashes
@@ -98,6 +98,27 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(30)) and got[300] == 299
 
 
+def test_components_end_once_links_are_stars(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "staged", lambda df, write=components_module.staged: written.append(1) or write(df))
+    links = [(100, 200 + i) for i in range(30)] + [(9, 1), (9, 1)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {100: 100, 9: 1, 1: 1} | {200 + i: 100 for i in range(30)}
+    assert len(written) == 3
+    assert components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+
+
+def test_few_rounds_keep_what_is_connected(spark, rng):
+    links = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + rng.randrange(60)) for i in range(60)]
+    table = spark.createDataFrame(links, "a long, b long")
+    whole = {r.node: r.component for r in components(table).collect()}
+    few = contracted(table, 2)
+    part = {r.node: r.component for r in labels(few).collect()}
+    assert part.keys() == whole.keys() and len(set(part.values())) > len(set(whole.values()))
+    assert all(whole[c] == whole[n] for n, c in part.items())
+    assert {r.node: r.component for r in components(few).collect()} == whole
+
+
 def test_rows_for_each_rare_shingle_are_narrow(spark, rng, monkeypatch):
     """Signatures are written once for a document or index key, not once for each rare shingle."""
     rows = []
