@@ -18,6 +18,11 @@ def sessions(prices: DataFrame, symbol: str = "symbol", day: str = "session_date
     return prices.withColumn("session", F.row_number().over(w) - 1)
 
 
+def over(px: Column, by: Column) -> Column:
+    """``px / by`` as doubles divide: zero over zero is NaN, anything else over zero infinite."""
+    return F.when(by == 0, px * F.lit(float("inf"))).otherwise(px / by)
+
+
 def outcomes(prices: DataFrame, listings: DataFrame, now: Column,
              horizons: Mapping[str, int] = HORIZONS, tolerance: int = 21, lead: int = 5,
              min_closes: int = 5, max_gap: int = 20, bottom_days: int = 365,
@@ -27,7 +32,8 @@ def outcomes(prices: DataFrame, listings: DataFrame, now: Column,
 
     prices (symbol, session_date, close), one row per day; listings (symbol,
     listing_date, offer, listing_gain), one row per symbol. Returns chain from the
-    day-1 base factor, so a later split in the series cannot distort them. The first
+    day-1 base factor, so a later split in the series cannot distort them; on a first
+    close of zero they are infinite or NaN, as in the SQL. The first
     pass aggregates each symbol once; the peak depends on the bottom, so a second
     pass joins the bottom back to the same partitioning.
     """
@@ -69,7 +75,7 @@ def outcomes(prices: DataFrame, listings: DataFrame, now: Column,
         F.max(F.struct(close.alias("c"), (-sess).alias("s"))).alias("peak"))
 
     def pct(px: Column) -> Column:
-        return F.round((F.col("base") * (px / F.col("day1")) - 1) * 100, decimals)
+        return F.round((F.col("base") * over(px, F.col("day1")) - 1) * 100, decimals)
 
     rets = []
     for name, days in horizons.items():

@@ -1,6 +1,7 @@
 """Brute-force checks, invariants, plan shapes and replay of the operators."""
 
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -151,6 +152,19 @@ def test_outcomes_by_hand(spark):
     assert r.ret_6m == round((1.2 * 130 / 100 - 1) * 100, 1)
 
 
+def test_outcomes_from_a_first_close_of_zero(spark):
+    listed = dt.date(2023, 1, 2)
+    px = {"nil": [0, 0, 5, 4, 6, 8, 7, 9, 3, 2, 1, 4], "low": [0, -1, 5, 4, 6, 8, 7, 9, 3, 2, 1, 4], "plain": [10, 8, 5, 4, 6, 8, 7, 9, 3, 2, 1, 20]}
+    rows = [(s, listed + dt.timedelta(days=i * 30), float(v)) for s, vals in px.items() for i, v in enumerate(vals)]
+    prices = spark.createDataFrame(rows, "symbol string, session_date date, close double")
+    lst = spark.createDataFrame([(s, listed, 50.0, 20.0) for s in px], "symbol string, listing_date date, offer double, listing_gain double")
+    out = {r.symbol: r for r in outcomes.outcomes(prices, lst, F.lit("2026-01-01").cast("date")).collect()}
+    assert math.isnan(out["nil"].ret_1d) and math.isnan(out["nil"].bottom_so_far_pct)
+    assert out["nil"].ret_6m == out["nil"].current_ret == out["nil"].peak_24m_pct == math.inf
+    assert out["low"].bottom_so_far_pct == -math.inf and out["low"].sessions_to_peak == 7
+    assert out["plain"].ret_1d == 20.0 and out["plain"].current_ret == 140.0
+
+
 def test_priority_fill_skips_blank_and_missing(spark):
     base = spark.createDataFrame([("1", ), ("2", ), ("3", )], "id string")
     a = spark.createDataFrame([("1", "", None), ("2", "Energy", 5.0)], "id string, s string, v double")
