@@ -5,7 +5,9 @@ trading day; ``post`` knows the day-1 gain as an input, and its return heads lea
 correction to that gain. ``size`` heads predict the value, ``direction`` heads of the
 return targets the chance to end above the offer. Every head is fitted once a fold on
 the rows before the fold's block; only a head that beats its baseline is fitted on all
-rows and saved. The fits are independent Spark jobs, a few at a time.
+rows and saved. A fit is one task that runs all its rounds over the binned rows (see
+``boosting``); one with more rows than a task may hold runs Spark's own trees, two jobs a
+round. The fits are independent Spark jobs, a few at a time.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import time_folds
 from ..session import materialise
+from .boosting import KNOWN, fit_in_task, spark_model
 from .models import TREES, column_medians, cv_metrics, fold_baselines, majority_baseline, skill_gate
 
 VARIANTS = ("pre", "post")
+#: Rows, those to be scored among them, that are fitted in one task: about 50 bytes each.
+TASK_ROWS = 10_000_000
 _KEYS = ["variant", "target", "kind"]
 _FOLDS = "variant string, target string, kind string, fold int, n long, mae double"
 
@@ -101,6 +106,31 @@ def _fold_score(rows: DataFrame, kind: str, fold: int, settings: Mapping[str, ob
     return (fold, out.n, out.e) if out.n else None
 
 
+def _fold_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """Rows and gains by fold; rows without one, where there are too few for folds, are under -1."""
+    found = rows.groupBy(F.coalesce("fold", F.lit(-1)).alias("fold")).agg(F.count("*").alias("n"), F.sum("up").alias("ups"))
+    return {r.fold: (r.n, r.ups) for r in found.collect()}  # a row a fold
+
+
+def _fold_scores(rows: DataFrame, kinds: Sequence[str], fold: int, sizes: Mapping[int, tuple[int, int]], settings: Mapping[str, object]) -> list:
+    """(kind, fold, rows, error or accuracy) of the heads of one variant and target; ``sizes`` holds rows and gains by fold."""
+    n, ups = (sum(v[i] for f, v in sizes.items() if 0 <= f < fold) for i in (0, 1))
+    if not n or n + sizes.get(fold, (0, 0))[0] > TASK_ROWS or set(settings) - KNOWN:
+        scores = [(k, _fold_score(rows, k, fold, settings)) for k in kinds]
+        return [(k, *score) for k, score in scores if score]
+    kinds = [k for k in kinds if k == "size" or 0 < ups < n]
+    found = fit_in_task(rows, kinds, fold, n, {**TREES, **settings}) if kinds else []
+    return [(r.kind, fold, r.n, r.e) for r in found if r.n]
+
+
+def _whole_fit(rows: DataFrame, kinds: Sequence[str], inputs: int, sizes: Mapping[int, tuple[int, int]], settings: Mapping[str, object]) -> dict:
+    """Of each kind the model fitted on all rows."""
+    n = sum(v[0] for v in sizes.values())
+    if not 0 < n <= TASK_ROWS or set(settings) - KNOWN:
+        return {k: _trees(k, settings).fit(rows) for k in kinds}
+    return {r.kind: spark_model(_trees(r.kind, settings), r.trees, inputs) for r in fit_in_task(rows, kinds, None, n, {**TREES, **settings})}
+
+
 def _together(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
     """Results of some Spark jobs in order, a few running at a time."""
     with ThreadPool(max(1, min(parallelism, len(jobs) or 1))) as pool:
@@ -170,9 +200,12 @@ def train_horizons(frame: DataFrame, spec: Horizons, splits: int = 5, min_rows:
     folded = dict(zip(targets, _together(spark, [lambda t=t: folded_rows(frame, spec, t, splits) for t in targets], parallelism), strict=True))
     packs = [(v, t) for v in VARIANTS for t in targets]
     rows = dict(zip(packs, _together(spark, [lambda v=v, t=t: head_rows(folded[t], spec, v, t) for v, t in packs], parallelism), strict=True))
-    turns = [(head, fold) for head in spec.heads() for fold in range(1, splits + 1)]
-    found = _together(spark, [lambda h=h, k=k: _fold_score(rows[h[0], h[1]], h[2], k, settings) for h, k in turns], parallelism)
-    scored = [(*head, *score) for (head, _), score in zip(turns, found, strict=True) if score]
+    kinds = {p: [k for v, t, k in spec.heads() if (v, t) == p] for p in packs}
+    held = _together(spark, [lambda p=p: _fold_sizes(rows[p]) for p in packs], parallelism)
+    sizes = dict(zip(packs, held, strict=True))
+    turns = [(p, fold) for fold in range(splits, 0, -1) for p in packs]  # the longest first
+    found = _together(spark, [lambda p=p, k=k: _fold_scores(rows[p], kinds[p], k, sizes[p], settings) for p, k in turns], parallelism)
+    scored = [(*p, *score) for (p, _), scores in zip(turns, found, strict=True) for score in scores]
     bars = baselines(rows, spec) if rows else spark.createDataFrame([], "variant string, target string, kind string, fold int, n long, base_mae double")
     folds = materialise(spark.createDataFrame(scored, _FOLDS).join(bars.drop("n"), [*_KEYS, "fold"]))
     size = skill_gate(cv_metrics(folds.filter("kind = 'size'"), keys=_KEYS))
@@ -181,9 +214,11 @@ def train_horizons(frame: DataFrame, spec: Horizons, splits: int = 5, min_rows:
     n = spark.createDataFrame([(t, counts[t]) for t in (*spec.returns, *spec.others)], "target string, n long")
     metrics = materialise(size.unionByName(direction).join(n_scored, _KEYS).join(F.broadcast(n), "target"))
     shipped = [tuple(r) for r in metrics.filter("skill").select(*_KEYS).collect()]  # one row a head
-    fitted = _together(spark, [lambda h=h: _trees(h[2], settings).fit(rows[h[0], h[1]]) for h in shipped], parallelism)
+    wanted = [(p, [k for k in kinds[p] if (*p, k) in shipped]) for p in packs]
+    fitted = _together(spark, [lambda p=p, some=some: _whole_fit(rows[p], some, len(spec.names(p[0])), sizes[p], settings) for p, some in wanted if some], parallelism)
+    models = {(*p, k): model for (p, _), made in zip([w for w in wanted if w[1]], fitted, strict=True) for k, model in made.items()}
     medians = [median_map(frame, spec.names(v)).select(F.lit(v).alias("variant"), "m") for v in VARIANTS]
-    return Trained(metrics, dict(zip(shipped, fitted, strict=True)), materialise(medians[0].unionByName(medians[1])), spec)
+    return Trained(metrics, models, materialise(medians[0].unionByName(medians[1])), spec)
 
 
 def load_heads(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:

@@ -3,10 +3,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from issuelens.plans import horizon
+from issuelens.plans import boosting, horizon
 from issuelens.plans.horizon import Horizons, horizon_reads, load_heads, train_horizons
+from issuelens.session import materialise
 from issuelens.sources.keyed import KeyedTable, newest
 
 
@@ -151,3 +153,54 @@ def test_folds_of_a_target_are_found_once_for_both_variants(issues, monkeypatch)
     monkeypatch.setattr(horizon, "time_folds", lambda df, *a, **k: found.append(1) or plain(df, *a, **k))
     train_horizons(issues, SPEC, maxIter=1)
     assert len(found) == 2
+
+
+@pytest.mark.parametrize("n, depth, rate", [(900, 2, 0.7), (14_000, 2, 0.7), (900, 3, 1.0)])
+def test_a_fit_in_one_task_makes_the_trees_of_spark(spark, n, depth, rate):
+    some = spark.range(0, n, 1, 3).select(
+        F.lit(0).alias("fold"), F.round(F.randn(3), 2).alias("a"), F.round(F.randn(4) * 9).alias("b"), F.lit(2.0).alias("c"))
+    some = some.withColumn("y", F.col("a") * 4 + F.col("a") * F.col("b") / 5).withColumn("base", F.lit(0.0)).withColumn("fix", F.col("y"))
+    rows = materialise(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(some.withColumn("up", (F.col("y") > 0).cast("int"))))
+    settings = dict(maxIter=7, maxDepth=depth, subsamplingRate=rate)
+    made = horizon._whole_fit(rows, ["size", "direction"], 3, {0: (n, 1)}, settings)
+    for kind, mine in made.items():
+        theirs = horizon._trees(kind, settings).fit(rows)
+        far = theirs.transform(rows).select("a", "b", "y", F.col("prediction").alias("p")).distinct().join(
+            mine.transform(rows).select("a", "b", "y", F.col("prediction").alias("q")).distinct(), ["a", "b", "y"])
+        assert far.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+        assert np.allclose(mine.featureImportances.toArray(), theirs.featureImportances.toArray())
+        cuts = lambda m: [line.split("(feature")[1].split(")")[0] for line in m.toDebugString.split("\n") if "If (feature" in line]
+        assert cuts(mine) == cuts(theirs) and len(mine.trees) == 7
+
+
+def test_rounds_are_not_spark_jobs(issues, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a fit that runs jobs for every round")
+
+    monkeypatch.setattr(horizon.GBTRegressor, "fit", refused)
+    monkeypatch.setattr(horizon.GBTClassifier, "fit", refused)
+    out = train_horizons(issues, SPEC, maxIter=4)
+    assert all(r.folds == 5 and r.n_scored == 240 for r in out.metrics.collect()) and out.models
+
+
+def test_fits_too_large_for_a_task_are_spark_s_own(issues, monkeypatch):
+    told = lambda t: {(r.variant, r.target, r.kind): (round(r.error, 8), r.folds, r.skill) for r in t.metrics.collect()}
+    small = SPEC.__class__(("a", "b"), ("ret_6m",), (), "day1", "opened", "id")
+    mine = train_horizons(issues, small, maxIter=3)
+    monkeypatch.setattr(horizon, "TASK_ROWS", 10)
+    theirs = train_horizons(issues, small, maxIter=3)
+    assert told(mine) == told(theirs) and set(mine.models) == set(theirs.models)
+
+
+def test_generators_are_those_of_spark(spark):
+    made = spark._jvm.org.apache.spark.util.random.XORShiftRandom
+    sizes = np.array([9_000, 3, 5_000])
+    draws = boosting.Draws(np.array([4, 0, 7]), sizes, 42, 0.7)
+    rows = draws.laid(np.arange(sizes.sum()), -1)
+    for turn, taken in enumerate(draws.rounds(3)):
+        want = []
+        for part, size in ((4, 9_000), (0, 3), (7, 5_000)):
+            rng = made(42 + turn + part + 1)
+            want += [rng.nextDouble() < 0.7 for _ in range(min(size, 300))] + [None] * (size - 300)
+        got = dict(zip(rows[rows >= 0].tolist(), taken[rows >= 0].tolist(), strict=True))
+        assert all(got[i] == w for i, w in enumerate(want) if w is not None)
