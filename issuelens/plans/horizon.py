@@ -69,6 +69,13 @@ def median_map(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return column_medians(df, names).agg(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("m"))
 
 
+def variant_medians(frame: DataFrame, spec: Horizons) -> DataFrame:
+    """(variant, m): medians of the inputs of each variant, found in one pass; ``pre`` knows some of those of ``post``."""
+    mine = lambda v: F.map_filter("m", lambda c, _: c.isin(*spec.names(v)))
+    parts = F.array(*[F.struct(F.lit(v).alias("variant"), mine(v).alias("m")) for v in VARIANTS])
+    return median_map(frame, spec.names("post")).select(F.explode(parts).alias("r")).select("r.*")
+
+
 def folded_rows(frame: DataFrame, spec: Horizons, target: str, splits: int) -> DataFrame:
     """Rows that bear the target with their fold, written once for both variants."""
     names = spec.names("post")
@@ -197,7 +204,9 @@ def train_horizons(frame: DataFrame, spec: Horizons, splits: int = 5, min_rows:
     enough = lambda names: tuple(t for t in names if counts[t] >= min_rows)
     spec = Horizons(spec.inputs, enough(spec.returns), enough(spec.others), spec.carry, spec.day, spec.row_id)
     targets = (*spec.returns, *spec.others)
-    folded = dict(zip(targets, _together(spark, [lambda t=t: folded_rows(frame, spec, t, splits) for t in targets], parallelism), strict=True))
+    first = [lambda: materialise(variant_medians(frame, spec)), *[lambda t=t: folded_rows(frame, spec, t, splits) for t in targets]]
+    medians, *ready = _together(spark, first, parallelism)
+    folded = dict(zip(targets, ready, strict=True))
     packs = [(v, t) for v in VARIANTS for t in targets]
     rows = dict(zip(packs, _together(spark, [lambda v=v, t=t: head_rows(folded[t], spec, v, t) for v, t in packs], parallelism), strict=True))
     kinds = {p: [k for v, t, k in spec.heads() if (v, t) == p] for p in packs}
@@ -217,8 +226,7 @@ def train_horizons(frame: DataFrame, spec: Horizons, splits: int = 5, min_rows:
     wanted = [(p, [k for k in kinds[p] if (*p, k) in shipped]) for p in packs]
     fitted = _together(spark, [lambda p=p, some=some: _whole_fit(rows[p], some, len(spec.names(p[0])), sizes[p], settings) for p, some in wanted if some], parallelism)
     models = {(*p, k): model for (p, _), made in zip([w for w in wanted if w[1]], fitted, strict=True) for k, model in made.items()}
-    medians = [median_map(frame, spec.names(v)).select(F.lit(v).alias("variant"), "m") for v in VARIANTS]
-    return Trained(metrics, models, materialise(medians[0].unionByName(medians[1])), spec)
+    return Trained(metrics, models, medians, spec)
 
 
 def load_heads(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
