@@ -83,14 +83,18 @@ def folded_rows(frame: DataFrame, spec: Horizons, target: str, splits: int) -> D
     return materialise(time_folds(materialise(rows), spec.day, spec.row_id, splits=splits))
 
 
-def head_rows(folded: DataFrame, spec: Horizons, variant: str, target: str) -> DataFrame:
-    """(fold, features, y, base, fix, up) of the folded rows of the target, written once.
+def past_medians(folded: DataFrame, spec: Horizons) -> DataFrame:
+    """One row with the medians of the rows that every fold trains on, the block before the first scored one.
 
-    Medians come from the rows that every fold trains on, the block before the first
-    scored one, so no fold sees a statistic of rows it predicts.
+    So no fold sees a statistic of rows it predicts. Both variants read them.
     """
+    return materialise(median_map(folded.filter("fold = 0"), spec.names("post")))
+
+
+def head_rows(folded: DataFrame, medians: DataFrame, spec: Horizons, variant: str, target: str) -> DataFrame:
+    """(fold, features, y, base, fix, up) of the folded rows of the target, written once."""
     names = spec.names(variant)
-    ready = _filled(folded, median_map(folded.filter("fold = 0"), names).scalar(), names).withColumn("base", spec.base(variant, target).cast("double"))
+    ready = _filled(folded, medians.scalar(), names).withColumn("base", spec.base(variant, target).cast("double"))
     packed = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
     up = (F.col("y") > 0).cast("int")
     return materialise(packed.select("fold", "features", F.col("y").cast("double"), "base", (F.col("y") - F.col("base")).alias("fix"), up.alias("up")))
@@ -208,7 +212,8 @@ def train_horizons(frame: DataFrame, spec: Horizons, splits: int = 5, min_rows:
     medians, *ready = _together(spark, first, parallelism)
     folded = dict(zip(targets, ready, strict=True))
     packs = [(v, t) for v in VARIANTS for t in targets]
-    rows = dict(zip(packs, _together(spark, [lambda v=v, t=t: head_rows(folded[t], spec, v, t) for v, t in packs], parallelism), strict=True))
+    past = dict(zip(targets, _together(spark, [lambda t=t: past_medians(folded[t], spec) for t in targets], parallelism), strict=True))
+    rows = dict(zip(packs, _together(spark, [lambda v=v, t=t: head_rows(folded[t], past[t], spec, v, t) for v, t in packs], parallelism), strict=True))
     kinds = {p: [k for v, t, k in spec.heads() if (v, t) == p] for p in packs}
     held = _together(spark, [lambda p=p: _fold_sizes(rows[p]) for p in packs], parallelism)
     sizes = dict(zip(packs, held, strict=True))
